@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import packing
+from gridloom.llm import packing, substring
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,11 +25,42 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.dedup(table(spark, sf_dir, "documents")))
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS s FROM p WHERE i + 12 <= len(ws)
+), least AS (
+  SELECT s, min(doc_id) AS d FROM win GROUP BY s
+), gone AS (
+  SELECT DISTINCT win.doc_id, win.i + k AS i
+  FROM win JOIN least USING (s), (SELECT unnest(range(0, 13)) AS k)
+  WHERE least.d < win.doc_id
+), kept AS (
+  SELECT p.doc_id, p.i, p.ws[p.i] AS word FROM p ANTI JOIN gone ON p.doc_id = gone.doc_id AND p.i = gone.i
+), joined AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM kept GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN joined USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_retrieval_packing": op1_retrieval_packing,
+        "op10_anchor_substring_dedup": op10_anchor_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_anchor_substring_dedup": OP10_SQL,
+    }
