@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import packing, substring
+from gridloom.llm import packing, quality, substring
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,6 +25,10 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup(table(spark, sf_dir, "documents")))
 
@@ -56,6 +60,7 @@ FROM w LEFT JOIN joined USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_retrieval_packing": op1_retrieval_packing,
+        "op2_byte_convnet": op2_byte_convnet,
         "op10_anchor_substring_dedup": op10_anchor_substring_dedup,
     }
 
