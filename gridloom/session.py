@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ class Scratch:
         delete(self.spark, self.root)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs whose frames are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Hadoop's file system, whatever its scheme."""
     jvm = spark._jvm
