@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridloom.llm.words import Bag, chunked, grams, texts_of, unpack
-from gridloom.session import Scratch, ship
+from gridloom.session import Scratch, release, ship
 
 BLOCK, WINDOW = 7, 13
+KEY_BITS = 32
 #: Text bytes per bucket of the anchor index.
 BUCKET_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
@@ -58,9 +59,29 @@ def _split(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.append(np.searchsorted(values, bounds), len(values))
 
 
+def _key_shift(buckets: int) -> np.uint64:
+    """Bits to drop from a hash's place in its bucket so that KEY_BITS are left."""
+    return np.uint64(max(0, ((1 << 64) // buckets + 1).bit_length() - KEY_BITS))
+
+
+def _squeeze(keys: np.ndarray, flags: np.ndarray) -> bytes:
+    """Ascending keys as byte planes of their differences, and the flags, compressed."""
+    steps = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
+    return pa.compress(np.concatenate((steps.view(np.uint8).reshape(-1, 4).T.ravel(), flags)).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=5 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    steps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32), raw[4 * n :]
+
+
 def _send_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Per chunk and bucket: 30 bits of each distinct hash, whether it is a block, whether several texts have it."""
-    bounds = _bounds(buckets)
+    """Per chunk and bucket: 32 bits of each distinct hash, whether it is a block, whether several texts have it.
+
+    Two hashes that agree in those bits only make more candidates; windows are compared by 128 bits.
+    """
+    bounds, shift = _bounds(buckets), _key_shift(buckets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -74,27 +95,27 @@ def _send_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
                 several = text[first] != text[last]
                 aligned = ((at - bag.first[bag.text_of[at]]) % BLOCK == 0)[order]
                 block = np.logical_or.reduceat(aligned, first)
-                keys = (values.astype(np.uint32) & np.uint32(0xFFFFFFFC)) | (block.astype(np.uint32) << 1) | several
+                flags = (block.astype(np.uint8) << 1) | several
                 cut = _split(values, bounds)
-                full = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-                yield pd.DataFrame({"bucket": full, "chunk": chunk, "base": [int(cut[k]) for k in full], "keys": [keys[cut[k] : cut[k + 1]].tobytes() for k in full]})
+                full = np.flatnonzero(cut[1:] > cut[:-1])
+                keys = [_squeeze(((values[cut[k] : cut[k + 1]] - bounds[k]) >> shift).astype(np.uint32), flags[cut[k] : cut[k + 1]]) for k in full]
+                yield pd.DataFrame({"bucket": full, "chunk": chunk, "base": cut[full], "n": cut[full + 1] - cut[full], "keys": keys})
 
-    return chunks.select("chunk", "payload").mapInPandas(run, "bucket int, chunk long, base int, keys binary")
+    return chunks.select("chunk", "payload").mapInPandas(run, "bucket int, chunk long, base int, n int, keys binary")
 
 
 def _meet_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: hashes that are some document's block and occur in another document, back to their chunks."""
-    keys = [np.frombuffer(x, dtype=np.uint32) for x in pdf["keys"]]
-    n = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
-    all_keys = np.concatenate(keys)
-    packed = np.sort(((all_keys >> np.uint32(2)).astype(np.uint64) << np.uint64(32)) | np.arange(len(all_keys), dtype=np.uint64))
+    n = pdf["n"].tolist()
+    parts = [_unsqueeze(x, m) for x, m in zip(pdf["keys"], n)]
+    keys, every = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+    packed = np.sort((keys.astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64))
     order, key = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), packed >> np.uint64(32)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
-    flags = all_keys[order] & np.uint32(3)
-    any_flag = np.bitwise_or.reduceat(flags, first)
+    any_flag = np.bitwise_or.reduceat(every[order], first)
     good = ((any_flag & 2) > 0) & ((size > 1) | ((any_flag & 1) > 0))
-    hit = np.zeros(len(all_keys), dtype=bool)
+    hit = np.zeros(len(keys), dtype=bool)
     hit[order] = np.repeat(good, size)
     out, start = [], 0
     for chunk, base, m in zip(pdf["chunk"], pdf["base"], n):
@@ -105,8 +126,20 @@ def _meet_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "places"])
 
 
+def _groups(bag: Bag, ids: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 128-bit keys (two halves, ascending), the group of each window, and each group's smallest doc_id."""
+    low = grams(bag.hashes, WINDOW)[windows]
+    high = grams(bag.hashes, WINDOW, 0xA0761D6478BD642F)[windows]
+    order = np.lexsort((high, low))
+    a, b = low[order], high[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    group = np.empty(len(order), dtype=np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return a[first], b[first], group, np.minimum.reduceat(ids[bag.text_of[windows]][order], first)
+
+
 def _extend(joined: DataFrame, buckets: int) -> DataFrame:
-    """Per chunk: its candidate windows (kind 0), and their distinct 128-bit keys with the smallest doc_id (kind 1)."""
+    """Per chunk: places of its candidate windows (kind 0), and their distinct keys with the smallest doc_id (kind 1)."""
     bounds = _bounds(buckets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,21 +158,14 @@ def _extend(joined: DataFrame, buckets: int) -> DataFrame:
                 windows = windows[total[windows + WINDOW - BLOCK + 1] > total[windows]]
                 if not len(windows):
                     continue
-                low = grams(bag.hashes, WINDOW)[windows]
-                high = grams(bag.hashes, WINDOW, 0xA0761D6478BD642F)[windows]
-                order = np.lexsort((high, low))
-                a, b = low[order], high[order]
-                first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                group = np.empty(len(order), dtype=np.uint32)
-                group[order] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.append(first, len(order))))
-                least = np.minimum.reduceat(ids[bag.text_of[windows]][order], first)
-                a, b = a[first], b[first]
+                a, b, _, least = _groups(bag, ids, windows)
                 cut = _split(a, bounds)
-                full = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+                full = np.flatnonzero(cut[1:] > cut[:-1])
                 part = lambda x: [x[cut[k] : cut[k + 1]].tobytes() for k in full]
+                steps = pa.compress(np.diff(windows, prepend=0).astype("<u4").tobytes(), codec="zstd", asbytes=True)
                 yield pd.DataFrame({
-                    "kind": [0] + [1] * len(full), "bucket": [-1, *full], "chunk": chunk, "base": [0, *(int(cut[k]) for k in full)],
-                    "a": [windows.astype(np.int64).tobytes(), *part(a)], "b": [group.tobytes(), *part(b)], "docs": [least.tobytes(), *part(least)],
+                    "kind": [0] + [1] * len(full), "bucket": [-1, *full], "chunk": chunk, "base": [len(windows), *cut[full]],
+                    "a": [steps, *part(a)], "b": [None, *part(b)], "docs": [None, *part(least)],
                 })
 
     return joined.mapInPandas(run, "kind int, bucket int, chunk long, base int, a binary, b binary, docs binary")
@@ -197,11 +223,13 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
     hits = _send_anchors(chunks, buckets).groupBy("bucket").applyInPandas(_meet_anchors, "chunk long, places binary")
     per_chunk = hits.groupBy("chunk").agg(F.collect_list("places").alias("places"))  # at most a chunk's own distinct hashes
     found = scratch.save(_extend(chunks.select("chunk", "payload").join(per_chunk, "chunk"), buckets), "windows")
+    del hits, per_chunk
+    release(spark)
     smaller = found.where("kind = 1").groupBy("bucket").applyInPandas(_meet_windows, "chunk long, b binary, docs binary")
     notes = (
-        found.where("kind = 0").select("chunk", "kind", "a", "b", "docs")
-        .unionByName(smaller.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("a"), "b", "docs"))
-        .groupBy("chunk").agg(F.collect_list(F.struct("kind", "a", "b", "docs")).alias("notes"))
+        found.where("kind = 0").select("chunk", "kind", "base", F.col("a").alias("places"), "docs")
+        .unionByName(smaller.select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("base"), F.col("b").alias("places"), "docs"))
+        .groupBy("chunk").agg(F.collect_list(F.struct("kind", "base", "places", "docs")).alias("notes"))
     )
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -213,9 +241,11 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
                 removed = np.zeros(len(bag.starts) + 1, dtype=np.int64)
                 rows = sorted(given.as_py() or [], key=lambda x: x["kind"])
                 if rows:
-                    windows, group, least = np.frombuffer(rows[0]["a"], dtype=np.int64), np.frombuffer(rows[0]["b"], dtype=np.uint32), np.frombuffer(rows[0]["docs"], dtype=np.int64).copy()
+                    steps = pa.decompress(rows[0]["places"], decompressed_size=4 * rows[0]["base"], codec="zstd", asbytes=True)
+                    windows = np.cumsum(np.frombuffer(steps, dtype="<u4").astype(np.int64))
+                    _, _, group, least = _groups(bag, ids, windows)
                     for x in rows[1:]:
-                        least[np.frombuffer(x["b"], dtype=np.uint32)] = np.frombuffer(x["docs"], dtype=np.int64)
+                        least[np.frombuffer(x["places"], dtype=np.uint32)] = np.frombuffer(x["docs"], dtype=np.int64)
                     gone = windows[least[group] < ids[bag.text_of[windows]]]
                     edge = np.zeros(len(bag.starts) + WINDOW + 1, dtype=np.int64)
                     edge[gone] += 1
