@@ -1,7 +1,7 @@
 """Lexical retrieval packing: documents into fixed windows, each filled with its seed's nearest neighbours.
 
-The corpus is laid out by a lexical signature (commonest subword, then two minimum hashes of subword
-pairs), so alike documents lie side by side, and cut into shards of bounded size. Each shard holds a
+The corpus is laid out by a lexical signature (commonest subword, then the smallest and
+largest hash of subword pairs), so alike documents lie side by side, and cut into shards of bounded size. Each shard holds a
 BM25 inverted index over subword ids; its weights come from counts over *all* documents. A seed takes
 its window, then its best-scoring unused neighbours fill it, whole while they fit; the last is cut so
 that the window is exactly full and its rest becomes the next seed. Only a shard's last tokens cannot
@@ -26,8 +26,8 @@ from gridloom.session import Scratch, ship
 
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Tokens that one shard's index holds, about 500 windows.
-SHARD_TOKENS = 2_000_000
+#: Tokens that one shard's index holds, about 250 windows.
+SHARD_TOKENS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, seed_doc_id long, bm25 double"
 
@@ -39,13 +39,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _signature(ids: np.ndarray) -> tuple[int, int, int]:
-    """Commonest id, and two minimum hashes of neighbouring id pairs."""
+    """Commonest id, and the smallest and largest hash of neighbouring id pairs."""
     if len(ids) < 3:
         return -1, 0, 0
-    top = int(np.bincount(ids[:-1]).argmax())
-    pair = ids[:-2].astype(np.uint64) * np.uint64(1_000_003) + ids[1:-1]
-    h = _mix(pair)
-    return top, int(h.min() >> np.uint64(1)), int(_mix(h).min() >> np.uint64(1))
+    found, count = np.unique(ids[:-1], return_counts=True)
+    h = _mix(ids[:-2].astype(np.uint64) * np.uint64(1_000_003) + ids[1:-1])
+    return int(found[count.argmax()]), int(h.min() >> np.uint64(1)), int(h.max() >> np.uint64(1))
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
@@ -112,11 +111,11 @@ class Shard:
             t, tf = np.unique(x[:-1], return_counts=True)
             self.terms.append(t)
             terms.append(t)
-            docs.append(np.full(len(t), k, dtype=np.int32))
+            docs.append(np.full(len(t), k, dtype=np.int64))
             weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean)))
         t, d, w = np.concatenate(terms), np.concatenate(docs), np.concatenate(weights)
         order = np.argsort(t, kind="stable")
-        self.docs, self.weights = d[order], w[order].astype(np.float32)
+        self.docs, self.weights = d[order], w[order]
         self.start = np.searchsorted(t[order], np.arange(len(idf) + 1))
         self.n = len(ids)
 
@@ -200,7 +199,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     tokens = scratch.save(tokenize(docs, vocabulary, end_id), "tokens")
     df, n, mean = corpus_counts(tokens, size, dtype)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))  # one number per vocabulary entry
-    parts = max(1, int(-(-n * mean // (4 * shard_tokens))))
+    parts = max(1, int(-(-n * mean // (8 * shard_tokens))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 40

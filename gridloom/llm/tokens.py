@@ -2,6 +2,8 @@
 
 The vocabulary's pre-tokenizer never joins text across a blank or a line feed, so a text's ids are
 the ids of its blank-separated words in order. Words repeat, so each worker keeps a bounded cache.
+A new word of plain letters goes straight to the tokenizer's BPE model, any other one through the
+whole tokenizer.
 """
 
 from __future__ import annotations
@@ -20,8 +22,45 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?")
 _loaded: dict[str, "WordEncoder"] = {}
 
 
+class _Runs(dict):
+    """Lower-case run -> ids of one pre-token, as bytes."""
+
+    def __init__(self, model, dtype: np.dtype):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model, self.kind = model, "H" if dtype.itemsize == 2 else "I"
+        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, run: str) -> bytes:
+        from struct import pack
+
+        seen = run if run.isascii() else self.byte_level.pre_tokenize_str(run)[0][0]
+        ids = [t.id for t in self.model.tokenize(seen)]
+        self[run] = out = pack(f"<{len(ids)}{self.kind}", *ids)
+        return out
+
+
+class _Words(dict):
+    """Word without blanks -> its ids as bytes."""
+
+    def __init__(self, tokenizer, dtype: np.dtype):
+        self.tokenizer, self.dtype, self.runs = tokenizer, dtype, _Runs(tokenizer.model, dtype)
+
+    def __missing__(self, word: str) -> bytes:
+        m = _SIMPLE.fullmatch(word)
+        if m:
+            a, b = m.groups()
+            out = self.runs[a.lower()]
+            if b:
+                out += self.runs[b]
+        else:
+            out = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        self[word] = out
+        return out
+
+
 class WordEncoder:
-    """ids(text) -> little-endian uint16 ids (uint32 for vocabularies over 65,535), as bytes."""
+    """encode(text) -> little-endian uint16 ids (uint32 for vocabularies over 65,535), as bytes."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -30,60 +69,15 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 65535 else np.dtype("<u4")
         self.cache_words = cache_words
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        ends = np.zeros(size, dtype=bool)
-        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            ends[k] = token.endswith("</w>")
-        self.ends = ends
-
-    def _encode_runs(self, runs: list[str]) -> None:
-        got = np.asarray(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, dtype=self.dtype)
-        cut = np.flatnonzero(self.ends[got]) + 1
-        if len(cut) == len(runs):
-            raw, width, at = got.tobytes(), self.dtype.itemsize, 0
-            for run, stop in zip(runs, (cut * width).tolist()):
-                self.runs[run] = raw[at:stop]
-                at = stop
-        else:  # a vocabulary without word ends
-            for run in runs:
-                self.runs[run] = self._plain(run)
-
-    def _plain(self, word: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        parts, need = [], set()
-        for w in words:
-            m = _SIMPLE.fullmatch(w)
-            if m:
-                a, b = m[1].lower(), m[2]
-                parts.append((w, a, b))
-                if a not in self.runs:
-                    need.add(a)
-                if b and b not in self.runs:
-                    need.add(b)
-            else:
-                self.words[w] = self._plain(w)
-        if need:
-            self._encode_runs(list(need))
-        runs = self.runs
-        for w, a, b in parts:
-            self.words[w] = runs[a] + runs[b] if b else runs[a]
+        self.words = _Words(self.tokenizer, self.dtype)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = text.replace("\n", " ").split(" ")
-        cache = self.words
-        if len(cache) > self.cache_words:
-            cache.clear()
-        if len(self.runs) > self.cache_words:
-            self.runs.clear()
-        missing = [w for w in set(words) if w not in cache]
-        if missing:
-            self._learn(missing)
-        return b"".join(map(cache.__getitem__, words))
+        for cache in (self.words, self.words.runs):
+            if len(cache) > self.cache_words:
+                cache.clear()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> WordEncoder:
