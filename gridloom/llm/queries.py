@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import packing, quality, substring
+from gridloom.llm import near_dedup, packing, quality, substring
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,6 +29,10 @@ def op2_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_order_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup(table(spark, sf_dir, "documents")))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_retrieval_packing": op1_retrieval_packing,
         "op2_byte_convnet": op2_byte_convnet,
+        "op3_order_minhash_dedup": op3_order_minhash_dedup,
         "op10_anchor_substring_dedup": op10_anchor_substring_dedup,
     }
 
