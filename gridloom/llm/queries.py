@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import near_dedup, packing, quality, substring
+from gridloom.llm import media, near_dedup, packing, quality, substring, winnow
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,6 +33,16 @@ def op3_order_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_wav_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = media.fingerprint(stored, keep=("doc_id", "n_bytes"), arrays=False)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup(table(spark, sf_dir, "documents")))
 
@@ -66,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_retrieval_packing": op1_retrieval_packing,
         "op2_byte_convnet": op2_byte_convnet,
         "op3_order_minhash_dedup": op3_order_minhash_dedup,
+        "op5_wav_media": op5_wav_media,
+        "op8_winnowing": op8_winnowing,
         "op10_anchor_substring_dedup": op10_anchor_substring_dedup,
     }
 
