@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import media, near_dedup, packing, quality, substring, winnow
+from gridloom.llm import media, mixing, near_dedup, packing, quality, substring, winnow
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,6 +39,11 @@ def op5_wav_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.sample(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.neighbours(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_convnet": op2_byte_convnet,
         "op3_order_minhash_dedup": op3_order_minhash_dedup,
         "op5_wav_media": op5_wav_media,
+        "op6_cube_mixing": op6_cube_mixing,
         "op8_winnowing": op8_winnowing,
         "op10_anchor_substring_dedup": op10_anchor_substring_dedup,
     }

@@ -2,7 +2,7 @@
 
 Any run of 13 words holds a whole aligned block of 7, so indexing only the non-overlapping blocks
 (word 0, 7, 14, ... of each document) and probing them with every rolling window of 7 words finds
-every repeat. A hit is then extended: all 13-word windows around it are keyed by a 128-bit hash, the
+every repeat. A hit is then extended: all 13-word windows around it are keyed by a 96-bit hash, the
 smallest doc_id of each key is found, and runs of windows that an earlier document also has are the
 maximal exact repeats, which are cut out.
 
@@ -64,22 +64,28 @@ def _key_shift(buckets: int) -> np.uint64:
     return np.uint64(max(0, ((1 << 64) // buckets + 1).bit_length() - KEY_BITS))
 
 
-def _squeeze(keys: np.ndarray, flags: np.ndarray) -> bytes:
-    """Ascending keys as byte planes of their differences, and the flags, compressed."""
-    steps = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
-    return pa.compress(np.concatenate((steps.view(np.uint8).reshape(-1, 4).T.ravel(), flags)).tobytes(), codec="zstd", asbytes=True)
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as compressed byte planes."""
+    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), codec="zstd", asbytes=True)
 
 
-def _unsqueeze(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(pa.decompress(data, decompressed_size=5 * n, codec="zstd", asbytes=True), dtype=np.uint8)
-    steps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(steps, dtype=np.uint32), raw[4 * n :]
+def _unsqueeze(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw, out, at = np.frombuffer(pa.decompress(data, decompressed_size=n * sum(sizes), codec="zstd", asbytes=True), dtype=np.uint8), [], 0
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
 def _send_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
     """Per chunk and bucket: 32 bits of each distinct hash, whether it is a block, whether several texts have it.
 
-    Two hashes that agree in those bits only make more candidates; windows are compared by 128 bits.
+    Two hashes that agree in those bits only make more candidates; windows are compared by 96 bits.
     """
     bounds, shift = _bounds(buckets), _key_shift(buckets)
 
@@ -98,7 +104,7 @@ def _send_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
                 flags = (block.astype(np.uint8) << 1) | several
                 cut = _split(values, bounds)
                 full = np.flatnonzero(cut[1:] > cut[:-1])
-                keys = [_squeeze(((values[cut[k] : cut[k + 1]] - bounds[k]) >> shift).astype(np.uint32), flags[cut[k] : cut[k + 1]]) for k in full]
+                keys = [_squeeze(_steps(((values[cut[k] : cut[k + 1]] - bounds[k]) >> shift).astype(np.uint32)), flags[cut[k] : cut[k + 1]]) for k in full]
                 yield pd.DataFrame({"bucket": full, "chunk": chunk, "base": cut[full], "n": cut[full + 1] - cut[full], "keys": keys})
 
     return chunks.select("chunk", "payload").mapInPandas(run, "bucket int, chunk long, base int, n int, keys binary")
@@ -107,8 +113,8 @@ def _send_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
 def _meet_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: hashes that are some document's block and occur in another document, back to their chunks."""
     n = pdf["n"].tolist()
-    parts = [_unsqueeze(x, m) for x, m in zip(pdf["keys"], n)]
-    keys, every = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+    parts = [_unsqueeze(x, m, "<u4", "u1") for x, m in zip(pdf["keys"], n)]
+    keys, every = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in parts]), np.concatenate([x[1] for x in parts])
     packed = np.sort((keys.astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64))
     order, key = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), packed >> np.uint64(32)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -121,15 +127,15 @@ def _meet_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     for chunk, base, m in zip(pdf["chunk"], pdf["base"], n):
         places = np.flatnonzero(hit[start : start + m]) + base
         if len(places):
-            out.append((chunk, places.astype(np.uint32).tobytes()))
+            out.append((chunk, len(places), _squeeze(_steps(places.astype(np.uint32)))))
         start += m
-    return pd.DataFrame(out, columns=["chunk", "places"])
+    return pd.DataFrame(out, columns=["chunk", "n", "places"])
 
 
 def _groups(bag: Bag, ids: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 128-bit keys (two halves, ascending), the group of each window, and each group's smallest doc_id."""
+    """Distinct 96-bit keys (in two parts, ascending), the group of each window, and each group's smallest doc_id."""
     low = grams(bag.hashes, WINDOW)[windows]
-    high = grams(bag.hashes, WINDOW, 0xA0761D6478BD642F)[windows]
+    high = grams(bag.hashes, WINDOW, 0xA0761D6478BD642F)[windows].astype(np.uint32)
     order = np.lexsort((high, low))
     a, b = low[order], high[order]
     first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
@@ -150,31 +156,32 @@ def _extend(joined: DataFrame, buckets: int) -> DataFrame:
                 at, values, order, first = _anchors(bag)
                 shared = np.zeros(len(values), dtype=bool)
                 for x in places:
-                    shared[np.frombuffer(x, dtype=np.uint32)] = True
+                    shared[np.cumsum(_unsqueeze(x["places"], x["n"], "<u4")[0], dtype=np.int64)] = True
                 hit = np.zeros(len(bag.starts) + 1, dtype=np.int64)
                 hit[at[order[np.repeat(shared, np.diff(np.append(first, len(order))))]]] = 1
-                total = np.concatenate(([0], np.cumsum(hit)))
+                # a repeat has the window's own aligned block too, so that block was hit
                 windows = bag.windows(WINDOW)
-                windows = windows[total[windows + WINDOW - BLOCK + 1] > total[windows]]
+                own = windows + (bag.first[bag.text_of[windows]] - windows) % BLOCK
+                windows = windows[hit[own] > 0]
                 if not len(windows):
                     continue
                 a, b, _, least = _groups(bag, ids, windows)
                 cut = _split(a, bounds)
                 full = np.flatnonzero(cut[1:] > cut[:-1])
-                part = lambda x: [x[cut[k] : cut[k + 1]].tobytes() for k in full]
-                steps = pa.compress(np.diff(windows, prepend=0).astype("<u4").tobytes(), codec="zstd", asbytes=True)
+                parts = [slice(cut[k], cut[k + 1]) for k in full]
                 yield pd.DataFrame({
-                    "kind": [0] + [1] * len(full), "bucket": [-1, *full], "chunk": chunk, "base": [len(windows), *cut[full]],
-                    "a": [steps, *part(a)], "b": [None, *part(b)], "docs": [None, *part(least)],
+                    "kind": [0] + [1] * len(full), "bucket": [-1, *full], "chunk": chunk, "base": [0, *cut[full]], "n": [len(windows), *(cut[full + 1] - cut[full])],
+                    "data": [_squeeze(_steps(windows.astype(np.uint32))), *(_squeeze(_steps(a[x]), b[x], least[x]) for x in parts)],
                 })
 
-    return joined.mapInPandas(run, "kind int, bucket int, chunk long, base int, a binary, b binary, docs binary")
+    return joined.mapInPandas(run, "kind int, bucket int, chunk long, base int, n int, data binary")
 
 
 def _meet_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: the smallest doc_id of each window, back to the chunks whose own is larger."""
-    n = [len(x) // 8 for x in pdf["a"]]
-    a, b, docs = (np.concatenate([np.frombuffer(x, dtype=kind) for x in pdf[c]]) for c, kind in (("a", np.uint64), ("b", np.uint64), ("docs", np.int64)))
+    n = pdf["n"].tolist()
+    parts = [_unsqueeze(x, m, "<u8", "<u4", "<i8") for x, m in zip(pdf["data"], n)]
+    a, b, docs = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
     order = np.lexsort((b, a))
     x, y = a[order], b[order]
     first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
@@ -185,9 +192,9 @@ def _meet_windows(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = slice(start, start + m)
         smaller = np.flatnonzero(least[mine] < docs[mine])
         if len(smaller):
-            out.append((chunk, (smaller + base).astype(np.uint32).tobytes(), least[mine][smaller].tobytes()))
+            out.append((chunk, len(smaller), _squeeze(_steps((smaller + base).astype(np.uint32)), least[mine][smaller])))
         start += m
-    return pd.DataFrame(out, columns=["chunk", "b", "docs"])
+    return pd.DataFrame(out, columns=["chunk", "n", "data"])
 
 
 def _cut(bag: Bag, removed: np.ndarray) -> list[bytes]:
@@ -220,16 +227,15 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
     chunks = scratch.save(chunked(docs), "chunks", codec="uncompressed")  # the payload is compressed
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    hits = _send_anchors(chunks, buckets).groupBy("bucket").applyInPandas(_meet_anchors, "chunk long, places binary")
-    per_chunk = hits.groupBy("chunk").agg(F.collect_list("places").alias("places"))  # at most a chunk's own distinct hashes
+    hits = _send_anchors(chunks, buckets).groupBy("bucket").applyInPandas(_meet_anchors, "chunk long, n int, places binary")
+    per_chunk = hits.groupBy("chunk").agg(F.collect_list(F.struct("n", "places")).alias("places"))  # at most a chunk's own distinct hashes
     found = scratch.save(_extend(chunks.select("chunk", "payload").join(per_chunk, "chunk"), buckets), "windows")
     del hits, per_chunk
     release(spark)
-    smaller = found.where("kind = 1").groupBy("bucket").applyInPandas(_meet_windows, "chunk long, b binary, docs binary")
+    smaller = found.where("kind = 1").groupBy("bucket").applyInPandas(_meet_windows, "chunk long, n int, data binary")
     notes = (
-        found.where("kind = 0").select("chunk", "kind", "base", F.col("a").alias("places"), "docs")
-        .unionByName(smaller.select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("base"), F.col("b").alias("places"), "docs"))
-        .groupBy("chunk").agg(F.collect_list(F.struct("kind", "base", "places", "docs")).alias("notes"))
+        found.where("kind = 0").select("chunk", "kind", "n", "data").unionByName(smaller.select("chunk", F.lit(1).alias("kind"), "n", "data"))
+        .groupBy("chunk").agg(F.collect_list(F.struct("kind", "n", "data")).alias("notes"))
     )
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -241,11 +247,11 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
                 removed = np.zeros(len(bag.starts) + 1, dtype=np.int64)
                 rows = sorted(given.as_py() or [], key=lambda x: x["kind"])
                 if rows:
-                    steps = pa.decompress(rows[0]["places"], decompressed_size=4 * rows[0]["base"], codec="zstd", asbytes=True)
-                    windows = np.cumsum(np.frombuffer(steps, dtype="<u4").astype(np.int64))
+                    windows = np.cumsum(_unsqueeze(rows[0]["data"], rows[0]["n"], "<u4")[0], dtype=np.int64)
                     _, _, group, least = _groups(bag, ids, windows)
                     for x in rows[1:]:
-                        least[np.frombuffer(x["places"], dtype=np.uint32)] = np.frombuffer(x["docs"], dtype=np.int64)
+                        steps, smallest = _unsqueeze(x["data"], x["n"], "<u4", "<i8")
+                        least[np.cumsum(steps, dtype=np.int64)] = smallest
                     gone = windows[least[group] < ids[bag.text_of[windows]]]
                     edge = np.zeros(len(bag.starts) + WINDOW + 1, dtype=np.int64)
                     edge[gone] += 1
