@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import media, mixing, near_dedup, packing, quality, substring, winnow
+from gridloom.llm import media, mixing, near_dedup, packing, quality, substring, url_filter, warc, winnow
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,6 +33,35 @@ def op3_order_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages
+), d AS (
+  SELECT *, translate(upper(concat(
+      lpad(to_base(('0x' || s[1:10])::BIGINT, 32), 8, '0'), lpad(to_base(('0x' || s[11:20])::BIGINT, 32), 8, '0'),
+      lpad(to_base(('0x' || s[21:30])::BIGINT, 32), 8, '0'), lpad(to_base(('0x' || s[31:40])::BIGINT, 32), 8, '0'))),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+    max(page_id) OVER (PARTITION BY h) AS largest
+  FROM p
+)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < largest THEN largest END AS refers_to
+FROM d
+"""
+
+
+def op7_url_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(pages, table(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op5_wav_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = media.fingerprint(stored, keep=("doc_id", "n_bytes"), arrays=False)
@@ -81,8 +110,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_retrieval_packing": op1_retrieval_packing,
         "op2_byte_convnet": op2_byte_convnet,
         "op3_order_minhash_dedup": op3_order_minhash_dedup,
+        "op4_warc_index": op4_warc_index,
         "op5_wav_media": op5_wav_media,
         "op6_cube_mixing": op6_cube_mixing,
+        "op7_url_gbdt": op7_url_gbdt,
         "op8_winnowing": op8_winnowing,
         "op10_anchor_substring_dedup": op10_anchor_substring_dedup,
     }
@@ -90,5 +121,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc_index": OP4_SQL,
         "op10_anchor_substring_dedup": OP10_SQL,
     }
