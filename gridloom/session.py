@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -64,8 +65,10 @@ class Scratch:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs whose frames are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the second round finds what the first one's finalizers let go
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def delete(spark: SparkSession, path: str) -> None:
