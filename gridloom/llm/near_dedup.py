@@ -90,7 +90,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         node = TaskContext.get().partitionId() << 36
         for pdf in batches:
             size = np.fromiter((len(t or "") for t in pdf["text"]), dtype=np.int64, count=len(pdf))
-            for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(size) // (4 << 20))) + 1):
+            for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(size) // (1 << 20))) + 1):
                 if len(part):
                     yield _sketch_part(pdf.iloc[part], node)
                     node += len(part)
@@ -328,6 +328,7 @@ def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     found = near_duplicates(docs, scratch)
     stay = found.where("doc_id = class_id").select("doc_id").distinct()
     kept = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    kept = kept.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+        kept = kept.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import media, mixing, near_dedup, packing, quality, substring, url_filter, warc, winnow
+from gridloom.llm import chat, media, mixing, near_dedup, packing, quality, substring, url_filter, warc, winnow
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -77,6 +77,35 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.neighbours(table(spark, sf_dir, "documents"))
 
 
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("loss_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
+    return chat.rotate(table(spark, sf_dir, "conversations")).select("conv_id", "speaker", "segment", F.col("n_turns").cast("long").alias("n_turns"), "rendered", spans.alias("loss_spans"))
+
+
+OP9_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, role IS NULL AS nameless, coalesce(text, '') AS text,
+         coalesce(floor(turn / 64)::BIGINT, -1) AS segment
+  FROM conversations
+), who AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM t WHERE NOT nameless
+), u AS (
+  SELECT DISTINCT conv_id, segment, turn, role, text FROM t
+), p AS (
+  SELECT u.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head
+  FROM u JOIN who ON u.conv_id IS NOT DISTINCT FROM who.conv_id
+), q AS (
+  SELECT *, head || text || '<|end|>' || chr(10) AS piece,
+         sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, role, text) - length(text) - 8 AS start
+  FROM p
+)
+SELECT conv_id, speaker, segment, count(*) AS n_turns,
+       string_agg(piece, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+       coalesce(string_agg(start::BIGINT || ':' || (length(text) + 8), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (role = speaker), '') AS loss_spans
+FROM q GROUP BY conv_id, speaker, segment
+"""
+
+
 def op10_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup(table(spark, sf_dir, "documents")))
 
@@ -115,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_cube_mixing": op6_cube_mixing,
         "op7_url_gbdt": op7_url_gbdt,
         "op8_winnowing": op8_winnowing,
+        "op9_perspective_rotation": op9_perspective_rotation,
         "op10_anchor_substring_dedup": op10_anchor_substring_dedup,
     }
 
@@ -122,5 +152,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc_index": OP4_SQL,
+        "op9_perspective_rotation": OP9_SQL,
         "op10_anchor_substring_dedup": OP10_SQL,
     }

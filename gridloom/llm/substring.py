@@ -6,7 +6,7 @@ every repeat. A hit is then extended: all 13-word windows around it are keyed by
 smallest doc_id of each key is found, and runs of windows that an earlier document also has are the
 maximal exact repeats, which are cut out.
 
-Scale: documents travel as chunks of a few MB. A chunk sends each *distinct* hash once to the hash's
+Scale: documents travel as chunks of about a MB. A chunk sends each *distinct* hash once to the hash's
 bucket and gets back the places that matter, so a passage that a third of all rows share costs one
 entry per chunk, and no pair of occurrences is ever made. Buckets grow in number with the corpus.
 """

@@ -18,7 +18,7 @@ from gridloom.session import ship
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -101,7 +101,7 @@ class Bag:
 CHUNK_SCHEMA = "chunk long, n_bytes long, payload binary"
 
 
-def chunked(docs: DataFrame, target: int = 4 << 20) -> DataFrame:
+def chunked(docs: DataFrame, target: int = 1 << 20) -> DataFrame:
     """Whole rows in chunks of about ``target`` text bytes, each one compressed Arrow stream.
 
     A chunk has several rows or one long one. Its number comes from the task and is the same when
