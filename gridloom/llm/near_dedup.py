@@ -12,9 +12,10 @@ without up to two shingles at its ends, which is exact: at 0.8 they cannot diffe
 
 Candidates never form all pairs of a bucket. Members are compared with the bucket's leader, the one
 whose keys are commonest (the unedited original of a family, as edits make keys rare; ties to the
-smaller node). Members that no leader matched go on to the next, four times as many leaders of their
-own, until every member of every bucket is a leader or alike to one. Families of edits of edits also
-meet without their original, in the buckets of the keys that the first edit made.
+smaller node). The few that fail are compared with all members of the bucket, in blocks: a pair of
+blocks is one group, which counts common shingles by matrix products and aligns only pairs that these
+counts leave possible. No pair becomes a row unless it is alike. So only two documents that are each
+alike to the leaders of their buckets, but not connected by them, go unmet.
 
 Exact copies meet first, by 128 bits over their words, and only one of each goes further.
 """
@@ -36,6 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROW = 24, 5
 #: Documents of up to TINY shingles have end-trimmed keys, those of FULL or more have the bands' keys.
 TINY, FULL = 10, 9
+#: Members of a bucket that one block holds, about.
+BLOCK = 256
 _SEEDS = np.random.default_rng(3).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -226,7 +229,7 @@ def _verify(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
     left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, similarity double")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -251,17 +254,60 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return state
 
 
-def _lead(members: DataFrame, count: int) -> DataFrame:
-    """(key, leader): each bucket's ``count`` best supported members, ties to the smaller node.
+def _lead(members: DataFrame) -> DataFrame:
+    """(key, leader): each bucket's best supported member. An aggregate that every task prepares, so no task holds a bucket."""
+    best = members.groupBy("key").agg(F.max(F.struct("support", F.bitwise_not("node").alias("least"))).alias("best"))
+    return best.select("key", F.bitwise_not("best.least").alias("leader"))
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many distinct shingles each of ``left`` has in common with each of ``right``."""
+    docs = [np.unique(x) for x in (*left, *right)]
+    owner = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
+    values, place, count = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    owner, place = owner[shared], place[shared]
+    _, place = np.unique(place, return_inverse=True)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    step = 4096
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for a in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+        lo, hi = np.searchsorted(place, (a, a + step))
+        m = np.zeros((len(docs), step), dtype=np.float32)
+        m[owner[lo:hi], place[lo:hi] - a] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
 
-    One leader is an aggregate that every task prepares; several are a window that Spark cuts short
-    in each task first. No task holds a bucket.
-    """
-    if count == 1:
-        best = members.groupBy("key").agg(F.max(F.struct("support", F.bitwise_not("node").alias("least"))).alias("best"), F.count("*").alias("n"))
-        return best.where("n > 1").select("key", F.bitwise_not("best.least").alias("leader"))
-    order = Window.partitionBy("key").orderBy(F.desc("support"), "node")
-    return members.withColumn("k", F.row_number().over(order)).where(F.col("k") <= count).select("key", F.col("node").alias("leader"))
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One pair of blocks of a bucket: the alike pairs of a failed member and any member."""
+    failed, others = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    x, y = ([np.frombuffer(v, dtype=np.uint32) for v in part["shingles"]] for part in (failed, others))
+    if not x or not y:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    nx, ny = np.asarray([len(v) for v in x]), np.asarray([len(v) for v in y])
+    dx, dy = (np.asarray([len(v) - len(np.unique(v)) for v in part]) for part in (x, y))
+    # repeats of a shingle may match too, but no more than a side has
+    matched = _common(x, y) + np.minimum(dx[:, None], dy[None, :])
+    total = nx[:, None] + ny[None, :]
+    possible = total - 2 * matched <= total * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
+    a, b = failed["node"].to_numpy(), others["node"].to_numpy()
+    i, j = np.nonzero(possible & (a[:, None] != b[None, :]))
+    good = resemblances([x[k] for k in i], [y[k] for k in j]) >= SIMILARITY
+    return pd.DataFrame({"a": np.minimum(a[i], b[j])[good], "b": np.maximum(a[i], b[j])[good]})
+
+
+def _blocked(failed: DataFrame, members: DataFrame, shingles: DataFrame) -> DataFrame:
+    """a, b of the alike pairs between the failed members of a bucket and all its members."""
+    blocks = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    many = blocks(failed, "nf").join(blocks(members, "nm"), "key")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = failed.select("key", "node").join(many, "key").select("key", "node", F.lit(0).alias("side"), place("nf").alias("i"), every("nm").alias("j"))
+    other = members.select("key", "node").join(many, "key").select("key", "node", F.lit(1).alias("side"), place("nm").alias("j"), every("nf").alias("i"))
+    rows = one.unionByName(other).join(shingles.hint("merge"), "node")
+    return rows.select("key", "i", "j", "side", "node", "shingles").groupBy("key", "i", "j").applyInPandas(_meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -281,33 +327,27 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     # of rows with equal words, the one with the smallest doc_id stands for all
     exact = ["e1", "e2", "n_words"]
     reps = scratch.save(named.groupBy(*exact).agg(F.min(F.struct("doc_id", "node")).alias("r")).select(*exact, F.col("r.doc_id").alias("exact_of"), F.col("r.node").alias("node")), "exact")
-    banded = named.select("node", "keys").join(reps.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
+    banded = named.select("node", "keys").join(reps.select("node").hint("merge"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
     banded = scratch.save(banded, "keys")
     busy = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.save(banded.join(busy, "key"), "met")
+    met = scratch.save(banded.join(busy.hint("merge"), "key"), "met")
     support = met.groupBy("node").agg(F.sum(F.log2("n")).alias("support"))
     members = scratch.save(met.select("key", "node").join(support, "node"), "members")
-    shingles = scratch.save(rows.select("node", "shingles").join(support.select("node"), "node", "left_semi"), "shingles")
+    shingles = scratch.save(rows.select("node", "shingles").join(support.select("node").hint("merge"), "node", "left_semi"), "shingles")
     release(spark)
 
-    edges, tested, left, count = None, None, members, 1
-    while True:  # until every member of a bucket is a leader or alike to one
-        led = left.join(_lead(left, count), "key").select("key", "node", "support", "leader")
-        led = scratch.save(led, "led")
-        pairs = led.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = scratch.save(_verify(pairs, shingles), "alike")
-        edges, tested = (good, pairs) if edges is None else (edges.unionByName(good), tested.unionByName(pairs))
-        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("leader")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("leader"))).withColumn("alike", F.lit(1))
-        done = F.max((F.col("node") == F.col("leader")) | F.col("alike").isNotNull())
-        left = led.join(ends, ["node", "leader"], "left").groupBy("key", "node", "support").agg(done.alias("done")).where("NOT done").drop("done")
-        several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        left = scratch.save(left.join(several, "key", "left_semi"), "left")
-        release(spark)
-        if left.limit(1).count() == 0:
-            break
-        count *= 4
-    edges = scratch.save(edges.select("a", "b").distinct(), "edges")
+    led = scratch.save(members.join(_lead(members), "key").select("key", "node", "leader"), "led")
+    pairs = led.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    good = scratch.save(_verify(pairs, shingles).select("a", "b"), "alike")
+    release(spark)
+    ends = good.select(F.col("a").alias("node"), F.col("b").alias("leader")).unionByName(good.select(F.col("b").alias("node"), F.col("a").alias("leader")))
+    failed = led.where("node <> leader").join(ends, ["node", "leader"], "left_anti").select("key", "node")
+    # with nobody but the leader to meet, a failed member is settled
+    more = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
+    failed = scratch.save(failed.join(more, "key", "left_semi"), "failed")
+    bucket = members.select("key", "node").join(failed.select("key").distinct(), "key", "left_semi")
+    edges = scratch.save(good.unionByName(_blocked(failed, bucket, shingles)).distinct(), "edges")
+    release(spark)
     roots = components(edges, scratch)
     degree = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "node")
     placed = reps.join(roots, "node", "left").join(degree, "node", "left")
