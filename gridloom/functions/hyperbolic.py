@@ -2,58 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.functions.vec import add, dot, norm, norm2, num, sub, times
+from gridloom.functions.vec import dot, let, norm, norm2, num, sub, times
 
 EPS = 1e-10
 EDGE = 1 - 1e-10
 
 
 def into_ball(x: Column) -> Column:
-    n = norm(x)
-    return F.when(n >= EDGE, times(x, num(EDGE) / n)).otherwise(x)
+    return let(x, lambda y: let(norm(y), lambda n: F.when(n >= EDGE, times(y, num(EDGE) / n)).otherwise(y)))
 
 
 def distance(u: Column, v: Column, c: float = 1.0) -> Column:
-    u, v = into_ball(u), into_ball(v)
-    room = F.greatest((1 - c * norm2(u)) * (1 - c * norm2(v)), num(EPS))
-    return F.acosh(F.greatest(num(1), 1 + 2 * c * norm2(sub(u, v)) / room)) / num(c**0.5)
+    def between(x: Column, y: Column) -> Column:
+        room = F.greatest((1 - c * norm2(x)) * (1 - c * norm2(y)), num(EPS))
+        return F.acosh(F.greatest(num(1), 1 + 2 * c * norm2(sub(x, y)) / room)) / num(c**0.5)
+
+    return let(into_ball(u), lambda x: let(into_ball(v), lambda y: between(x, y)))
 
 
 def mobius_add(u: Column, v: Column, c: float = 1.0) -> Column:
-    u, v = into_ball(u), into_ball(v)
-    uv, uu, vv = dot(u, v), norm2(u), norm2(v)
-    below = 1 + 2 * c * uv + c * c * uu * vv
-    below = F.when(F.abs(below) < EPS, num(EPS)).otherwise(below)
-    return into_ball(times(add(times(u, 1 + 2 * c * uv + c * vv), times(v, 1 - c * uu)), 1 / below))
+    def plus(x: Column, y: Column) -> Column:
+        dots = F.struct(dot(x, y).alias("xy"), norm2(x).alias("xx"), norm2(y).alias("yy"))
+
+        def of(d: Column) -> Column:
+            below = 1 + 2 * c * d["xy"] + c * c * d["xx"] * d["yy"]
+            below = F.when(F.abs(below) < EPS, num(EPS)).otherwise(below)
+            return F.zip_with(x, y, lambda a, b: ((1 + 2 * c * d["xy"] + c * d["yy"]) * a + (1 - c * d["xx"]) * b) / below)
+
+        return let(dots, of)
+
+    return into_ball(let(into_ball(u), lambda x: let(into_ball(v), lambda y: plus(x, y))))
 
 
 def exp_map(x: Column, v: Column, c: float = 1.0) -> Column:
     """From x along v. The conformal factor is 1 / (1 - c|x|^2), its argument at most 10."""
-    x, n, root = into_ball(x), norm(v), c**0.5
-    arg = F.greatest(num(-10), F.least(num(10), root * n / (1 - c * norm2(x) + EPS)))
-    return F.when(n < EPS, x).otherwise(mobius_add(x, times(v, F.tanh(arg) / (root * n + EPS)), c))
+    root = c**0.5
+
+    def go(p: Column, w: Column, n: Column) -> Column:
+        arg = F.greatest(num(-10), F.least(num(10), root * n / (1 - c * norm2(p) + EPS)))
+        return F.when(n < EPS, p).otherwise(mobius_add(p, let(F.tanh(arg) / (root * n + EPS), lambda k: times(w, k)), c))
+
+    return let(into_ball(x), lambda p: let(v, lambda w: let(norm(w), lambda n: go(p, w, n))))
 
 
 def log_map(x: Column, y: Column, c: float = 1.0) -> Column:
-    x, root = into_ball(x), c**0.5
-    d = mobius_add(times(x, num(-1)), y, c)
-    n = norm(d)
-    arg = F.greatest(num(-1 + EPS), F.least(num(1 - EPS), root * n))
-    factor = F.atanh(arg) / (root * n / (1 - c * norm2(x) + EPS) + EPS)
-    return F.when(n < EPS, times(x, num(0))).otherwise(times(d, factor))
-
-
-def geodesic(u: Column, v: Column, t: float, c: float = 1.0) -> Column:
-    """u at 0, v at 1; between them the exponential of t times the Möbius difference."""
-    u, v = into_ball(u), into_ball(v)
-    if t <= 0:
-        return u
-    if t >= 1:
-        return v
-    d = mobius_add(times(u, num(-1)), v, c)
-    return F.when(norm(d) < EPS, u).otherwise(exp_map(u, times(d, num(t)), c))
+    root = c**0.5
+
+    def go(p: Column, d: Column, n: Column) -> Column:
+        arg = F.greatest(num(-1 + EPS), F.least(num(1 - EPS), root * n))
+        factor = F.atanh(arg) / (root * n / (1 - c * norm2(p) + EPS) + EPS)
+        return F.when(n < EPS, times(p, num(0))).otherwise(let(factor, lambda k: times(d, k)))
+
+    return let(into_ball(x), lambda p: let(mobius_add(times(p, num(-1)), y, c), lambda d: let(norm(d), lambda n: go(p, d, n))))
+
+
+def along(df: DataFrame, u: str, v: str, t: Column, to: str) -> DataFrame:
+    """``df`` with the point at t on the geodesic from u (0) to v (1): the exponential of t times the Möbius difference.
+
+    In two projections, since one expression of this depth is more than the analyzer takes.
+    """
+    start, end = into_ball(F.col(u)), into_ball(F.col(v))
+    step = df.withColumn("__d", mobius_add(times(start, num(-1)), end)).withColumn("__n", norm(F.col("__d")))
+    moved = step.withColumn("__e", exp_map(F.col(u), times(F.col("__d"), t)))
+    point = F.when((t <= 0) | (F.col("__n") < EPS), start).when(t >= 1, end).otherwise(F.col("__e"))
+    return moved.withColumn(to, point).drop("__d", "__n", "__e")
 
 
 def to_lorentz(p: Column) -> Column:

@@ -5,6 +5,8 @@ A null vector gives null. Where a function is about unit vectors, norms under EP
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 EPS = 1e-10
@@ -103,6 +105,11 @@ def apply_matrix(rows: list[list[float]], v: Column) -> Column:
     return F.array(*(dot(F.array(*map(num, r)), v) for r in rows))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with ``value`` evaluated once: a one-element array, transformed. Keeps nested expressions from growing as powers."""
+    return F.transform(F.array(value), body)[0]
+
+
 def variance(v: Column) -> Column:
     """Population variance of the entries."""
     m = total(v) / F.size(v)

@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridloom.session import ship
+
 
-def byte_pairs(df: DataFrame, column: str, order: int) -> DataFrame:
-    """ctx (the ``order`` bytes before, as hex; empty for order 0) and sym of every byte that has them, by document.
+def byte_runs(df: DataFrame, column: str, order: int) -> DataFrame:
+    """code, n: runs of ``order`` + 1 consecutive bytes of a value (up to 7, as one integer, oldest byte highest) and how often they occur.
 
-    Bytes come from the hex form, two digits each, so nothing leaves the JVM; counting happens before any exchange.
+    A numpy histogram per Arrow batch: what leaves Python is one row per distinct run and batch, so counting
+    happens before any exchange and no row is made per byte.
     """
-    h = F.hex(F.col(column).cast("binary"))
-    n = F.octet_length(F.col(column)) - order
-    at = F.sequence(F.lit(1), n)
-    pieces = F.when(n > 0, F.transform(at, lambda i: F.substring(h, 2 * i - 1, F.lit(2 * order + 2)))).otherwise(F.expr("cast(array() as array<string>)"))
-    cells = df.select(F.explode(pieces).alias("s"))
-    return cells.select(F.substring("s", 1, 2 * order).alias("ctx"), F.substring("s", 2 * order + 1, 2).alias("sym"))
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            codes = []
+            for value in pdf["b"]:
+                x = np.frombuffer(value or b"", dtype=np.uint8).astype(np.int64)
+                if len(x) > order:
+                    code = np.zeros(len(x) - order, dtype=np.int64)
+                    for k in range(order + 1):
+                        code = code << 8 | x[k : len(x) - order + k]
+                    codes.append(code)
+            if codes:
+                found, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pd.DataFrame({"code": found, "n": n})
+
+    counted = df.select(F.col(column).cast("binary").alias("b")).mapInPandas(run, "code long, n long")
+    return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """sym (two hex digits), n."""
-    return byte_pairs(df, column, 0).groupBy("sym").agg(F.count("*").alias("n"))
+    return byte_runs(df, column, 0).select(F.lpad(F.hex("code"), 2, "0").alias("sym"), "n")
 
 
 def conditional_entropy(df: DataFrame, column: str, order: int) -> DataFrame:
     """One row: bytes with a full context, contexts, and bits per byte given the ``order`` bytes before."""
-    cells = byte_pairs(df, column, order).groupBy("ctx", "sym").agg(F.count("*").alias("n"))
+    cells = byte_runs(df, column, order).withColumn("ctx", F.shiftright("code", 8))
     per = cells.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("part"))
     out = per.agg(F.sum("total").alias("n_bytes"), F.count("*").alias("contexts"), F.sum(F.col("total") * F.log2("total") - F.col("part")).alias("bits"))
     return out.select("n_bytes", "contexts", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))

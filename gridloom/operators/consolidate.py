@@ -10,17 +10,21 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridloom.functions.vec import norm2
 from gridloom.operators import leech
 from gridloom.session import ship
 
 
-@F.pandas_udf(T.StringType())
-def member_id(v: pd.Series) -> pd.Series:
+def member_id(column: str = "v") -> Column:
     """First 16 hex digits of the SHA-256 of the row as float32 bytes."""
-    return v.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, dtype="<f4").tobytes()).hexdigest()[:16])
+
+    @F.pandas_udf(T.StringType())
+    def address(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, dtype="<f4").tobytes()).hexdigest()[:16])
+
+    return address(column)
 
 
 def assign(rows: DataFrame, scale: float = 1.0) -> DataFrame:

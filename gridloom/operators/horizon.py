@@ -44,7 +44,7 @@ def derived(absorbed: DataFrame, n: int) -> DataFrame:
 
 
 @F.udf(T.StringType())
-def _checksum(v: list[float] | None) -> str | None:
+def _checksum(v):
     return None if v is None else hashlib.sha256(np.asarray(v, dtype="<f8").tobytes()).hexdigest()[:16]
 
 

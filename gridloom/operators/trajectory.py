@@ -24,18 +24,15 @@ def deviations(points: DataFrame, curved: bool = False) -> DataFrame:
     rows = rows.withColumn("start", e8.nearest_point(F.col("a"))["point"]).withColumn("end", e8.nearest_point(F.col("b"))["point"]).drop("a", "b")
     t = F.when(F.col("length") > 1, F.col("idx") / (F.col("length") - 1)).otherwise(num(0))
     rows = rows.withColumn("t", t.cast("double"))
-    expected = _curve(F.col("start"), F.col("end"), F.col("t")) if curved else F.zip_with("start", "end", lambda x, y: (1 - F.col("t")) * x + F.col("t") * y)
-    out = rows.withColumn("expected", expected).withColumn("deviation", sub(F.col("v"), F.col("expected")))
+    if curved:
+        rows = hyperbolic.along(rows, "start", "end", F.col("t"), "expected")
+    else:
+        rows = rows.withColumn("expected", F.zip_with("start", "end", lambda x, y: (1 - F.col("t")) * x + F.col("t") * y))
+    out = rows.withColumn("deviation", sub(F.col("v"), F.col("expected")))
     inner = (F.col("idx") > 0) & (F.col("idx") < F.col("length") - 1)
     return out.withColumn("dev_norm", F.when(inner, norm(F.col("deviation"))).otherwise(num(0))).withColumn("inner", inner)
 
 
-def _curve(u: Column, v: Column, t: Column) -> Column:
-    u, v = hyperbolic.into_ball(u), hyperbolic.into_ball(v)
-    d = hyperbolic.mobius_add(F.transform(u, lambda x: -x), v)
-    return F.when(norm(d) < hyperbolic.EPS, u).otherwise(hyperbolic.exp_map(u, F.transform(d, lambda x: x * t)))
-
-
 def summarize(dev: DataFrame, tolerance: float | Column = 0.1) -> DataFrame:
     """key, length, perturbations, ratio = 64 n / (128 + 68 p), fidelity = 1 / (1 + p tolerance)."""
     tol = num(tolerance) if isinstance(tolerance, (int, float)) else tolerance

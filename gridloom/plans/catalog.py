@@ -74,7 +74,7 @@ def lit(xs: list[float]) -> str:
 
 # --- recall ---------------------------------------------------------------------------------------
 
-ASKED = F.col("id") % 100 == 0  # the queries: every hundredth row, against all rows
+ASKED = "id % 100 = 0"  # the queries: every hundredth row, against all rows
 
 
 @query(f"""WITH v AS ({sql_vectors()}), q AS (SELECT id AS qid, v AS q FROM v WHERE id % 100 = 0),
@@ -202,7 +202,7 @@ def phi_weighted_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH e AS (SELECT event_id, value, list_transform({lit(golden.fibonacci(15))}, lambda f: abs(abs(value) - f)) AS off FROM events)
-SELECT event_id, list_position(off, list_min(off)) - 1 AS level, {R6.format(f"value - CASE WHEN value < 0 THEN -1 ELSE 1 END * {lit(golden.fibonacci(15))}[list_position(off, list_min(off))]")} AS residual FROM e""")
+SELECT event_id, list_position(off, list_min(off)) - 1 AS level, {R6.format(f"value - CASE WHEN value < 0 THEN -1 ELSE 1 END * list_extract({lit(golden.fibonacci(15))}, list_position(off, list_min(off)))")} AS residual FROM e""")
 def fibonacci_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("value")
     return table(spark, sf_dir, "events").select("event_id", golden.fibonacci_level(x).alias("level"), r6(golden.fibonacci_residual(x)).alias("residual"))
@@ -255,8 +255,9 @@ def mobius_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HP + f"""SELECT id, (k - 1)::BIGINT AS pos, {R6.format('a[k]')} AS start, {R6.format('b[k]')} AS finish FROM p, range(1, 9) t(k)""")
 def geodesic_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    both = neighbours(spark, sf_dir, 8, 1.0).select("id", F.arrays_zip(hyp.geodesic(a, b, 0.0).alias("s"), hyp.geodesic(a, b, 1.0).alias("f")).alias("z"))
+    rows = neighbours(spark, sf_dir, 8, 1.0)
+    rows = hyp.along(hyp.along(rows, "a", "b", F.lit(0.0), "s"), "a", "b", F.lit(1.0), "f")
+    both = rows.select("id", F.arrays_zip(F.col("s"), F.col("f")).alias("z"))
     return both.select("id", F.posexplode("z").alias("pos", "e")).select("id", F.col("pos").cast("long").alias("pos"), r6(F.col("e.s")).alias("start"), r6(F.col("e.f")).alias("finish"))
 
 
@@ -270,7 +271,7 @@ def log_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def geodesic_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(neighbours(spark, sf_dir, 8, 1.0).select("id", hyp.geodesic(F.col("a"), F.col("b"), 0.5).alias("v")), "id")
+    return long(hyp.along(neighbours(spark, sf_dir, 8, 1.0), "a", "b", F.lit(0.5), "v").select("id", "v"), "id")
 
 
 @query(_HP + f""", n AS (SELECT *, {DOT.format('a', 'a')} AS aa, {DOT.format('b', 'b')} AS bb, {DOT.format('a', 'b')} AS ab FROM p)
@@ -358,7 +359,7 @@ def adaptive_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Golay code -------------------------------------------------------------------------------------------
 
-_BITS = " | ".join(f"((bit_count((m & {row})::BIGINT) & 1) << {i})" for i, row in enumerate(golay.PARITY_ROWS))
+_BITS = " | ".join(f"((bit_count((m & {row})::BIGINT) & 1)::BIGINT << {i})" for i, row in enumerate(golay.PARITY_ROWS))
 _BOOK = f"WITH book AS (SELECT m AS message, m | (({_BITS}) << 12) AS codeword FROM range(0, 4096) t(m))"
 
 
@@ -372,7 +373,7 @@ def golay_weight_enumerator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.codebook(spark).groupBy("weight").agg(F.count("*").alias("n"))
 
 
-@query(_BOOK + """, w AS (SELECT o_orderkey AS id, xor(xor(codeword, 1 << (o_orderkey % 24)), 1 << ((o_orderkey // 24) % 24)) AS word, codeword, message FROM orders JOIN book ON message = o_orderkey % 4096)
+@query(_BOOK + """, w AS (SELECT o_orderkey AS id, xor(xor(codeword, 1::BIGINT << (o_orderkey % 24)::INTEGER), 1::BIGINT << ((o_orderkey // 24) % 24)::INTEGER) AS word, codeword, message FROM orders JOIN book ON message = o_orderkey % 4096)
 SELECT id, word::BIGINT AS word, codeword::BIGINT AS codeword, message::BIGINT AS message, bit_count(xor(word, codeword)::BIGINT)::INTEGER AS errors FROM w""")
 def golay_syndrome_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
@@ -553,17 +554,18 @@ def trajectory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- bytes ----------------------------------------------------------------------------------------------------
 
-_HEX = """WITH h AS (SELECT upper(hex(encode(text))) AS h, strlen(text) AS n FROM documents WHERE text IS NOT NULL)"""
+_HEX = """WITH h AS (SELECT regexp_extract_all(upper(hex(encode(text))), '..') AS h FROM documents WHERE text IS NOT NULL)"""
 
 
-@query(_HEX + ", s AS (SELECT unnest(list_transform(range(0, n), lambda i: h[2 * i + 1 : 2 * i + 2])) AS sym FROM h) SELECT sym, count(*) AS n FROM s GROUP BY sym")
+@query(_HEX + " SELECT sym, count(*) AS n FROM (SELECT unnest(h) AS sym FROM h) GROUP BY sym")
 def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytestats.histogram(table(spark, sf_dir, "documents"), "text")
 
 
 def _entropy_sql(order: int) -> str:
-    return _HEX + f""", s AS (SELECT unnest(list_transform(range(0, greatest(0, n - {order})), lambda i: h[2 * i + 1 : 2 * i + {2 * order + 2}])) AS s FROM h),
-c AS (SELECT s[1 : {2 * order}] AS ctx, s[{2 * order + 1} : {2 * order + 2}] AS sym, count(*) AS n FROM s GROUP BY 1, 2), p AS (SELECT ctx, sum(n) AS total, sum(n * log2(n)) AS part FROM c GROUP BY ctx)
+    ctx = " || ".join(f"h[i + {k}]" for k in range(order)) or "''"
+    return _HEX + f""", s AS (SELECT {ctx} AS ctx, h[i + {order}] AS sym FROM (SELECT h, unnest(range(1, greatest(1, len(h) - {order} + 1))) AS i FROM h)),
+c AS (SELECT ctx, sym, count(*) AS n FROM s GROUP BY 1, 2), p AS (SELECT ctx, sum(n) AS total, sum(n * log2(n)) AS part FROM c GROUP BY ctx)
 SELECT sum(total)::BIGINT AS n_bytes, count(*) AS contexts, {R6.format('sum(total * log2(total) - part) / sum(total)')} AS bits_per_byte FROM p"""
 
 
@@ -586,7 +588,7 @@ def doc_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, CASE WHEN html LIKE '<?xml_%' THEN 'text/xml' WHEN html LIKE '<!DOCTYPE_%' OR html LIKE '<html_%' THEN 'text/html' ELSE 'application/octet-stream' END AS mime,
 CASE WHEN html LIKE '<?xml_%' OR html LIKE '<!DOCTYPE_%' OR html LIKE '<html_%' THEN 'structured' ELSE 'unknown' END AS category, strlen(html)::BIGINT AS size,
-CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' ELSE printf('%.1f KB', strlen(html) / 1024.0::DOUBLE) END AS size_human FROM pages""")
+CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' ELSE printf('%.1f KB', floor(strlen(html) / 102.4::DOUBLE + 0.5) / 10) END AS size_human FROM pages""")
 def sniff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.lit("page").alias("path"), F.col("html").cast("binary").alias("content"), F.octet_length("html").alias("length"))
     kind = F.coalesce(sniff.by_magic(F.col("content")), F.struct(F.lit("application/octet-stream").alias("mime"), F.lit("unknown").alias("category")))

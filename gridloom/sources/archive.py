@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from gridloom.session import ship
 
@@ -162,8 +162,8 @@ class ChunkSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _ChunkReader(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _ChunkStream(self.options["path"], int(self.options.get("maxFiles", "16")))
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _ChunkStream(self.options["path"])
 
 
 class _ChunkReader(DataSourceReader):
@@ -178,26 +178,24 @@ class _ChunkReader(DataSourceReader):
             yield partition.path, k, size, crc, part
 
 
-class _ChunkStream(SimpleDataSourceStreamReader):
-    """The offset is how many of the sorted files were read."""
+class _ChunkStream(DataSourceStreamReader):
+    """The offset is how many of the sorted files were taken; each new file is one partition, read by an executor."""
 
-    def __init__(self, root: str, most: int):
-        self.root, self.most = root, most
+    def __init__(self, root: str):
+        self.root = root
 
     def initialOffset(self) -> dict:
         return {"files": 0}
 
-    def _rows(self, paths: list[str]) -> Iterator[tuple]:
-        for p in paths:
-            for k, size, crc, part in read_stream(_read(self.root, p)):
-                yield p, k, size, crc, part
+    def latestOffset(self) -> dict:
+        return {"files": len(_paths(self.root))}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        paths = _paths(self.root)[start["files"] : start["files"] + self.most]
-        return self._rows(paths), {"files": start["files"] + len(paths)}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_File(p) for p in _paths(self.root)[start["files"] : end["files"]]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(_paths(self.root)[start["files"] : end["files"]])
+    def read(self, partition: _File) -> Iterator[tuple]:
+        for k, size, crc, part in read_stream(_read(self.root, partition.path)):
+            yield partition.path, k, size, crc, part
 
 
 def register(spark: SparkSession) -> None:

@@ -63,5 +63,5 @@ def running_sites(rows: DataFrame, scale: float = 1.0) -> DataFrame:
 
 def windowed(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """Counts and sums of event values per window and type, with a watermark for late events."""
-    keyed = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
+    keyed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
     return keyed.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
