@@ -35,3 +35,9 @@ def format_size(n: Column) -> Column:
 def suffix(path: Column) -> Column:
     """Lower-cased extension with its dot, or empty."""
     return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]*)$", 1))
+
+
+def from_bit_string(text: Column) -> Column:
+    """Inverse of ``bit_string``; the text's length is a multiple of eight."""
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest((F.length(text) / 8).cast("int"), F.lit(1))), lambda i: F.lpad(F.conv(F.substring(text, i * 8 - 7, F.lit(8)), 2, 16), 2, "0"))
+    return F.when(F.length(text) == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(pieces, "")))

@@ -5,8 +5,10 @@ A null vector gives null. Where a function is about unit vectors, norms under EP
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 EPS = 1e-10
@@ -139,3 +141,21 @@ def hadamard(v: Column, n: int) -> Column:
 def clean(v: Column, limit: float = 1e6) -> Column:
     """NaN to 0, everything else into [-limit, limit]."""
     return F.transform(v, lambda x: F.when(F.isnan(x), num(0)).otherwise(F.greatest(num(-limit), F.least(num(limit), x))))
+
+
+def fibonacci_sphere(i: Column, n: int) -> Column:
+    """Point ``i`` of ``n`` spread over the unit sphere by the golden angle; a single point is the pole."""
+    golden = math.pi * (3 - math.sqrt(5))
+    y = 1 - 2 * i / max(n - 1, 1)
+    r = F.sqrt(F.greatest(num(0), 1 - y * y))
+    return F.array(F.cos(golden * i) * r, y.cast("double"), F.sin(golden * i) * r)
+
+
+def random_unit(n: int, seed: int) -> list[float]:
+    v = np.random.default_rng(seed).normal(size=n)
+    return (v / np.linalg.norm(v)).tolist()
+
+
+def random_orthogonal(n: int, seed: int) -> list[list[float]]:
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))
+    return (q * np.sign(np.diag(r))).tolist()

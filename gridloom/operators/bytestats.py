@@ -57,14 +57,14 @@ def chunk_plan(df: DataFrame, key: str, size: Column, chunk: int) -> DataFrame:
     return rows.select(key, "chunk", (F.col("chunk") * chunk).alias("offset"), F.least(F.lit(chunk).cast("long"), F.col("size") - F.col("chunk") * chunk).alias("length"))
 
 
-def recommended_chunk(size: Column, least: int = 64 << 10, most: int = 64 << 20, parts: int = 100) -> Column:
-    """A hundredth of the size, between 64 KiB and 64 MiB."""
-    return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(size / parts))).cast("long")
+def recommended_chunk(size: Column, memory_mb: int = 256, least: int = 64 << 10, most: int = 64 << 20) -> Column:
+    """A quarter of the memory between 64 KiB and 64 MiB, but no more than the file."""
+    return F.least(size, F.lit(max(least, min(most, memory_mb * (1 << 20) // 4)))).cast("long")
 
 
-def memory_estimate(chunk: Column, workers: int = 1) -> Column:
-    """Input, output and work space of each worker."""
-    return (chunk * 3 * workers).cast("long")
+def memory_estimate(chunk: Column) -> Column:
+    """Input, output and work space of a chunk, its vectors (64 bytes for every eight) and the root table."""
+    return (chunk * 3 + F.floor(chunk / 8) * 64 + 240 * 8 * 8).cast("long")
 
 
 def offsets(df: DataFrame, archive: str, order: str, size: str) -> DataFrame:

@@ -8,10 +8,12 @@ where it is odd.
 from __future__ import annotations
 
 import itertools
+import struct
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.functions.vec import clean, distance2, norm, num, sub, total
+from gridloom.functions.vec import apply_matrix, clean, distance2, norm, num, sub, total, vector
 
 
 def roots() -> list[list[float]]:
@@ -65,6 +67,30 @@ def snapped(df: DataFrame, column: str = "v", parity: str = "odd") -> DataFrame:
     return out.drop("__near").withColumn("point_key", F.transform("point", lambda x: (2 * x).cast("int")))
 
 
+def point_id(point: Column) -> Column:
+    """First 8 hex digits of the MD5 of the point as little-endian doubles (coordinates are few halves, so their bytes are known)."""
+    halves = F.array(*(F.lit(struct.pack("<d", k / 2).hex()) for k in range(-64, 65)))
+    word = F.array_join(F.transform(point, lambda x: F.element_at(halves, (2 * x).cast("int") + 65)), "")
+    return F.substring(F.md5(F.unhex(word)), 1, 8)
+
+
+def projection(n: int) -> list[list[float]]:
+    """Seeded normal 8 x n matrix over the root of n, for vectors of more than eight entries."""
+    return (np.random.RandomState(42).randn(8, n) / np.sqrt(n)).tolist()
+
+
+def project(v: Column, n: int) -> Column:
+    """``n`` dimensions onto eight; up to eight are padded with zeros."""
+    return vector(v, 8) if n <= 8 else apply_matrix(projection(n), v)
+
+
+def triples(df: DataFrame, key: str, pos: str, column: str = "v") -> DataFrame:
+    """key, block, v: three consecutive 8-d vectors as one of 24; the last is padded with zeros."""
+    block = F.floor(F.col(pos) / 3)
+    rows = df.groupBy(key, block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(pos, F.col(column).alias("v")))).alias("vs"))
+    return rows.select(key, "block", vector(F.flatten(F.transform("vs", lambda s: s["v"])), 24).alias("v"))
+
+
 def at_temperature(v: Column, point: Column, t: float) -> Column:
     """(1 - t) v + t point."""
     return F.zip_with(v, point, lambda a, b: (1 - t) * a + t * b)

@@ -6,6 +6,7 @@ times 8, or the first 8 times 4, so that they lie between lattice points. Result
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -665,3 +666,92 @@ def learn_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes = hadamard.learn_rotation(rows, 8).tolist()
     turned = rows.select(F.posexplode(vec.apply_matrix(axes, F.col("v"))).alias("axis", "x"))
     return turned.groupBy("axis").agg(r6(F.var_pop("x")).alias("variance"))
+
+
+@query(f"""WITH v AS ({sql_vectors()}), m AS (SELECT id, [{', '.join(DOT.format('v', lit(r)) for r in e8.projection(24))}] AS m FROM v)
+SELECT id, (k - 1)::BIGINT AS pos, {R6.format('m[k]')} AS value FROM m, range(1, 9) t(k)""")
+def project_to_8d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long(vectors(spark, sf_dir).select("id", e8.project(F.col("v"), 24).alias("v")), "id")
+
+
+@query(f"""WITH v AS ({sql_vectors(8, 4.0)}), b AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY id) - 1) AS n, v FROM v)
+SELECT label, (n // 3)::BIGINT AS block, round(sum(list_sum(v)), 6) + 0.0 AS total, count(*) * 8 AS filled FROM b GROUP BY 1, 2""")
+def triples_to_24d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    numbered = vectors(spark, sf_dir, 8, 4.0).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1)
+    out = e8.triples(numbered, "label", "n")
+    filled = F.size(F.filter("v", lambda x: x != 0)).cast("long")
+    return out.select("label", "block", r6(vec.total(F.col("v"))).alias("total"), filled.alias("filled"))
+
+
+_HALVES = ", ".join(f"'{struct.pack('<d', k / 2).hex()}'" for k in range(-64, 65))
+
+
+@query(_SNAP + f"SELECT id, md5(unhex(array_to_string(list_transform(point, lambda x: list_extract([{_HALVES}], (2 * x)::INTEGER + 65)), '')))[1:8] AS point_id FROM n")
+def e8_point_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = e8.snapped(vectors(spark, sf_dir, 8, 4.0))
+    return near.select("id", e8.point_id(F.col("point")).alias("point_id"))
+
+
+@query(f"""SELECT i::BIGINT AS i, {R6.format("cos(pi() * (3 - sqrt(5.0::DOUBLE)) * i) * sqrt(greatest(0, 1 - pow(1 - 2.0::DOUBLE * i / 99, 2)))")} AS x, {R6.format("1 - 2.0::DOUBLE * i / 99")} AS y FROM range(0, 100) t(i)""")
+def fibonacci_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = vec.fibonacci_sphere(F.col("id"), 100)
+    return spark.range(100).select(F.col("id").alias("i"), r6(p[0]).alias("x"), r6(p[1]).alias("y"))
+
+
+@query("SELECT item_id, text AS back, strlen(text)::BIGINT * 8 AS n_bits FROM benchmark")
+def bits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = table(spark, sf_dir, "benchmark").select("item_id", bits.bit_string(F.col("text").cast("binary")).alias("b"))
+    return coded.select("item_id", bits.from_bit_string(F.col("b")).cast("string").alias("back"), F.length("b").cast("long").alias("n_bits"))
+
+
+@query("""SELECT doc_id, least(n, 67108864)::BIGINT AS chunk, (least(n, 67108864) * 3 + (least(n, 67108864) // 8) * 64 + 15360)::BIGINT AS memory FROM (SELECT doc_id, strlen(text) AS n FROM documents)""")
+def chunk_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunk = bytestats.recommended_chunk(F.octet_length("text").cast("long"))
+    return table(spark, sf_dir, "documents").select("doc_id", chunk.alias("chunk")).withColumn("memory", bytestats.memory_estimate(F.col("chunk")))
+
+
+@query(f"SELECT w AS id, xor(({_BITS.replace('(m &', '((w & 4095) &')}), (w >> 12) & 4095)::BIGINT AS syndrome FROM (SELECT (l_orderkey * 7919 + l_linenumber * 104729) % 16777216 AS w FROM lineitem GROUP BY 1)")
+def golay_syndrome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 16777216
+    return table(spark, sf_dir, "lineitem").select(w.cast("long").alias("id")).distinct().select("id", golay.syndrome(F.col("id")).alias("syndrome"))
+
+
+@query("""SELECT event_id, user_id::VARCHAR AS name, event_type AS mode, value AS ratio FROM events""")
+def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive metadata as JSON text and back."""
+    meta = F.to_json(F.struct(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("mode"), F.col("value").alias("ratio")))
+    back = F.from_json(meta, "name string, mode string, ratio double")
+    return table(spark, sf_dir, "events").select("event_id", back.alias("m")).select("event_id", "m.*")
+
+
+@query()
+def hawking_radiation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = horizon.evaporate(horizon.derived(horizon.absorb(vectors(spark, sf_dir, 8, 4.0), ["label"], 8), 8), 8)
+    return long(out.select("label", F.col("radiation").alias("v")), "label")
+
+
+@query("SELECT source, doc_id::VARCHAR AS name, strlen(text)::BIGINT AS original_size, sha256(text) AS sha256 FROM documents")
+def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One multi-file archive per source, and its members read back."""
+    from gridloom.sources import archive
+
+    files = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
+    out = archive.members(archive.bundle(files, "source"), "source")
+    return out.select("source", "name", "original_size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in chunks through the streaming compressor into a table, and whole again."""
+    from gridloom.session import Scratch
+
+    scratch = Scratch(spark, "stream")
+    pieces = scratch.save(chunks.split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 1 << 16), "chunks", wide=True)
+    source = spark.readStream.schema(pieces.schema).parquet(f"{scratch.root}/01-chunks")
+    target = scratch.path("compressed")
+    chunks.compress_stream(source, target, scratch.path("progress"), "raw").awaitTermination()
+    back = chunks.decompress_table(spark, target)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", F.hex("data").alias("h")))), lambda s: s["h"]), "")
+    return back.groupBy("doc_id").agg(F.sha2(F.unhex(whole), 256).alias("sha256"))

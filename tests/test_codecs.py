@@ -159,3 +159,17 @@ def test_byte_entropy(spark):
     r = bytestats.conditional_entropy(df, "t", 0).first()
     assert (r.n_bytes, r.contexts) == (400, 1) and abs(r.bits_per_byte - 1) < 1e-12
     assert bytestats.conditional_entropy(df, "t", 1).first().bits_per_byte == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gridloom import cli
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"f{k}.txt").write_text(f"file {k} " * 100)
+    stored, plain = str(tmp_path / "stored"), str(tmp_path / "plain")
+    assert cli.compress(spark, str(tmp_path / "in"), stored, "fast") == 0
+    assert "3 files" in capsys.readouterr().out
+    assert cli.test(spark, stored) == 0 and cli.listing(spark, stored) == 0 and cli.info(spark, stored) == 0
+    assert cli.decompress(spark, stored, plain) == 0
+    assert sorted(bytes(r.data) for r in spark.read.parquet(plain).collect()) == [(f"file {k} " * 100).encode() for k in range(3)]
