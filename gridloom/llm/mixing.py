@@ -147,7 +147,7 @@ def sample(docs: DataFrame, scratch: Scratch | None = None, weights: tuple[float
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "mixing")
-    sized = scratch.save(sizes(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", F.xxhash64("text").alias("tie")), "sizes")
+    sized = scratch.save(sizes(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", F.xxhash64("text").alias("tie")), "sizes", wide=True)
     goal = scratch.save(targets(sized, scratch, weights, share, ceiling), "targets")
     n_sources = goal.count()
     source_key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())

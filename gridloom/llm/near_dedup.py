@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "near-dedup")
-    rows = scratch.save(sketch(docs), "sketch")
+    rows = scratch.save(sketch(docs), "sketch", wide=True)
     named = rows.where("doc_id IS NOT NULL")
     # of rows with equal words, the one with the smallest doc_id stands for all
     exact = ["e1", "e2", "n_words"]
@@ -330,10 +330,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     banded = named.select("node", "keys").join(reps.select("node").hint("merge"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
     banded = scratch.save(banded, "keys")
     busy = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.save(banded.join(busy.hint("merge"), "key"), "met")
+    met = banded.join(busy.hint("merge"), "key")
     support = met.groupBy("node").agg(F.sum(F.log2("n")).alias("support"))
     members = scratch.save(met.select("key", "node").join(support, "node"), "members")
-    shingles = scratch.save(rows.select("node", "shingles").join(support.select("node").hint("merge"), "node", "left_semi"), "shingles")
+    shingles = scratch.save(rows.select("node", "shingles").join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "shingles")
     release(spark)
 
     led = scratch.save(members.join(_lead(members), "key").select("key", "node", "leader"), "led")

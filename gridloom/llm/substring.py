@@ -224,7 +224,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
     ship(spark)
     scratch = scratch or Scratch(spark, "substring")
     docs = docs.drop("n_words", "n_removed")
-    chunks = scratch.save(chunked(docs), "chunks", codec="uncompressed")  # the payload is compressed
+    chunks = scratch.save(chunked(docs), "chunks", codec="uncompressed", wide=True)  # the payload is compressed
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     hits = _send_anchors(chunks, buckets).groupBy("bucket").applyInPandas(_meet_anchors, "chunk long, n int, places binary")
