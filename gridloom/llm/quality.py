@@ -24,6 +24,8 @@ CHUNK = 2 * HALF
 #: Labelled documents and chunks per document that the fit may use.
 FIT_DOCS, FIT_CHUNKS = 6000, 6
 EPOCHS, BATCH, SEED = 14, 512, 11
+#: Few labelled documents are gone over more often, for at least so many steps.
+STEPS = 400
 
 
 def _chunk_count(n: int) -> int:
@@ -82,8 +84,9 @@ def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray) -> Network:
     p["b"][0] = np.log(label.mean() / (1 - label.mean()))
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     members = [np.flatnonzero(owner == d) for d in range(len(label))] if len(label) < 50 else np.split(np.argsort(owner, kind="stable"), np.cumsum(np.bincount(owner, minlength=len(label)))[:-1])
-    for epoch in range(EPOCHS):
-        rate = 0.02 * (1 - epoch / EPOCHS) + 0.001
+    epochs = max(EPOCHS, -(-STEPS // -(-len(label) // (BATCH // FIT_CHUNKS))))
+    for epoch in range(epochs):
+        rate = 0.02 * (1 - epoch / epochs) + 0.001
         order = rng.permutation(len(label))
         for a in range(0, len(order), BATCH // FIT_CHUNKS):
             docs = order[a : a + BATCH // FIT_CHUNKS]
