@@ -72,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     between = Scratch(spark, "pipeline-stages")
     for name, stage in STAGES[:-1]:
-        docs = between.save(stage(spark, docs, sf_dir), name)
+        docs = between.save(stage(spark, docs, sf_dir), name, wide=True)
     return STAGES[-1][1](spark, docs, sf_dir)
