@@ -56,12 +56,13 @@ class Scratch:
     def save(self, df: DataFrame, tag: str, codec: str = "zstd", wide: bool = False) -> DataFrame:
         """Writes ``df`` as Parquet (committed per task, so it outlives lost executors) and reads it back.
 
-        Unless ``wide``, at most two files per core of the cluster: tables between steps are small next to
-        the number of shuffle partitions, and every file costs the file system several operations.
+        Unless ``wide``, an eighth of the shuffle partitions write a file each (two per core at least): tables
+        between steps are small next to what was shuffled for them, and every file costs the file system several operations.
         """
         path = self.path(tag)
         if not wide:
-            df = df.coalesce(max(8, 2 * self.spark.sparkContext.defaultParallelism))
+            width = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
+            df = df.coalesce(max(8, 2 * self.spark.sparkContext.defaultParallelism, width // 8))
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
