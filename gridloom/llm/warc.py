@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.session import Scratch, ship
+from gridloom.session import Scratch, release, ship
 
 END = "\r\n\r\n"
 #: Payload bytes per archive file, captures per index block, and captures per index part.
@@ -79,10 +79,12 @@ def record(planned: DataFrame) -> DataFrame:
 def write(pages: DataFrame, scratch: Scratch) -> str:
     """Writes the archives (files of about FILE_BYTES) and returns their folder."""
     planned = plan(pages)
-    total = pages.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 600)).first()[0] or 0
+    n, total = pages.agg(F.count("*"), F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 600)).first()
     target = scratch.path("archives")
-    # a round-robin exchange: any row order is a valid archive
-    record(planned).repartition(max(1, -(-total // FILE_BYTES))).write.option("lineSep", END).text(target)
+    # any row order is a valid archive, so the exchange by payload that the plan needs is the only one
+    per_file = max(1, FILE_BYTES * n // max(1, total or 0)) if n else 1
+    record(planned).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(target)
+    release(pages.sparkSession)
     return target
 
 
@@ -203,31 +205,66 @@ def locate(wanted: DataFrame, index: DataFrame) -> DataFrame:
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, body_bytes long"
 
 
+#: File systems whose byte ranges the workers read themselves; on others, whole files come through Spark.
+DIRECT = ("file", "hdfs", "s3", "gs")
+
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    store, path = fs.FileSystem.from_uri(f"file:///{rest.lstrip('/')}" if scheme == "file" else uri)
+    return store.open_input_file(path)
+
+
+def _told(data: bytes) -> tuple:
+    """READ's columns of one record. ValueError if a response's payload has not the length and digest that its headers name."""
+    _, _, headers, start, size = next(parse(data))
+    named = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    response = headers["WARC-Type"] == "resource"
+    if response:
+        body = data[start : start + size]
+        if base64.b32encode(hashlib.sha1(body).digest()).decode() != named or int(headers["X-Payload-Length"]) != size:
+            raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
+    refers = headers.get("WARC-Refers-To")
+    return _page(headers["WARC-Record-ID"]), int(headers["X-Payload-Length"]), named, "response" if response else "revisit", _page(refers) if refers else None, headers["WARC-Target-URI"], size
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+
 def read_ranges(spark: SparkSession, located: DataFrame, archives: str) -> DataFrame:
     """The records at located byte ranges: what their headers say, checked against the payload read.
 
-    A file's ranges meet its bytes in one group; files have about FILE_BYTES. A response whose payload
-    does not have the length and digest that its headers name raises ``ValueError``.
+    Only ranges are exchanged, in file order; each task reads its own ranges' bytes. Where the workers
+    cannot open the file system, a file's ranges meet the file, read by Spark, in one group.
     """
-
-    def run(ranges: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        if not len(ranges) or not len(files):
-            return pd.DataFrame([], columns=[c.split()[0] for c in READ.split(", ")])
-        data, out = files["content"].iloc[0], []
-        for at, n in sorted(zip(ranges["offset"], ranges["length"])):
-            _, _, headers, start, size = next(parse(data[at : at + n]))
-            named = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-            response = headers["WARC-Type"] == "resource"
-            if response:
-                body = data[at + start : at + start + size]
-                if base64.b32encode(hashlib.sha1(body).digest()).decode() != named or int(headers["X-Payload-Length"]) != size:
-                    raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
-            refers = headers.get("WARC-Refers-To")
-            out.append((_page(headers["WARC-Record-ID"]), int(headers["X-Payload-Length"]), named, "response" if response else "revisit", _page(refers) if refers else None, headers["WARC-Target-URI"], size))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+    wanted = located.where("file IS NOT NULL").select("file", "offset", "length")
+    if archives.partition(":")[0] in DIRECT:
+
+        def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            name, f = None, None
+            for pdf in batches:
+                rows = []
+                for file, at, n in zip(pdf["file"], pdf["offset"], pdf["length"]):
+                    if file != name:
+                        if f is not None:
+                            f.close()
+                        name, f = file, _open(file)
+                    rows.append(_told(f.read_at(n, at)))
+                yield _frame(rows)
+            if f is not None:
+                f.close()
+
+        return wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInPandas(direct, READ)
+
+    def grouped(ranges: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        data = files["content"].iloc[0] if len(files) else b""
+        return _frame([_told(data[at : at + n]) for at, n in sorted(zip(ranges["offset"], ranges["length"]))])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select(F.col("path").alias("file"), "content")
-    return located.where("file IS NOT NULL").select("file", "offset", "length").groupBy("file").cogroup(files.groupBy("file")).applyInPandas(run, READ)
+    return wanted.groupBy("file").cogroup(files.groupBy("file")).applyInPandas(grouped, READ)
 
 
 def round_trip(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -242,6 +279,7 @@ def round_trip(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     archives = write(pages.select("page_id", "url", "html"), scratch)
     lines = scratch.save(captures(spark, archives), "captures")
     index = build_index(lines, scratch)
+    release(spark)
     located = locate(lines.select("url_key", F.coalesce("page_id", F.lit(-1)).alias("page_id")).distinct(), index)
     # a key that several records share (repeated rows) brings all of them
     shared = lines.groupBy("url_key", F.coalesce("page_id", F.lit(-1)).alias("page_id")).agg(F.count("*").alias("n")).where("n > 1").select("url_key", "page_id")
