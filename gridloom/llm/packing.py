@@ -26,8 +26,8 @@ from gridloom.session import Scratch, ship
 
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Tokens that one shard's index holds, about 250 windows.
-SHARD_TOKENS = 1_000_000
+#: Tokens that one shard's index holds, about 150 windows.
+SHARD_TOKENS = 600_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, seed_doc_id long, bm25 double"
 
@@ -38,13 +38,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _signature(ids: np.ndarray) -> tuple[int, int, int]:
-    """Commonest id, and the smallest and largest hash of neighbouring id pairs."""
-    if len(ids) < 3:
-        return -1, 0, 0
-    found, count = np.unique(ids[:-1], return_counts=True)
-    h = _mix(ids[:-2].astype(np.uint64) * np.uint64(1_000_003) + ids[1:-1])
-    return int(found[count.argmax()]), int(h.min() >> np.uint64(1)), int(h.max() >> np.uint64(1))
+def _signatures(ids: np.ndarray, edge: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Per document: its commonest id (of a spread of them, which is enough to lay documents out by), and the
+    smallest and largest hash of neighbouring ids. Documents under three ids have -1, 0 and 0."""
+    n = np.diff(edge)
+    long = np.flatnonzero(n >= 3)
+    top, low, high = [-1] * len(n), np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+    for at in range(0, len(long), 32):  # what fits the processor's cache
+        some = long[at : at + 32]
+        a, b = int(edge[some[0]]), int(edge[some[-1] + 1])
+        h = _mix(ids[a : b - 1].astype(np.uint64) * np.uint64(1_000_003) + ids[a + 1 : b])
+        pairs = np.stack((edge[some], edge[some + 1] - 2), axis=1).ravel() - a
+        low[some] = (np.minimum.reduceat(h, pairs)[::2] >> np.uint64(1)).astype(np.int64)
+        high[some] = (np.maximum.reduceat(h, pairs)[::2] >> np.uint64(1)).astype(np.int64)
+    for k, a, b in zip(long.tolist(), edge[long].tolist(), edge[long + 1].tolist()):
+        some = np.sort(ids[a : b - 1 : -(-(b - a) // 128)])
+        runs = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1], [True])))
+        top[k] = int(some[runs[(runs[1:] - runs[:-1]).argmax()]])
+    return top, low, high
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
@@ -58,13 +69,10 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
         e = encoder(vocabulary)
         end = np.asarray([end_id], dtype=e.dtype).tobytes()
         for pdf in batches:
-            raw, sig = [], []
-            for text in pdf["text"]:
-                ids = e.encode(text) + end
-                raw.append(ids)
-                sig.append(_signature(np.frombuffer(ids, dtype=e.dtype)))
-            top, k1, k2 = zip(*sig) if sig else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": raw, "n_tokens": [len(x) // e.dtype.itemsize for x in raw], "top": top, "k1": k1, "k2": k2})
+            raw = [e.encode(text) + end for text in pdf["text"]]
+            edge = np.concatenate(([0], np.cumsum([len(x) // e.dtype.itemsize for x in raw], dtype=np.int64)))
+            top, k1, k2 = _signatures(np.frombuffer(b"".join(raw), dtype=e.dtype), edge)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": raw, "n_tokens": np.diff(edge), "top": top, "k1": k1, "k2": k2})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, n_tokens long, top long, k1 long, k2 long")
 
@@ -72,48 +80,46 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
 def corpus_counts(tokens: DataFrame, size: int, dtype: str) -> tuple[np.ndarray, int, float]:
     """(documents holding each id, documents, mean length) over all documents.
 
-    Each task adds its documents up before anything is sent; the result has one row per vocabulary entry.
+    Each task adds its documents up before anything is sent; the driver gets one row per id in use.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n, total = np.zeros(size, dtype=np.int64), 0, 0
+        df = np.zeros(size, dtype=np.int64)
         for pdf in batches:
-            for raw in pdf["ids"]:
-                ids = np.frombuffer(raw, dtype=dtype)
-                df[np.unique(ids)] += 1
-                n, total = n + 1, total + len(ids)
-        if n:
-            yield pd.DataFrame({"df": [df.astype("<i8").tobytes()], "n": [n], "total": [total]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n, total = np.zeros(size, dtype=np.int64), 0, 0
-        for pdf in batches:
-            for raw, a, b in zip(pdf["df"], pdf["n"], pdf["total"]):
-                df += np.frombuffer(raw, dtype="<i8")
-                n, total = n + a, total + b
-        if n:
-            yield pd.DataFrame({"df": [df.astype("<i8").tobytes()], "n": [n], "total": [total]})
-
-    schema = "df binary, n long, total long"
-    got = tokens.select("ids").mapInPandas(run, schema).coalesce(16).mapInPandas(add, schema).collect()  # 16 vectors at most
-    df = np.sum([np.frombuffer(r.df, dtype="<i8") for r in got], axis=0) if got else np.zeros(size, dtype=np.int64)
-    n = sum(r.n for r in got)
-    return df, n, sum(r.total for r in got) / n if n else 1.0
+            for a in range(0, len(pdf), 500):
+                df += np.bincount(_counts([np.frombuffer(raw, dtype=dtype) for raw in pdf["ids"].iloc[a : a + 500]])[1], minlength=size)
+        used = np.flatnonzero(df)
+        yield pd.DataFrame({"id": used, "df": df[used]})
+
+    n, total = tokens.agg(F.count("*"), F.sum("n_tokens")).first()
+    out = np.zeros(size, dtype=np.int64)
+    for r in tokens.select("ids").mapInPandas(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():  # at most the vocabulary
+        out[r.id] = r.df
+    return out, n, total / n if n else 1.0
+
+
+def _counts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, times) of every distinct id of every document, by document and id."""
+    flat = np.concatenate(ids)
+    small = flat.dtype.itemsize == 2 and len(ids) <= 1 << 16
+    kind, bits = (np.uint32, 16) if small else (np.uint64, 32)
+    key = np.repeat(np.arange(len(ids), dtype=kind) << kind(bits), [len(x) for x in ids])
+    key |= flat.astype(kind)
+    key.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1])))
+    found = key[first]
+    return (found >> kind(bits)).astype(np.int64), (found & kind((1 << bits) - 1)).astype(np.int64), np.diff(np.append(first, len(key)))
 
 
 class Shard:
     """BM25 inverted index over one shard's documents."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, docs, weights = [], [], []
-        self.terms = []
-        for k, x in enumerate(ids):
-            t, tf = np.unique(x[:-1], return_counts=True)
-            self.terms.append(t)
-            terms.append(t)
-            docs.append(np.full(len(t), k, dtype=np.int64))
-            weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean)))
-        t, d, w = np.concatenate(terms), np.concatenate(docs), np.concatenate(weights)
+        length = np.asarray([len(x) for x in ids])
+        d, t, tf = _counts([x[:-1] for x in ids])
+        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean))
+        edge = np.searchsorted(d, np.arange(len(ids) + 1))
+        self.terms = [t[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
         order = np.argsort(t, kind="stable")
         self.docs, self.weights = d[order], w[order]
         self.start = np.searchsorted(t[order], np.arange(len(idf) + 1))
@@ -125,7 +131,7 @@ class Shard:
         a, n = self.start[t], self.start[t + 1] - self.start[t]
         if not len(t):
             return np.zeros(self.n)
-        at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
 
 
@@ -196,10 +202,10 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     scratch = scratch or Scratch(spark, "packing")
     size = vocabulary_size(vocabulary)
     dtype = "<u2" if size <= 65535 else "<u4"
-    tokens = scratch.save(tokenize(docs, vocabulary, end_id), "tokens")
+    tokens = scratch.save(tokenize(docs, vocabulary, end_id), "tokens", codec="lz4_raw", wide=True)
     df, n, mean = corpus_counts(tokens, size, dtype)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))  # one number per vocabulary entry
-    parts = max(1, int(-(-n * mean // (8 * shard_tokens))))
+    parts = max(1, int(-(-n * mean // (12 * shard_tokens))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 40

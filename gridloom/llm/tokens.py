@@ -9,6 +9,7 @@ whole tokenizer.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -28,15 +29,15 @@ class _Runs(dict):
     def __init__(self, model, dtype: np.dtype):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.model, self.kind = model, "H" if dtype.itemsize == 2 else "I"
-        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenize, self.kind = model.tokenize, "H" if dtype.itemsize == 2 else "I"
+        # the characters that stand for the bytes of a run, as the byte-level pre-tokenizer writes them
+        write = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        seen = {b: c for x in map(chr, range(0x80, 0x800)) for b, c in zip(x.encode(), write(x)[0][0])}
+        self.letters = {b: ord(c) for b, c in seen.items()}
 
     def __missing__(self, run: str) -> bytes:
-        from struct import pack
-
-        seen = run if run.isascii() else self.byte_level.pre_tokenize_str(run)[0][0]
-        ids = [t.id for t in self.model.tokenize(seen)]
-        self[run] = out = pack(f"<{len(ids)}{self.kind}", *ids)
+        seen = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        self[run] = out = array(self.kind, [t.id for t in self.tokenize(seen)]).tobytes()
         return out
 
 
