@@ -229,7 +229,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
     buckets = max(1, -(-total // bucket_bytes))
     hits = _send_anchors(chunks, buckets).groupBy("bucket").applyInPandas(_meet_anchors, "chunk long, n int, places binary")
     per_chunk = hits.groupBy("chunk").agg(F.collect_list(F.struct("n", "places")).alias("places"))  # at most a chunk's own distinct hashes
-    found = scratch.save(_extend(chunks.select("chunk", "payload").join(per_chunk, "chunk"), buckets), "windows")
+    found = scratch.save(_extend(chunks.select("chunk", "payload").join(per_chunk, "chunk"), buckets), "windows", wide=True)
     del hits, per_chunk
     release(spark)
     smaller = found.where("kind = 1").groupBy("bucket").applyInPandas(_meet_windows, "chunk long, n int, data binary")
