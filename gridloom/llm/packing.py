@@ -26,8 +26,8 @@ from gridloom.session import Scratch, ship
 
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Tokens that one shard's index holds, about 150 windows.
-SHARD_TOKENS = 600_000
+#: Tokens that one shard's index holds, about 1,000 windows.
+SHARD_TOKENS = 4_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, seed_doc_id long, bm25 double"
 
@@ -39,8 +39,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _signatures(ids: np.ndarray, edge: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Per document: its commonest id (of a spread of them, which is enough to lay documents out by), and the
-    smallest and largest hash of neighbouring ids. Documents under three ids have -1, 0 and 0."""
+    """Per document: its commonest id, and the smallest and largest hash of neighbouring ids. Documents under
+    three ids have -1, 0 and 0."""
     n = np.diff(edge)
     long = np.flatnonzero(n >= 3)
     top, low, high = [-1] * len(n), np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
@@ -124,15 +124,27 @@ class Shard:
         self.docs, self.weights = d[order], w[order]
         self.start = np.searchsorted(t[order], np.arange(len(idf) + 1))
         self.n = len(ids)
+        # ids in a quarter of the documents or more have a dense row each, at most four times their postings
+        common = np.flatnonzero(np.diff(self.start) * 4 >= max(1, self.n))
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        at = self.row[t] >= 0
+        self.dense[self.row[t[at]], d[at]] = w[at]
 
     def scores(self, k: int) -> np.ndarray:
         """BM25 of every document in the shard against document ``k`` as a bag of distinct ids."""
         t = self.terms[k]
-        a, n = self.start[t], self.start[t + 1] - self.start[t]
         if not len(t):
             return np.zeros(self.n)
+        row = self.row[t]
+        t = t[row < 0]
+        a, n = self.start[t], self.start[t + 1] - self.start[t]
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
+        out = np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n).astype(np.float64, copy=False)  # without postings it is of integers
+        for k in row[row >= 0].tolist():
+            out += self.dense[k]
+        return out
 
 
 def fill(shard: Shard, lengths: list[int], window: int) -> Iterator[list[tuple[int, int, int, int, float]]]:
@@ -159,7 +171,7 @@ def fill(shard: Shard, lengths: list[int], window: int) -> Iterator[list[tuple[i
         row, room = [(seed, at, lengths[seed] - at, seed, 0.0)], window - (lengths[seed] - at)
         score = shard.scores(seed)
         score[~unused] = -1.0
-        ranked, k = np.lexsort((np.arange(shard.n), -score)), 0
+        ranked, k = np.argsort(-score, kind="stable"), 0
         while room and k < shard.n and score[ranked[k]] >= 0:
             d = int(ranked[k])
             k += 1
@@ -205,7 +217,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     tokens = scratch.save(tokenize(docs, vocabulary, end_id), "tokens", codec="lz4_raw", wide=True)
     df, n, mean = corpus_counts(tokens, size, dtype)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))  # one number per vocabulary entry
-    parts = max(1, int(-(-n * mean // (12 * shard_tokens))))
+    parts = max(1, int(-(-n * mean // (2 * shard_tokens))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 40

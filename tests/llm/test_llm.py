@@ -100,6 +100,20 @@ def test_bm25_and_neighbours():
     assert [x[0] for x in first[1:]] == ranked[: len(first) - 1]
 
 
+def test_neighbours_far_apart_in_the_layout_share_a_window(spark):
+    """1.2M tokens: the first document of the layout and the last, the second and the last but one ... share rare words."""
+    e = encoder(tokenizer_path())
+    ids = {w: np.frombuffer(e.encode(w), np.uint16) for w in e.tokenizer.get_vocab() if w.isascii() and w.isalpha() and w.islower()}
+    words = sorted((w for w in ids if len(ids[w]) == 1), key=lambda w: ids[w][0])
+    common, rare = words[:300], words[300:]
+    rows = [(k, " ".join([common[k]] * 3700 + rare[5 * min(k, 299 - k) :][:5] * 60)) for k in range(300)]
+    met = defaultdict(set)
+    for p in packing.pack(docs(spark, rows), tokenizer_path()).collect():
+        met[p.sequence_id].add(p.doc_id)
+    pairs = {(d, 299 - d) for held in met.values() for d in held if d < 150 and 299 - d in held}
+    assert len(pairs) >= 140  # a few are used up as fillers of unrelated windows
+
+
 # --- 2 quality
 
 def test_quality_on_held_out_rows(spark):
