@@ -52,7 +52,7 @@ def _signatures(ids: np.ndarray, edge: np.ndarray) -> tuple[list[int], np.ndarra
         low[some] = (np.minimum.reduceat(h, pairs)[::2] >> np.uint64(1)).astype(np.int64)
         high[some] = (np.maximum.reduceat(h, pairs)[::2] >> np.uint64(1)).astype(np.int64)
     for k, a, b in zip(long.tolist(), edge[long].tolist(), edge[long + 1].tolist()):
-        some = np.sort(ids[a : b - 1 : -(-(b - a) // 128)])
+        some = np.sort(ids[a : b - 1])
         runs = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1], [True])))
         top[k] = int(some[runs[(runs[1:] - runs[:-1]).argmax()]])
     return top, low, high

@@ -114,6 +114,19 @@ def test_neighbours_far_apart_in_the_layout_share_a_window(spark):
     assert len(pairs) >= 140  # a few are used up as fillers of unrelated windows
 
 
+def test_layout_counts_every_id():
+    """One more token leaves a long document's place in the layout, and ids off any stride are counted."""
+    rng = np.random.default_rng(12)
+    x = np.append(rng.integers(3, 200, 3000), 2).astype(np.uint16)
+    x[1:900:3], x[2:1300:5] = 250, 251
+    y = np.insert(x, 50, 77)
+    top, _, _ = packing._signatures(np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)]))
+    assert top == [np.bincount(x[:-1]).argmax()] * 2
+    z = np.full(2560, 9, dtype=np.uint16)
+    z[::20] = 3
+    assert packing._signatures(z, np.array([0, len(z)]))[0] == [9]
+
+
 # --- 2 quality
 
 def test_quality_on_held_out_rows(spark):
