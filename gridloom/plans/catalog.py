@@ -653,9 +653,10 @@ def codec_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tensor_rate_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors of a label as one tensor, coded at three scales: more bits, more signal."""
-    rows = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("tensor_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("e"))
-    tensors = rows.select("tensor_id", F.flatten(F.transform("e", lambda s: F.transform(F.slice(s["embedding"], 1, 12), lambda x: x.cast("double")))).alias("w"))
+    """All vectors of a label, whole, as one tensor in blocks of 4,096 vec_ids, coded at three scales: more bits, more signal."""
+    block = F.floor(F.col("vec_id") / 4096).alias("block")
+    rows = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("tensor_id"), block).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("e"))
+    tensors = rows.select("tensor_id", F.flatten(F.transform("e", lambda s: F.transform(s["embedding"], lambda x: x.cast("double")))).alias("w"))
     return codec.bits_to_snr(tensors).select("tensor_id", "scale", r6(F.col("bits_per_weight"), 4).alias("bits_per_weight"), r6(F.col("snr_db"), 4).alias("snr_db"))
 
 

@@ -173,3 +173,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.test(spark, stored) == 0 and cli.listing(spark, stored) == 0 and cli.info(spark, stored) == 0
     assert cli.decompress(spark, stored, plain) == 0
     assert sorted(bytes(r.data) for r in spark.read.parquet(plain).collect()) == [(f"file {k} " * 100).encode() for k in range(3)]
+
+
+def test_rate_distortion_codes_every_weight(spark):
+    """The query against the whole vectors of each label, coded by numpy; blocks of a tensor add up."""
+    from gridloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    pdf = spark.read.parquet(f"{sf}/embeddings.parquet").where("label = 3").orderBy("vec_id").toPandas()
+    w = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf.embedding])
+    archive = codec.compress_tensor(w, 4.0)
+    got = catalog.tensor_rate_distortion(spark, sf).where("tensor_id = 3 AND scale = 4.0").first()
+    assert abs(got.bits_per_weight - 8 * len(archive) / len(w)) < 1e-4
+    assert abs(got.snr_db - 10 * np.log10((w**2).sum() / ((w - codec.decompress_tensor(archive)) ** 2).sum())) < 1e-3
+    parts = spark.createDataFrame([(1, w[:640].tolist()), (1, w[640:].tolist())], "tensor_id long, w array<double>")
+    assert abs(codec.bits_to_snr(parts, (4.0,)).first().bits_per_weight - 8 * sum(len(codec.compress_tensor(x, 4.0)) for x in (w[:640], w[640:])) / len(w)) < 1e-9
