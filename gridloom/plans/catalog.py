@@ -749,7 +749,7 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.session import Scratch
 
     scratch = Scratch(spark, "stream")
-    pieces = scratch.save(chunks.split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 1 << 16), "chunks", wide=True)
+    pieces = scratch.save(chunks.split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 1 << 16), "chunks")
     source = spark.readStream.schema(pieces.schema).parquet(f"{scratch.root}/01-chunks")
     target = scratch.path("compressed")
     chunks.compress_stream(source, target, scratch.path("progress"), "raw").awaitTermination()

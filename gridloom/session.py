@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +31,38 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the setting is absent (tests), a local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Where the setting is absent, a local master gets one of its own; a cluster is refused, as its machines share none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gridloom.shared.dir", None)
     if not folder:
-        folder = spark.conf.get("gridloom.shared.dir", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
-            spark.conf.set("gridloom.shared.dir", folder)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
+        spark.conf.set("gridloom.shared.dir", folder)
     return folder.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go as soon as the query has ended; what it wrote is read instead."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` deletes what this scratch wrote."""
 
@@ -53,31 +75,23 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:02d}-{tag}"
 
-    def save(self, df: DataFrame, tag: str, codec: str = "zstd", wide: bool = False) -> DataFrame:
+    def save(self, df: DataFrame, tag: str, codec: str = "zstd", small: bool = False, wide: bool = True) -> DataFrame:
         """Writes ``df`` as Parquet (committed per task, so it outlives lost executors) and reads it back.
 
-        Unless ``wide``, an eighth of the shuffle partitions write a file each (two per core at least): tables
-        between steps are small next to what was shuffled for them, and every file costs the file system several operations.
+        A ``small`` result of many tasks is exchanged into an eighth as many files (two per core at least); the
+        tasks that compute it stay as many as they are.
         """
         path = self.path(tag)
-        if not wide:
-            width = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-            df = df.coalesce(max(8, 2 * self.spark.sparkContext.defaultParallelism, width // 8))
-        df.write.option("compression", codec).parquet(path)
+        if small:
+            df = df.repartition(max(8, 2 * self.spark.sparkContext.defaultParallelism, shuffle_width(self.spark) // 8))
+        with tidy(self.spark):
+            df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
         delete(self.spark, self.root)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs whose frames are no longer referenced."""
-    for _ in range(2):  # the second round finds what the first one's finalizers let go
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Hadoop's file system, whatever its scheme."""
     jvm = spark._jvm
@@ -85,7 +99,5 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def shuffle_width(spark: SparkSession, n_bytes: int, target: int = 32 << 20) -> int:
-    """Partitions for a shuffle of about ``n_bytes``; never fewer than the session asks for."""
-    least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(least, 200) if n_bytes < target else max(least, -(-n_bytes // target)))
+def release(spark: SparkSession) -> None:
+    """Nothing is left to do: ``Scratch.save`` lets shuffle files go."""
