@@ -14,13 +14,15 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.session import Scratch, release, ship
+from gridloom.session import Scratch, ship, tidy
 
 END = "\r\n\r\n"
 #: Payload bytes per archive file, captures per index block, and captures per index part.
@@ -43,17 +45,31 @@ def surt(url: Column) -> Column:
     return F.when(rest != "", F.concat(F.array_join(F.reverse(F.split(name, r"\.")), ","), port, F.lit(")"), tail)).otherwise(F.coalesce(url, F.lit("")))
 
 
-def plan(pages: DataFrame) -> DataFrame:
+#: Bits of the filter of repeated payloads: 4 MB, whatever the table's size.
+FILTER_BITS = 1 << 25
+
+
+def plan(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null html is an empty payload. Payloads are equal if their lengths and SHA-1 are; smaller groups' largest page_id
-    comes from an aggregate that every task prepares, so a payload of any number of pages spreads out.
+    Null html is an empty payload. Payloads are equal if their lengths and SHA-1 are. Digests alone tell which
+    repeat (an aggregate that every task prepares); a filter of FILTER_BITS bits of those is broadcast. Rows that
+    it rules out are responses and stay where they are; only the others are exchanged, payload and all, to
+    meet their group's largest page_id. A fuller filter exchanges more rows, and the result is the same.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), digest(payload.cast("binary")).alias("payload_digest"))
-    largest = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
-    told = rows.join(largest.drop("n"), ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("page_id") < F.col("largest")
+    keys = ["payload_digest", "payload_bytes"]
+    slot = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    repeated = scratch.save(rows.groupBy(*keys).agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select(*keys, "largest"), "repeated")
+    marks = repeated.select(F.shiftright(slot, 15).alias("word"), slot.bitwiseAND(F.lit(32767)).alias("at")).groupBy("word").agg(F.expr("bitmap_construct_agg(at)").alias("bits"))
+    marked = rows.withColumn("word", F.shiftright(slot, 15)).join(F.broadcast(marks), "word", "left")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (slot.bitwiseAND(F.lit(32767)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("getbit", byte, (slot % 8).cast("int")) == 1, F.lit(False))
+    marked = marked.withColumn("hit", hit).drop("word", "bits")
+    met = marked.where("hit").join(repeated, keys, "left").select(*rows.columns, "largest")
+    told = marked.where("NOT hit").select(*rows.columns, F.lit(None).cast(rows.schema["page_id"].dataType).alias("largest")).unionByName(met)
+    revisit = F.coalesce(F.col("page_id") < F.col("largest"), F.lit(False))
     return told.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("largest")).alias("refers_to"),
@@ -61,64 +77,89 @@ def plan(pages: DataFrame) -> DataFrame:
 
 
 def record(planned: DataFrame) -> DataFrame:
-    """One WARC record per row as text, without its closing line breaks; line breaks in a URL are escaped."""
+    """One WARC record per row as text, without its closing line breaks; line breaks in a URL are escaped.
+
+    A response's block is an HTTP response whose body is the payload; a revisit has no block.
+    """
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
     response = F.col("record_type") == "response"
-    body = F.when(response, F.col("payload")).otherwise(F.lit(""))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes"), F.lit(END))
+    body = F.when(response, F.concat(http, F.col("payload"))).otherwise(F.lit(""))
     lines = F.concat_ws(
-        "\r\n", F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(response, "resource").otherwise("revisit")), F.concat(F.lit("WARC-Record-ID: <urn:page:"), page, F.lit(">")),
+        "\r\n", F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: <urn:page:"), page, F.lit(">")),
         F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), url), F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
         F.when(~response, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to"), F.lit(">"))), F.when(~response, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes")), F.concat(F.lit("X-URL-Key: "), F.regexp_replace(surt(F.col("url")), r"[\x00-\x20]", "%20")),
-        F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.octet_length(body)),
+        F.lit("Content-Type: application/http;msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(body)),
     )
     return planned.select(F.concat(lines, F.lit(END), body).alias("value"))
 
 
-def write(pages: DataFrame, scratch: Scratch) -> str:
-    """Writes the archives (files of about FILE_BYTES) and returns their folder."""
-    planned = plan(pages)
-    n, total = pages.agg(F.count("*"), F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 600)).first()
+def write(pages: DataFrame, scratch: Scratch, file_bytes: int = FILE_BYTES) -> str:
+    """Writes the archives (files of about ``file_bytes`` where pages are alike in size) and returns their folder."""
+    n, total = pages.agg(F.count("*"), F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 700)).first()
+    planned = plan(pages, scratch)
     target = scratch.path("archives")
-    # any row order is a valid archive, so the exchange by payload that the plan needs is the only one
-    per_file = max(1, FILE_BYTES * n // max(1, total or 0)) if n else 1
-    record(planned).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(target)
-    release(pages.sparkSession)
+    per_file = max(1, file_bytes * n // max(1, total or 0)) if n else 1
+    with tidy(pages.sparkSession):
+        record(planned).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(target)
     return target
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], int, int]]:
-    """(offset, length, headers, payload start, payload length) of every record of an uncompressed archive."""
+def parse(data: bytes | BinaryIO) -> Iterator[tuple[int, int, dict[str, str], int, int]]:
+    """(offset, length, headers, block start, block length) of every record of an uncompressed archive.
+
+    Reads headers and passes over blocks, so memory does not follow the archive's size or a record's.
+    """
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
     at = 0
-    while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0 or not data.startswith(b"WARC/1.", at):
+    while line := stream.readline(1 << 16):
+        if not line.startswith(b"WARC/1."):
             raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in data[at:stop].decode().split("\r\n")[1:])
-        size = int(headers["Content-Length"])
-        end = stop + 4 + size + 4
-        if data[end - 4 : end] != b"\r\n\r\n":
+        size, headers = len(line), {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            headers[name] = value
+            size += len(line)
+        start, length = at + size + len(line), int(headers["Content-Length"])
+        stream.seek(start + length)
+        if stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield at, end - at, headers, stop + 4, size
+        end = start + length + 4
+        yield at, end - at, headers, start, length
         at = end
 
 
 LINE = "url_key string, page_id long, file string, offset long, length long"
 
 
-def captures(spark: SparkSession, archives: str) -> DataFrame:
-    """One row per record of the archives, read through Spark: key, page_id, file and byte range. Bodies are not kept."""
+def captures(spark: SparkSession, archives: str, direct: bool | None = None) -> DataFrame:
+    """One row per record of the archives: key, page_id, file and byte range. Bodies are not kept.
+
+    Workers stream each file where they can open it (``direct``, by default as its scheme says); else Spark reads it whole.
+    """
     ship(spark)
+    direct = _direct(archives) if direct is None else direct
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"]):
-                rows = [(h["X-URL-Key"], _page(h["WARC-Record-ID"]), name, at, n) for at, n, h, _, _ in parse(data)]
-                yield pd.DataFrame(rows, columns=["url_key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
+            for k, name in enumerate(pdf["path"]):
+                with io.BufferedReader(_open(name), 1 << 18) if direct else io.BytesIO(pdf["content"].iloc[k]) as stream:
+                    rows = []
+                    for at, n, h, _, _ in parse(stream):
+                        rows.append((h["X-URL-Key"], _page(h["WARC-Record-ID"]), name, at, n))
+                        if len(rows) == PART:
+                            yield _lines(rows)
+                            rows = []
+                    yield _lines(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives)
-    return files.select("path", "content").mapInPandas(run, LINE)
+    return files.select("path", *([] if direct else ["content"])).mapInPandas(run, LINE)
+
+
+def _lines(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["url_key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
 
 
 def _page(record_id: str) -> int | None:
@@ -209,6 +250,10 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 DIRECT = ("file", "hdfs", "s3", "gs")
 
 
+def _direct(archives: str) -> bool:
+    return archives.partition(":")[0] in DIRECT
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -218,32 +263,32 @@ def _open(uri: str):
 
 
 def _told(data: bytes) -> tuple:
-    """READ's columns of one record. ValueError if a response's payload has not the length and digest that its headers name."""
+    """READ's columns of one record as it says. ValueError if a response's payload has not the length and digest that its headers name."""
     _, _, headers, start, size = next(parse(data))
     named = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    response = headers["WARC-Type"] == "resource"
-    if response:
-        body = data[start : start + size]
-        if base64.b32encode(hashlib.sha1(body).digest()).decode() != named or int(headers["X-Payload-Length"]) != size:
+    body = b""
+    if headers["WARC-Type"] == "response":
+        body = data[data.index(b"\r\n\r\n", start) + 4 : start + size]
+        if base64.b32encode(hashlib.sha1(body).digest()).decode() != named or int(headers["X-Payload-Length"]) != len(body):
             raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
     refers = headers.get("WARC-Refers-To")
-    return _page(headers["WARC-Record-ID"]), int(headers["X-Payload-Length"]), named, "response" if response else "revisit", _page(refers) if refers else None, headers["WARC-Target-URI"], size
+    return _page(headers["WARC-Record-ID"]), int(headers["X-Payload-Length"]), named, headers["WARC-Type"], _page(refers) if refers else None, headers["WARC-Target-URI"], len(body)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def read_ranges(spark: SparkSession, located: DataFrame, archives: str) -> DataFrame:
+def read_ranges(spark: SparkSession, located: DataFrame, archives: str, direct: bool | None = None) -> DataFrame:
     """The records at located byte ranges: what their headers say, checked against the payload read.
 
     Only ranges are exchanged, in file order; each task reads its own ranges' bytes. Where the workers
     cannot open the file system, a file's ranges meet the file, read by Spark, in one group.
     """
     wanted = located.where("file IS NOT NULL").select("file", "offset", "length")
-    if archives.partition(":")[0] in DIRECT:
+    if _direct(archives) if direct is None else direct:
 
-        def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             name, f = None, None
             for pdf in batches:
                 rows = []
@@ -257,7 +302,7 @@ def read_ranges(spark: SparkSession, located: DataFrame, archives: str) -> DataF
             if f is not None:
                 f.close()
 
-        return wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInPandas(direct, READ)
+        return wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInPandas(read, READ)
 
     def grouped(ranges: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
         data = files["content"].iloc[0] if len(files) else b""
@@ -267,25 +312,27 @@ def read_ranges(spark: SparkSession, located: DataFrame, archives: str) -> DataF
     return wanted.groupBy("file").cogroup(files.groupBy("file")).applyInPandas(grouped, READ)
 
 
-def round_trip(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def round_trip(pages: DataFrame, scratch: Scratch | None = None, direct: bool | None = None) -> DataFrame:
     """Archives ``pages``, indexes the archives, looks every capture up and reads it back; one row per row of ``pages``.
 
-    Null page_id is written as ``-``. Extra columns are ignored. An empty table gives no row. Repeated
-    page_ids have one record each; the index finds one of them by its id, so they are read by their own ranges.
+    Null page_id is written as ``-``, null html as an empty payload, a null URL as an empty one. Extra columns are
+    ignored. An empty table gives no row. Of equal payloads (ties too), all rows of the largest page_id are responses and the
+    others revisits; a row without page_id is a response. Rows of one page_id share their record id: the index finds one of them,
+    so they are read by their own ranges. A page of any length is streamed over while indexing and must fit a task when it is read.
     """
     spark = pages.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "warc")
     archives = write(pages.select("page_id", "url", "html"), scratch)
-    lines = scratch.save(captures(spark, archives), "captures")
+    lines = scratch.save(captures(spark, archives, direct), "captures")
     index = build_index(lines, scratch)
-    release(spark)
-    located = locate(lines.select("url_key", F.coalesce("page_id", F.lit(-1)).alias("page_id")).distinct(), index)
+    named = lines.withColumn("page_id", F.coalesce("page_id", F.lit(-1)))
+    located = locate(named.select("url_key", "page_id").distinct(), index)
     # a key that several records share (repeated rows) brings all of them
-    shared = lines.groupBy("url_key", F.coalesce("page_id", F.lit(-1)).alias("page_id")).agg(F.count("*").alias("n")).where("n > 1").select("url_key", "page_id")
-    again = lines.withColumn("page_id", F.coalesce("page_id", F.lit(-1))).join(shared, ["url_key", "page_id"], "left_semi")
+    shared = named.groupBy("url_key", "page_id").agg(F.count("*").alias("n")).where("n > 1").select("url_key", "page_id")
+    again = named.join(shared, ["url_key", "page_id"], "left_semi")
     rest = again.join(located, ["url_key", "page_id", "file", "offset", "length"], "left_anti")
-    return read_ranges(spark, located.select("file", "offset", "length").unionByName(rest.select("file", "offset", "length")), archives)
+    return read_ranges(spark, located.select("file", "offset", "length").unionByName(rest.select("file", "offset", "length")), archives, direct)
 
 
 def fetch(spark: SparkSession, index: DataFrame, url_key: str, page_id: int) -> bytes | None:

@@ -267,19 +267,45 @@ def test_components(spark):
 def test_warc_round_trip(spark):
     pages = [(1, "http://a.example.com/x?y=1", "<html>\r\n\r\nWARC/1.1\r\n"), (2, "https://b.example.org", None), (3, None, ""), (4, "no scheme", "same"), (5, "http://A.example.com:80/q z", "same"), (6, "http://a.example.com/x?y=1", "ü\U0001f600"), (6, "http://a.example.com/x?y=1", "ü\U0001f600"), (7, "http://h/", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
-    rows = sorted(warc.round_trip(df).collect(), key=lambda r: r.page_id)
-    assert [r.page_id for r in rows] == [1, 2, 3, 4, 5, 6, 6, 7]
     import base64
 
-    for r, (p, _, html) in zip(rows, pages):
-        raw = (html or "").encode()
-        last = max(q for q, _, h in pages if (h or "") == (html or ""))
-        assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
-        assert (r.record_type, r.refers_to) == (("response", None) if p == last else ("revisit", last))
+    for direct in (True, False):  # workers open the files, or Spark reads them
+        rows = sorted(warc.round_trip(df, direct=direct).collect(), key=lambda r: r.page_id)
+        assert [r.page_id for r in rows] == [1, 2, 3, 4, 5, 6, 6, 7]
+        for r, (p, _, html) in zip(rows, pages):
+            raw = (html or "").encode()
+            last = max(q for q, _, h in pages if (h or "") == (html or ""))
+            assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+            assert (r.record_type, r.refers_to) == (("response", None) if p == last else ("revisit", last))
+            assert r.body_bytes == (len(raw) if p == last else 0)
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(empty).count() == 0
 
 
+def test_warc_of_long_and_repeated_pages(spark, monkeypatch):
+    """Pages of very unlike sizes, groups of copies, null ids, and a filter so full that every row is exchanged."""
+    long = "long \r\n\r\nWARC/1.1 " * 40_000
+    rows = [(k, "http://h.example.com/", "copy" if k % 3 else f"own {k}") for k in range(300)] + [(400 + k, None, long) for k in range(3)] + [(500, "u", long + "x"), (None, None, "copy"), (None, "v", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def key(r):
+        return (r[0] is None, r[0] or 0, r[1], r[2], r[3] or 0)
+
+    want = []
+    for p, _, h in rows:
+        last = max((q for q, _, g in rows if g == h and q is not None), default=None)
+        revisit = p is not None and h is not None and p < last
+        want.append((p, len((h or "").encode()), "revisit" if revisit else "response", last if revisit else None))
+    for bits in (1 << 25, 1 << 15):
+        monkeypatch.setattr(warc, "FILTER_BITS", bits)
+        got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    folder = warc.write(pages, Scratch(spark, "test"), file_bytes=1000)
+    archive = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).collect())
+    kinds = Counter(h["WARC-Type"] for _, _, h, _, _ in warc.parse(archive))
+    assert kinds == Counter(w[2] for w in want)
+
+
 def test_warc_lookup(spark):
     pages = spark.createDataFrame([(k, f"http://h{k % 7}.example.com/p{k}", f"body {k}") for k in range(3000)], "page_id long, url string, html string")
     scratch = Scratch(spark, "test")
