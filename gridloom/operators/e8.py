@@ -32,13 +32,65 @@ def roots_table(spark: SparkSession) -> DataFrame:
 
 
 def nearest_root(v: Column) -> Column:
-    """struct(dist, root_id) of the nearest root, the lowest id among equals.
+    """struct(dist, root_id) of the nearest root, the lowest id among equals (NaN counts as 0).
 
-    The roots are a literal of 240 vectors, so there is no join.
+    All roots have norm sqrt(2), so the nearest one has the largest product with v, and that has a closed form.
+    Of the integer roots it is the sum of the two largest magnitudes. Of the half-integer roots it is half the sum of
+    all magnitudes, less the smallest one if an odd number of entries is negative. The id follows from the positions and
+    signs, in the order of ``roots``: a zero counts as negative, which is the lower id, and of equal magnitudes the positions
+    with the lower id are taken.
     """
     x = clean(v)
-    table = F.array(*(F.array(*map(num, r)) for r in roots()))
-    return F.array_min(F.transform(table, lambda r, k: F.struct(F.sqrt(distance2(x, r)).alias("dist"), k.cast("int").alias("root_id"))))
+    zero, one = num(0), F.lit(1)
+    mag = F.transform(x, lambda a: F.abs(a))
+    by_size = F.array_sort(F.transform(mag, lambda a, i: F.struct((-a).alias("m"), i.cast("int").alias("i"))))
+    p, q = by_size[0]["i"], by_size[1]["i"]
+    i, j = F.least(p, q), F.greatest(p, q)
+    pairs_before = (i * (15 - i) / 2).cast("int") + (j - i - 1)  # pairs are ordered by i, then j
+    plus = lambda a: F.when(a > 0, 1).otherwise(0)
+    whole_id = 4 * pairs_before + 2 * plus(F.get(x, i)) + plus(F.get(x, j))
+    whole = F.get(mag, i) + F.get(mag, j)
+    # half roots: bits are 1 where the root is positive, the first entry highest; an even number of them is 0
+    bits = F.transform(x, plus)
+    odd = F.aggregate(bits, F.lit(0), lambda s, b: s + b) % 2 == 1
+    least = F.array_min(mag)
+    # of the smallest entries flip the one that leaves the lowest id: a positive first one, else the last
+    first_up = F.array_position(F.zip_with(mag, bits, lambda m, b: (m == least) & (b == 1)), F.lit(True))
+    last_any = 9 - F.array_position(F.reverse(F.transform(mag, lambda m: m == least)), F.lit(True))
+    flip = F.when(first_up > 0, first_up).otherwise(last_any)
+    mended = F.transform(bits, lambda b, k: F.when(odd & (k + 1 == flip), 1 - b).otherwise(b))
+    number = F.aggregate(mended, F.lit(0), lambda s, b: 2 * s + b)
+    half_id = 112 + (number / 2).cast("int")  # of two neighbours in the order of signs exactly one has an even number of minus signs
+    half = (total(mag) - F.when(odd, 2 * least).otherwise(zero)) / 2
+    # at equal distance the integer root has the lower id
+    best = F.when(whole >= half - 1e-12, F.struct(whole.alias("dot"), whole_id.alias("root_id"))).otherwise(F.struct(half.alias("dot"), half_id.alias("root_id")))
+    d2 = F.aggregate(x, zero, lambda s, a: s + a * a) + 2 - 2 * best["dot"]
+    return F.struct(F.sqrt(F.greatest(d2, zero)).alias("dist"), best["root_id"].cast("int").alias("root_id"))
+
+
+def snap_rows(v: np.ndarray) -> np.ndarray:
+    """Nearest 8-d lattice points of rows (numpy, for blobs; ``nearest_point`` is the column form)."""
+    def even(x: np.ndarray) -> np.ndarray:
+        y = np.rint(x)
+        j = np.abs(x - y).argmax(axis=1)
+        at = np.flatnonzero(y.sum(axis=1) % 2)
+        y[at, j[at]] += np.where(x[at, j[at]] > y[at, j[at]], 1.0, -1.0)
+        return y
+
+    whole, half = even(v), even(v - 0.5) + 0.5
+    return np.where((((v - whole) ** 2).sum(axis=1) <= ((v - half) ** 2).sum(axis=1))[:, None], whole, half)
+
+
+def nearest_root_rows(v: np.ndarray) -> np.ndarray:
+    """Ids of the roots nearest to rows: as all have one norm, those of the largest products."""
+    table = np.asarray(roots()).T
+    return np.concatenate([(v[a : a + 4096] @ table).argmax(axis=1) for a in range(0, len(v), 4096)])
+
+
+def is_root(point: Column) -> Column:
+    """Whether a vector is one of the 240 roots: a lattice point of squared norm 2."""
+    near = nearest_point(point)
+    return (F.abs(norm(point) - num(2**0.5)) < 1e-9) & (near["d2"] < 1e-18)
 
 
 def _snap(v: Column, flip_if_odd: bool) -> Column:

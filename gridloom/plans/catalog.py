@@ -641,6 +641,33 @@ def bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("item_id", F.col("source_sha256").alias("sha256"), "source_length", "truth", (F.col("data") == F.col("text").cast("binary")).alias("restored"))
 
 
+@query("""SELECT item_id, mode, CASE WHEN mode <> 'mythic' THEN sha256(text) END AS sha256, strlen(text)::BIGINT AS length FROM benchmark, (SELECT unnest(['fast', 'normal', 'ultra', 'mythic', 'leech', 'quip']) AS mode)""")
+def legacy_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text through the six legacy modes and back; mythic keeps the length alone."""
+    out = None
+    for mode in codec.LEGACY:
+        back = codec.legacy_back(codec.legacy_column(table(spark, sf_dir, "benchmark"), "text", mode))
+        sha = F.sha2("data", 256) if mode != "mythic" else F.lit(None).cast("string")
+        one = back.select("item_id", F.lit(mode).alias("mode"), sha.alias("sha256"), F.octet_length("data").cast("long").alias("length"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH v AS ({sql_vectors()}) SELECT label, id::VARCHAR AS id, (k - 1)::BIGINT AS pos, round(v[k]::FLOAT::DOUBLE, 6) + 0.0 AS value FROM v, range(1, 25) t(k)""")
+def consolidation_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a label into archives of coded sites, residuals and ids, and back to the last bit."""
+    packed = codec.consolidate_groups(vectors(spark, sf_dir), "label", scale=COARSE)
+    rows = codec.deconsolidate_column(packed, "label").withColumn("v", F.transform("v", lambda x: x.cast("double")))
+    return long(rows, "label", "id")
+
+
+@query("SELECT item_id, sha256(text) AS sha256, strlen(text)::BIGINT AS source_length, 'exact_recovery' AS truth FROM benchmark")
+def predictor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text coded by the n-gram predictor and back."""
+    packed = codec.inspect(codec.compress_column(table(spark, sf_dir, "benchmark"), "text", mode="predictor:ngram-mix"))
+    return codec.decompress_column(packed).select("item_id", F.sha2("data", 256).alias("sha256"), "source_length", "truth")
+
+
 @query()
 def codec_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark")

@@ -55,6 +55,60 @@ def test_predictor_registry():
     entropy.register_predictor("flat", lambda: entropy.FromFunction(lambda seen: np.zeros(256), logits=True))
     data = b"abcabcabc" * 30
     assert codec.decompress(codec.compress(data, "predictor:flat")) == data
+    for name in ("gru", "ngram-mix"):
+        packed = codec.compress(data, f"predictor:{name}")
+        assert codec.decompress(packed) == data and len(packed) < len(data) + codec.HEADER
+
+
+def test_predictors_travel_to_executors(spark):
+    class Repeats:
+        def reset(self):
+            self.last = 0
+
+        def predict(self):
+            return np.where(np.arange(256) == self.last, 200.0, 1.0)
+
+        def update(self, byte):
+            self.last = byte
+
+    entropy.register_predictor("repeats", Repeats)
+    df = spark.createDataFrame([(1, "a" * 500), (2, None)], "id int, text string")
+    rows = {r.id: r for r in codec.decompress_column(codec.compress_column(df, "text", mode="predictor:repeats")).collect()}
+    assert bytes(rows[1].data) == b"a" * 500 and len(rows[1].archive) < 150 and rows[2].data is None
+
+
+def test_apportioned_weights():
+    rng = np.random.default_rng(3)
+    for w in (rng.random(256), np.zeros(256), np.eye(256)[7], np.full(256, 1e300), np.r_[np.nan, -1.0, np.inf, rng.random(253)], rng.random(256) ** 40):
+        parts = entropy.apportion(w)
+        assert parts.sum() == entropy.MAX_TOTAL and parts.min() >= 1
+        good = np.where(np.isfinite(w) & (w > 0), w, 0)
+        if 0 < good.sum() < np.inf:
+            assert np.abs(parts - 1 - good / good.sum() * (entropy.MAX_TOTAL - 256)).max() < 1
+
+
+def test_consolidated_archive(spark):
+    rng = np.random.default_rng(8)
+    kinds = rng.normal(0, 1.5, (12, 24))
+    rows = (kinds[rng.integers(0, 12, 120)] + rng.normal(0, 0.05, (120, 24))).astype(np.float32)
+    ids = [f"row {k}" for k in range(120)]
+    back, names = codec.deconsolidate(codec.consolidate(rows, ids))
+    assert (back.view("<u4") == rows.view("<u4")).all() and names == ids
+    rough, names = codec.deconsolidate(codec.consolidate(rows, ids, exact=False))
+    assert names == ids and 0 < np.abs(rough - rows).max() < 3
+    assert abs((rough.astype(float) ** 2).sum() / (rows.astype(float) ** 2).sum() - 1) < 1e-5  # mass is kept
+    assert codec.deconsolidate(codec.consolidate(rows))[1] is None
+    assert codec.deconsolidate(codec.consolidate(np.zeros((0, 24)), []))[1] == []
+    with pytest.raises(codec.MissingAddresses):
+        codec.consolidate(rows, exact=False)
+    with pytest.raises(ValueError):
+        codec.consolidate(rows[:, :8])
+    damaged = bytearray(codec.consolidate(rows, ids))
+    damaged[20] ^= 1
+    with pytest.raises(ValueError):
+        codec.deconsolidate(bytes(damaged))
+    told = codec.inspect(spark.createDataFrame([(codec.consolidate(rows, ids),), (codec.compress(b"abc"),)], "archive binary")).collect()
+    assert [r.members for r in told] == [120, 0] and told[0].regime == codec.SITES and all(r.valid and r.version == codec.VERSION for r in told)
 
 
 def test_tensor_rate_and_distortion():
@@ -76,6 +130,8 @@ def test_legacy_modes():
     for mode in codec.LEGACY:
         out = codec.legacy_decompress(codec.legacy_compress(data, mode))
         assert len(out) == len(data) and (out == data or mode == "mythic")
+        told = codec.legacy_info(codec.legacy_compress(data, mode))
+        assert told["mode"] == mode and told["summary"]["vectors"] == 9 and codec.legacy_decompress(codec.legacy_compress(b"", mode)) == b""
     with pytest.raises(ValueError):
         codec.legacy_compress(data, "standard")
 
