@@ -10,12 +10,17 @@ hash is the band's key. Alike sequences share a key in some band (at 0.8 all but
 with only a passage in common seldom. Documents of at most TINY shingles are keyed by their sequence
 without up to two shingles at its ends, which is exact: at 0.8 they cannot differ elsewhere.
 
-Candidates never form all pairs of a bucket. Members are compared with the bucket's leader, the one
-whose keys are commonest (the unedited original of a family, as edits make keys rare; ties to the
-smaller node). The few that fail are compared with all members of the bucket, in blocks: a pair of
-blocks is one group, which counts common shingles by matrix products and aligns only pairs that these
-counts leave possible. No pair becomes a row unless it is alike. So only two documents that are each
-alike to the leaders of their buckets, but not connected by them, go unmet.
+Candidates never form all pairs of a bucket. Its members are compared with a leader, the one whose keys are
+commonest (the unedited original of a family, as edits make keys rare; ties to the smaller node). Members that
+are not alike to it elect another among themselves, ROUNDS times. What is left of a bucket is
+compared in blocks: a pair of blocks is one group, which counts common shingles by matrix products, aligns only
+pairs that these counts leave possible and are not connected yet, and returns a spanning forest: never more
+links than members.
+
+Nothing between two families of a bucket is lost by that. 1 - similarity is a metric (for insertions and deletions
+d it is 2 d / (|x| + |y| + d), the Steinhaus form of an edit distance), so a text further than 0.4 from a leader has no
+copy within 0.2 of that leader; one at a distance between 0.2 and 0.4 is compared in blocks with those of the
+leader's followers that the triangle inequality leaves.
 
 Exact copies meet first, by 128 bits over their words, and only one of each goes further.
 """
@@ -27,18 +32,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.llm.words import Bag, grams, mix
-from gridloom.session import Scratch, release, ship
+from gridloom.session import Scratch, ship, shuffle_width
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys per document, and labelled shingles per key.
 BANDS, ROW = 24, 5
 #: Documents of up to TINY shingles have end-trimmed keys, those of FULL or more have the bands' keys.
 TINY, FULL = 10, 9
-#: Members of a bucket that one block holds, about.
-BLOCK = 256
+#: Leaders that a bucket elects before the rest of it is compared in blocks, and members that a block holds, about.
+ROUNDS, BLOCK = 3, 256
+#: Similarity down to which distances to leaders are measured: twice the distance of a near copy.
+FAR = 2 * SIMILARITY - 1
 _SEEDS = np.random.default_rng(3).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -216,20 +223,25 @@ def resemblances(left: list[np.ndarray], right: list[np.ndarray], least: float =
     return out
 
 
-def _verify(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """a, b, similarity of the pairs at SIMILARITY or above."""
+def _measured(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """node, leader and gap (1 - similarity) of the pairs (node, leader) whose similarity is FAR or more.
+
+    The leaders' shingles come first, as a leader may be in any number of pairs; a node is in few, so dealing the
+    alignments out by node is even.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             size = np.fromiter((len(x) + len(y) for x, y in zip(pdf["sa"], pdf["sb"])), dtype=np.int64, count=len(pdf))
             for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(size) // (32 << 20))) + 1):
                 p = pdf.iloc[part]
-                s = resemblances([np.frombuffer(x, dtype=np.uint32) for x in p["sa"]], [np.frombuffer(x, dtype=np.uint32) for x in p["sb"]])
-                yield pd.DataFrame({"a": p["a"], "b": p["b"], "similarity": s})[s >= SIMILARITY]
+                s = resemblances([np.frombuffer(x, dtype=np.uint32) for x in p["sa"]], [np.frombuffer(x, dtype=np.uint32) for x in p["sb"]], FAR)
+                yield pd.DataFrame({"node": p["node"], "leader": p["leader"], "gap": 1 - s})[s >= 0]
 
-    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, similarity double")
+    left = shingles.select("node", F.col("shingles").alias("sa"))
+    right = shingles.select(F.col("node").alias("leader"), F.col("shingles").alias("sb"))
+    dealt = pairs.join(right.hint("merge"), "leader").repartition(shuffle_width(pairs.sparkSession), "node")
+    return dealt.join(left.hint("merge"), "node").select("node", "leader", "sa", "sb").mapInPandas(run, "node long, leader long, gap double")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -243,13 +255,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state = scratch.save(both.groupBy("x").agg(F.min("y").alias("near")).select(F.col("x").alias("node"), F.least("x", "near").alias("root")), "roots")
     while True:
         near = both.join(state, both.y == state.node).groupBy("x").agg(F.min("root").alias("near"))
-        step = state.join(near, state.node == near.x).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        # a root that learned of a smaller one tells those that point to it
-        hop = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left")
-        new = scratch.save(hop.select("node", F.least(F.coalesce("further", "root"), "root").alias("root"), "old"), "roots")
+        step = scratch.save(state.join(near, state.node == near.x).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "step")
+        # a root that learned of a smaller one tells those that point to it; they may be many, so both sides are plain tables
+        moved = step.where("root < old").select(F.col("node").alias("root"), F.col("root").alias("further"))
+        new = scratch.save(step.join(moved, "root", "left").select("node", F.least(F.coalesce("further", "root"), "root").alias("root"), "old"), "roots")
         changed = new.where("root <> old").limit(1).count()
         state = new.select("node", "root")
-        release(edges.sparkSession)
         if not changed:
             return state
 
@@ -281,9 +292,9 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One pair of blocks of a bucket: the alike pairs of a failed member and any member."""
-    failed, others = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    x, y = ([np.frombuffer(v, dtype=np.uint32) for v in part["shingles"]] for part in (failed, others))
+    """One pair of blocks: links that connect all its alike texts, one for each text that gets connected."""
+    first, second = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    x, y = ([np.frombuffer(v, dtype=np.uint32) for v in part["shingles"]] for part in (first, second))
     if not x or not y:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     nx, ny = np.asarray([len(v) for v in x]), np.asarray([len(v) for v in y])
@@ -291,72 +302,103 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     # repeats of a shingle may match too, but no more than a side has
     matched = _common(x, y) + np.minimum(dx[:, None], dy[None, :])
     total = nx[:, None] + ny[None, :]
-    possible = total - 2 * matched <= total * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
-    a, b = failed["node"].to_numpy(), others["node"].to_numpy()
-    i, j = np.nonzero(possible & (a[:, None] != b[None, :]))
-    good = resemblances([x[k] for k in i], [y[k] for k in j]) >= SIMILARITY
-    return pd.DataFrame({"a": np.minimum(a[i], b[j])[good], "b": np.maximum(a[i], b[j])[good]})
-
-
-def _blocked(failed: DataFrame, members: DataFrame, shingles: DataFrame) -> DataFrame:
-    """a, b of the alike pairs between the failed members of a bucket and all its members."""
-    blocks = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    many = blocks(failed, "nf").join(blocks(members, "nm"), "key")
+    distance = total - 2 * matched
+    nodes, place = np.unique(np.concatenate((first["node"].to_numpy(), second["node"].to_numpy())), return_inverse=True)
+    pa, pb = place[: len(x)], place[len(x) :]
+    possible = (distance <= total * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6) & (pa[:, None] != pb[None, :])
+    # a text at a distance of its leader cannot be alike to a follower that is much nearer to it
+    possible &= first["gap"].to_numpy()[:, None] <= second["gap"].to_numpy()[None, :] + 1 - SIMILARITY + 1e-6
+    i, j = np.nonzero(possible)
+    order = np.lexsort((distance[i, j] / total[i, j], i))
+    i, j = i[order], j[order]
+    root, out, each = np.arange(len(nodes)), [], 1
+    while len(i):
+        # the most promising pairs of every text, more of them each time
+        turn = np.arange(len(i)) - np.searchsorted(i, i) < each
+        for k, m, s in zip(i[turn].tolist(), j[turn].tolist(), resemblances([x[k] for k in i[turn]], [y[k] for k in j[turn]])):
+            u, v = root[pa[k]], root[pb[m]]
+            if s >= SIMILARITY and u != v:
+                root[root == v] = u
+                out.append((nodes[pa[k]], nodes[pb[m]]))
+        left = ~turn & (root[pa[i]] != root[pb[j]])
+        i, j, each = i[left], j[left], 2 * each
+    return pd.DataFrame({"a": [min(p) for p in out], "b": [max(p) for p in out]}, dtype="int64")
+
+
+def _blocked(one: DataFrame, other: DataFrame, shingles: DataFrame, twice: bool) -> DataFrame:
+    """a, b: links between the texts ``one`` and ``other`` (key, node, gap) of a key, block by block; with ``twice`` they are the same texts."""
+    counts = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    many = counts(one, "n0").join(counts(other, "n1"), "key")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = failed.select("key", "node").join(many, "key").select("key", "node", F.lit(0).alias("side"), place("nf").alias("i"), every("nm").alias("j"))
-    other = members.select("key", "node").join(many, "key").select("key", "node", F.lit(1).alias("side"), place("nm").alias("j"), every("nf").alias("i"))
-    rows = one.unionByName(other).join(shingles.hint("merge"), "node")
-    return rows.select("key", "i", "j", "side", "node", "shingles").groupBy("key", "i", "j").applyInPandas(_meet, "a long, b long").distinct()
+
+    def dealt(df: DataFrame, side: int, own: str, met: str, low: Column, high: Column) -> DataFrame:
+        rows = df.join(many, "key").withColumn(own, place(f"n{side}"))
+        return rows.where(low <= high).select("key", "node", "gap", F.lit(side).alias("side"), own, F.explode(F.sequence(low, high)).alias(met))
+
+    zero, n0, n1 = F.lit(0), F.col("n0") - 1, F.col("n1") - 1
+    left = dealt(one, 0, "i", "j", F.col("i") if twice else zero, n1)
+    right = dealt(other, 1, "j", "i", zero, F.col("j") if twice else n0)
+    rows = left.select("key", "i", "j", "side", "node", "gap").unionByName(right).join(shingles.hint("merge"), "node")
+    return rows.select("key", "i", "j", "side", "node", "gap", "shingles").groupBy("key", "i", "j").applyInPandas(_meet, "a long, b long")
+
+
+def _links(members: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: links that connect all alike nodes of the buckets ``members`` (key, node, support)."""
+    active, tested, measured = members, None, None
+    for turn in range(ROUNDS):
+        lead = scratch.save(_lead(active), f"lead{turn}")
+        led = scratch.save(active.join(lead, "key").where("node <> leader"), f"led{turn}")
+        pairs = led.select("node", "leader").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["node", "leader"], "left_anti")
+        pairs = scratch.save(pairs, f"pairs{turn}")
+        found = scratch.save(_measured(pairs, shingles), f"measured{turn}", small=True)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        measured = found if measured is None else measured.unionByName(found)
+        alike = measured.where(F.col("gap") <= 1 - SIMILARITY + 1e-9).select("node", "leader")
+        failed = scratch.save(led.join(alike, ["node", "leader"], "left_anti").select("key", "node", "support"), f"failed{turn}")
+        # with nobody else to meet, a failed member is settled
+        more = scratch.save(failed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), f"open{turn}")
+        active = scratch.save(failed.join(more, "key"), f"active{turn}")
+    assert measured is not None
+    loners = active.select("key", "node", F.lit(0.0).alias("gap"))
+    links = scratch.save(_blocked(loners, loners, shingles, True), "rest", small=True)
+    close = F.col("gap") <= 1 - SIMILARITY + 1e-9
+    followers = measured.where(close).select(F.col("leader").alias("key"), "node", "gap")
+    beside = scratch.save(_blocked(measured.where(~close).select(F.col("leader").alias("key"), "node", "gap"), followers, shingles, False), "beside", small=True)
+    return followers.select(F.col("key").alias("a"), F.col("node").alias("b")).unionByName(links).unionByName(beside).distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), n_links and exact_of.
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class) and exact_of.
 
-    n_links counts the links found between its text and other texts, exact_of is the smallest doc_id
-    with the same words. Texts without words (null, empty, blank) are exact copies of each other.
-    Texts under five words match only exactly. Repeated rows and ids are exact copies where their
-    words agree; a row with a null doc_id takes no part and has null class_id and exact_of. An empty
-    table gives no row. Other columns are ignored.
+    Classes are the connected components of all near copies. exact_of is the smallest doc_id with the same
+    words. Texts without words (null, empty, blank) are exact copies of each other. Texts under five words match
+    only exactly; a very long text is one row that must fit a task. Ties at exactly 0.8 are near copies. Repeated rows and ids
+    are exact copies where their words agree; a row with a null doc_id takes no part and has null class_id and exact_of. An
+    empty table gives no row. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "near-dedup")
-    rows = scratch.save(sketch(docs), "sketch", wide=True)
+    rows = scratch.save(sketch(docs), "sketch")
     named = rows.where("doc_id IS NOT NULL")
     # of rows with equal words, the one with the smallest doc_id stands for all
     exact = ["e1", "e2", "n_words"]
     reps = scratch.save(named.groupBy(*exact).agg(F.min(F.struct("doc_id", "node")).alias("r")).select(*exact, F.col("r.doc_id").alias("exact_of"), F.col("r.node").alias("node")), "exact")
-    banded = named.select("node", "keys").join(reps.select("node").hint("merge"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
-    banded = scratch.save(banded, "keys")
-    busy = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = banded.join(busy.hint("merge"), "key")
+    banded = scratch.save(named.select("node", "keys").join(reps.select("node").hint("merge"), "node", "left_semi").select("node", F.explode("keys").alias("key")), "keys")
+    # joins on a key, a leader or a root read plain tables on both sides, so that Spark can split a key that many rows have
+    busy = scratch.save(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "busy")
+    met = scratch.save(banded.join(busy.hint("merge"), "key"), "met")
     support = met.groupBy("node").agg(F.sum(F.log2("n")).alias("support"))
     members = scratch.save(met.select("key", "node").join(support, "node"), "members")
-    shingles = scratch.save(rows.select("node", "shingles").join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "shingles")
-    release(spark)
-
-    led = scratch.save(members.join(_lead(members), "key").select("key", "node", "leader"), "led")
-    pairs = led.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    good = scratch.save(_verify(pairs, shingles).select("a", "b"), "alike")
-    release(spark)
-    ends = good.select(F.col("a").alias("node"), F.col("b").alias("leader")).unionByName(good.select(F.col("b").alias("node"), F.col("a").alias("leader")))
-    failed = led.where("node <> leader").join(ends, ["node", "leader"], "left_anti").select("key", "node")
-    # with nobody but the leader to meet, a failed member is settled
-    more = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
-    failed = scratch.save(failed.join(more, "key", "left_semi"), "failed")
-    bucket = members.select("key", "node").join(failed.select("key").distinct(), "key", "left_semi")
-    edges = scratch.save(good.unionByName(_blocked(failed, bucket, shingles)).distinct(), "edges")
-    release(spark)
-    roots = components(edges, scratch)
-    degree = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "node")
-    placed = reps.join(roots, "node", "left").join(degree, "node", "left")
-    placed = placed.select(*exact, "exact_of", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    smallest = placed.groupBy("root").agg(F.min("exact_of").alias("class_id"))
-    placed = scratch.save(placed.join(smallest, "root").drop("root"), "classes")
-    release(spark)
-    found = named.select("doc_id", *exact).join(placed, exact).select("doc_id", "class_id", "n_links", "exact_of")
-    unnamed = rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("exact_of"))
+    shingles = scratch.save(rows.select("node", "shingles").join(support.select("node").hint("merge"), "node", "left_semi"), "shingles")
+    roots = components(scratch.save(_links(members, shingles, scratch), "edges"), scratch)
+    placed = scratch.save(reps.join(roots, "node", "left").select(*exact, "exact_of", F.coalesce("root", "node").alias("root")), "placed")
+    smallest = scratch.save(placed.groupBy("root").agg(F.min("exact_of").alias("class_id")), "smallest")
+    classes = scratch.save(placed.join(smallest, "root").drop("root"), "classes")
+    found = named.select("doc_id", *exact).join(classes, exact).select("doc_id", "class_id", "exact_of")
+    unnamed = rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("exact_of"))
     return found.unionByName(unnamed)
 
 

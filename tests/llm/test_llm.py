@@ -256,6 +256,45 @@ def test_near_duplicates_of_many_and_of_none(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_families_under_one_key(spark, monkeypatch):
+    """Buckets that hold two unlike families, a chain between families and loners, compared in blocks of four: classes as by brute force, links few."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = np.random.default_rng(13)
+    sequences, family = [], []
+    for f, n in ((0, 25), (1, 25), (2, 9)):
+        base = rng.integers(1 << 20, 1 << 21, 120)
+        for _ in range(n):
+            v = base.copy()
+            at = rng.choice(120, int(rng.integers(0, 20)), replace=False)
+            v[at] = rng.integers(1 << 22, 1 << 30, len(at))
+            sequences.append(v)
+            family.append(f)
+    bridge = sequences[0].copy()
+    for step in range(1, 9):  # each is alike to the one before, the ends are not
+        bridge = bridge.copy()
+        bridge[12 * step : 12 * step + 12] = rng.integers(1 << 22, 1 << 30, 12)
+        sequences.append(bridge)
+    sequences += [rng.integers(1, 1 << 30, 120) for _ in range(10)]
+    n = len(sequences)
+    packed = [np.asarray(v, dtype=np.uint32) for v in sequences]
+    shingles = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(packed)], "node long, shingles binary")
+    members = spark.createDataFrame([(key, k, float(k % 7)) for key in (5, 6) for k in range(n) if key == 5 or k % 2], "key long, node long, support double")
+    links = [(r.a, r.b) for r in near_dedup._links(members, shingles, Scratch(spark, "test")).collect()]
+    assert len(links) < 12 * n
+    pairs = [(a, b) for a in range(n) for b in range(a)]
+    alike = [p for p, s in zip(pairs, near_dedup.resemblances([packed[a] for a, _ in pairs], [packed[b] for _, b in pairs])) if s >= 0.8]
+
+    def classes(edges):
+        root = list(range(n))
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return sorted(sorted(k for k in range(n) if root[k] == r) for r in set(root))
+
+    assert set(links) <= {p for a, b in alike for p in ((a, b), (b, a))}
+    assert classes(links) == classes(alike) and len(classes(alike)) > 12
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (103, 102), (101, 103)], "a long, b long")
     roots = {r.node: r.root for r in near_dedup.components(edges, Scratch(spark, "test")).collect()}
