@@ -44,7 +44,7 @@ BANDS, ROW = 24, 5
 TINY, FULL = 10, 9
 #: Leaders that a bucket elects before the rest of it is compared in blocks, and members that a block holds, about.
 ROUNDS, BLOCK = 3, 256
-#: Similarity down to which distances to leaders are measured: twice the distance of a near copy.
+#: Similarity to a leader under which a text has no near copy among the leader's followers: twice the distance of a near copy.
 FAR = 2 * SIMILARITY - 1
 _SEEDS = np.random.default_rng(3).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 
@@ -169,19 +169,27 @@ def _banded(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, width:
 
 
 def resemblances(left: list[np.ndarray], right: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
-    """In-order shingle resemblance of each pair, or -1 where it is certainly under ``least``.
+    """In-order shingle resemblance of each pair, or -1 where it is certainly under ``least``."""
+    return aligned(left, right, least)[0]
 
-    Common heads and tails are matched outright. The band doubles until the distance fits in it or
-    exceeds what ``least`` allows, so the work follows the number of edits and the answer is exact.
+
+def aligned(left: list[np.ndarray], right: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """In-order shingle resemblance of each pair, or -1 where it is certainly under ``least``; and what it is at most.
+
+    Common heads and tails are matched outright, and the shingles that the rest has in common bound what an alignment can
+    match. The band doubles until the distance fits in it or exceeds what ``least`` allows, so the work follows the
+    number of edits and the answer is exact.
     """
     n = len(left)
-    out = np.full(n, -1.0)
+    out, apart = np.full(n, -1.0), np.zeros(n)
+    totals = np.asarray([len(x) + len(y) for x, y in zip(left, right)], dtype=np.float64)
     jobs = []
     for k, (x, y) in enumerate(zip(left, right)):
         total = len(x) + len(y)
         # matched / (total - matched) >= least  <=>  distance <= total * (1 - least) / (1 + least)
         most = int(np.floor(total * (1 - least) / (1 + least) + 1e-9))
-        if abs(len(x) - len(y)) > most:
+        apart[k] = abs(len(x) - len(y))
+        if total - apart[k] < min(least, FAR) * (total + apart[k]):
             continue
         m = min(len(x), len(y))
         differ = np.flatnonzero(x[:m] != y[:m])
@@ -193,10 +201,13 @@ def resemblances(left: list[np.ndarray], right: list[np.ndarray], least: float =
         if len(x) and len(y):
             # no alignment matches more than what either side has in common with the other
             shared = min(np.isin(x, y).sum(), np.isin(y, x).sum())
+            apart[k] = max(apart[k], distance - 2 * shared)
             if shared:
-                if distance - 2 * shared <= most:
+                if apart[k] <= most:
                     jobs.append((k, x, y, total, most))
                 continue
+        else:
+            apart[k] = distance
         if distance <= most:
             out[k] = (total - distance) / (total + distance)
     width = 16
@@ -220,11 +231,14 @@ def resemblances(left: list[np.ndarray], right: list[np.ndarray], least: float =
                 elif width < most:
                     again.append(job)
         jobs, width = again, width * 4
-    return out
+    upper = np.divide(totals - apart, totals + apart, out=np.ones(n), where=totals > 0)
+    return out, np.where(out >= 0, out, np.minimum(upper, least))
 
 
 def _measured(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """node, leader and gap (1 - similarity) of the pairs (node, leader) whose similarity is FAR or more.
+    """node, leader, alike and gap of the pairs (node, leader) whose similarity may be FAR or more.
+
+    gap is 1 - similarity of pairs that are alike, and a lower bound of it, from the shingles in common, of others.
 
     The leaders' shingles come first, as a leader may be in any number of pairs; a node is in few, so dealing the
     alignments out by node is even.
@@ -235,13 +249,13 @@ def _measured(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
             size = np.fromiter((len(x) + len(y) for x, y in zip(pdf["sa"], pdf["sb"])), dtype=np.int64, count=len(pdf))
             for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(size) // (32 << 20))) + 1):
                 p = pdf.iloc[part]
-                s = resemblances([np.frombuffer(x, dtype=np.uint32) for x in p["sa"]], [np.frombuffer(x, dtype=np.uint32) for x in p["sb"]], FAR)
-                yield pd.DataFrame({"node": p["node"], "leader": p["leader"], "gap": 1 - s})[s >= 0]
+                s, most = aligned([np.frombuffer(x, dtype=np.uint32) for x in p["sa"]], [np.frombuffer(x, dtype=np.uint32) for x in p["sb"]])
+                yield pd.DataFrame({"node": p["node"], "leader": p["leader"], "alike": s >= SIMILARITY, "gap": 1 - most})[most >= FAR]
 
     left = shingles.select("node", F.col("shingles").alias("sa"))
     right = shingles.select(F.col("node").alias("leader"), F.col("shingles").alias("sb"))
     dealt = pairs.join(right.hint("merge"), "leader").repartition(shuffle_width(pairs.sparkSession), "node")
-    return dealt.join(left.hint("merge"), "node").select("node", "leader", "sa", "sb").mapInPandas(run, "node long, leader long, gap double")
+    return dealt.join(left.hint("merge"), "node").select("node", "leader", "sa", "sb").mapInPandas(run, "node long, leader long, alike boolean, gap double")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -325,10 +339,10 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [min(p) for p in out], "b": [max(p) for p in out]}, dtype="int64")
 
 
-def _blocked(one: DataFrame, other: DataFrame, shingles: DataFrame, twice: bool) -> DataFrame:
+def _blocked(one: DataFrame, other: DataFrame, shingles: DataFrame, twice: bool, scratch: Scratch) -> DataFrame:
     """a, b: links between the texts ``one`` and ``other`` (key, node, gap) of a key, block by block; with ``twice`` they are the same texts."""
     counts = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    many = counts(one, "n0").join(counts(other, "n1"), "key")
+    many = scratch.save(counts(one, "n0").join(counts(other, "n1"), "key"), "blocks")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
 
     def dealt(df: DataFrame, side: int, own: str, met: str, low: Column, high: Column) -> DataFrame:
@@ -355,17 +369,16 @@ def _links(members: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFra
         found = scratch.save(_measured(pairs, shingles), f"measured{turn}", small=True)
         tested = pairs if tested is None else tested.unionByName(pairs)
         measured = found if measured is None else measured.unionByName(found)
-        alike = measured.where(F.col("gap") <= 1 - SIMILARITY + 1e-9).select("node", "leader")
+        alike = measured.where("alike").select("node", "leader")
         failed = scratch.save(led.join(alike, ["node", "leader"], "left_anti").select("key", "node", "support"), f"failed{turn}")
         # with nobody else to meet, a failed member is settled
         more = scratch.save(failed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), f"open{turn}")
         active = scratch.save(failed.join(more, "key"), f"active{turn}")
     assert measured is not None
     loners = active.select("key", "node", F.lit(0.0).alias("gap"))
-    links = scratch.save(_blocked(loners, loners, shingles, True), "rest", small=True)
-    close = F.col("gap") <= 1 - SIMILARITY + 1e-9
-    followers = measured.where(close).select(F.col("leader").alias("key"), "node", "gap")
-    beside = scratch.save(_blocked(measured.where(~close).select(F.col("leader").alias("key"), "node", "gap"), followers, shingles, False), "beside", small=True)
+    links = scratch.save(_blocked(loners, loners, shingles, True, scratch), "rest", small=True)
+    followers = measured.where("alike").select(F.col("leader").alias("key"), "node", "gap")
+    beside = scratch.save(_blocked(measured.where("NOT alike").select(F.col("leader").alias("key"), "node", "gap"), followers, shingles, False, scratch), "beside", small=True)
     return followers.select(F.col("key").alias("a"), F.col("node").alias("b")).unionByName(links).unionByName(beside).distinct()
 
 
