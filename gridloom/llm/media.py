@@ -49,12 +49,16 @@ def decode_wav(media: bytes) -> tuple[bytes, int]:
         return r.readframes(r.getnframes()), r.getframerate()
 
 
+def frame_count(n: int) -> int:
+    """Frames that cover ``n`` samples, one at least."""
+    return 1 + max(0, -(-(n - FRAME) // HOP))
+
+
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of the strongest bin of each band in each frame that beats its band's neighbours in time."""
     x = np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - 128.0
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    n = 1 + (len(x) - FRAME) // HOP
+    n = frame_count(len(x))
+    x = np.pad(x, (0, FRAME + (n - 1) * HOP - len(x)))  # the last hop is filled up, so every sample is in a frame
     best, level = np.empty((n, len(BANDS) - 1), dtype=np.int64), np.empty((n, len(BANDS) - 1), dtype=np.float32)
     step = max(1, SPAN // HOP)
     for a in range(0, n, step):
@@ -92,7 +96,8 @@ def _payload(text: str | None) -> bytes:
 def store(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, ``n_bytes`` (of the UTF-8 text, null as empty) and ``media``, a WAV of the padded text.
 
-    n_bytes and media replace columns of that name.
+    n_bytes and media replace columns of that name. Repeated rows have each their own copy, an empty table gives none. A text
+    is one value of a row and a WAV holds at most 4 GB, beyond which ``wave`` raises.
     """
     ship(docs.sparkSession)
     docs = docs.drop("n_bytes", "media")
@@ -104,34 +109,41 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).withColumn("media", wav("text"))
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate int, frames int, times array<int>, codes array<int>"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate int, frames int, feature string, times array<int>, codes array<int>"
+_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+#: Stored bytes whose features one batch of results holds, about.
+EMIT_BYTES = 8 << 20
+
 
+def _read_back(raw: bytes | None) -> tuple:
+    if raw is None:
+        return (None,) * 8 + ([], [])
+    samples, rate = decode_wav(raw)
+    t, c = pair_codes(samples)
+    digest = f"{len(t)}:" + hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), rate, frame_count(len(samples)), digest, t, c
 
-def fingerprint(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), arrays: bool = True) -> DataFrame:
-    """``keep`` columns, what the stored bytes hold, and their peak pairs as time-coded arrays.
 
-    Null media gives nulls and empty arrays. With ``arrays`` false, only ``feature``: how many pairs there are
-    and the SHA-256 of the two arrays.
+def fingerprint(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, what the stored bytes hold, their peak pairs as time-coded arrays, and ``feature``: how many pairs there are and the arrays' SHA-256.
+
+    Null media gives nulls and empty arrays. Equal media have equal results, so repeated rows do. An empty table gives none.
     """
     ship(media.sparkSession)
     kept = media.select(*keep).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", " + FEATURES.replace("times array<int>, codes array<int>", "times array<int>, codes array<int>" if arrays else "feature string")
-
-    def one(raw: bytes | None) -> tuple:
-        if raw is None:
-            return (None,) * 7 + (([], []) if arrays else (None,))
-        samples, rate = decode_wav(raw)
-        t, c = pair_codes(samples)
-        found = (t, c) if arrays else (f"{len(t)}:" + hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest(),)
-        frames = 1 + max(0, len(samples) - FRAME) // HOP
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), rate, frames, *found
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", " + FEATURES
+    names = [*keep, *(c.split()[0] for c in FEATURES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()] + ([pa.list_(pa.int32())] * 2 if arrays else [pa.string()])
-        names = [*keep, *("payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 rate frames".split()), *(("times", "codes") if arrays else ("feature",))]
         for batch in batches:
-            rows = [one(x.as_py()) for x in batch.column("media")]
-            columns = list(zip(*rows)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(c, kind) for c, kind in zip(columns, kinds))], names=names)
+            held, size, start = [], 0, 0
+            for k, x in enumerate(batch.column("media")):
+                raw = x.as_py()
+                held.append(_read_back(raw))
+                size += len(raw or b"")
+                if size >= EMIT_BYTES or k == len(batch) - 1:
+                    part = batch.slice(start, k + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(c, kind) for c, kind in zip(zip(*held), _KINDS))], names=names)
+                    held, size, start = [], 0, k + 1
 
     return media.select(*keep, "media").mapInArrow(run, schema)

@@ -5,14 +5,12 @@ responses are max-pooled over overlapping chunks of 256 bytes (a new one every 1
 gives each chunk a logit, and the mean over all chunks is the document's: the whole text counts,
 however long it is. A filter is four tables of 256 rows, so one-hot bytes need no product.
 
-Only the fit is bounded: FIT_DOCS labelled documents (smallest hash of doc_id first) and FIT_CHUNKS
-chunks of each, spread over its length, which executors cut out before the driver sees anything.
+Only the fit is bounded, by whole documents: FIT_DOCS labelled ones (smallest hash of doc_id first), and of these
+the ones that fit FIT_BYTES of text together. All their chunks are used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -21,9 +19,11 @@ from gridloom.session import ship
 
 WIDTH, FILTERS, HALF = 4, 16, 128
 CHUNK = 2 * HALF
-#: Labelled documents and chunks per document that the fit may use.
-FIT_DOCS, FIT_CHUNKS = 6000, 6
-EPOCHS, BATCH, SEED = 14, 512, 11
+#: Labelled documents, and bytes of their whole texts, that the fit may use.
+FIT_DOCS, FIT_BYTES = 6000, 12 << 20
+EPOCHS, BATCH, SEED = 3, 512, 11
+#: Chunks whose responses are held at once.
+SLICE = 512
 #: Few labelled documents are gone over more often, for at least so many steps.
 STEPS = 400
 
@@ -67,11 +67,11 @@ class Network:
         return float((chunk @ self.weights).mean() + self.bias)
 
 
-def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray) -> Network:
-    """Adam on the log loss of documents' mean chunk logits.
+def fit(texts: list[bytes], label: np.ndarray) -> Network:
+    """Adam on the log loss of documents' mean chunk logits, over all chunks of all texts.
 
-    chunks: [n, CHUNK + WIDTH - 1] bytes; owner: each chunk's document; label: 0 or 1 per document.
-    A label that no document has, or no document at all, gives the constant network of the base rate.
+    label: 0 or 1 per text. A batch is as many whole texts as have BATCH chunks together (one at least). A label that
+    no text has, or no text at all, gives the constant network of the base rate.
     """
     rng = np.random.default_rng(SEED)
     p = {
@@ -83,31 +83,36 @@ def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray) -> Network:
         return Network(p["t"], p["s"], np.zeros(FILTERS, np.float32), float(np.log(rate / (1 - rate))))
     p["b"][0] = np.log(label.mean() / (1 - label.mean()))
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    members = [np.flatnonzero(owner == d) for d in range(len(label))] if len(label) < 50 else np.split(np.argsort(owner, kind="stable"), np.cumsum(np.bincount(owner, minlength=len(label)))[:-1])
-    epochs = max(EPOCHS, -(-STEPS // -(-len(label) // (BATCH // FIT_CHUNKS))))
+    laid = [_halves(x) for x in texts]
+    data, begin = np.concatenate(laid), np.cumsum([0] + [len(x) for x in laid])
+    count = np.asarray([_chunk_count(len(x)) for x in texts])
+    usual = max(1.0, BATCH * len(label) / count.sum())  # documents in a batch, on average
+    epochs = max(EPOCHS, -(-STEPS // max(1, int(count.sum() // BATCH))))
+    window = np.arange(CHUNK + WIDTH - 1)
     for epoch in range(epochs):
         rate = 0.02 * (1 - epoch / epochs) + 0.001
         order = rng.permutation(len(label))
-        for a in range(0, len(order), BATCH // FIT_CHUNKS):
-            docs = order[a : a + BATCH // FIT_CHUNKS]
-            rows = np.concatenate([members[d] for d in docs])
-            own = np.repeat(np.arange(len(docs)), [len(members[d]) for d in docs])
-            n = np.bincount(own, minlength=len(docs))
-            x = chunks[rows]
-            r = p["t"][0][x[:, :CHUNK]]
-            for j in range(1, WIDTH):
-                r += p["t"][j][x[:, j : j + CHUNK]]
-            best = r.argmax(axis=1)
-            top = np.take_along_axis(r, best[:, None, :], axis=1)[:, 0, :] + p["s"]
+        for docs in np.split(order, np.flatnonzero(np.diff(np.cumsum(count[order]) // BATCH)) + 1):
+            n = count[docs]
+            own = np.repeat(np.arange(len(docs)), n)
+            at = np.repeat(begin[docs], n) + HALF * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            best, top = np.empty((len(at), FILTERS), dtype=np.int64), np.empty((len(at), FILTERS), dtype=np.float32)
+            for a in range(0, len(at), SLICE):
+                x = data[at[a : a + SLICE, None] + window]
+                r = p["t"][0][x[:, :CHUNK]]
+                for j in range(1, WIDTH):
+                    r += p["t"][j][x[:, j : j + CHUNK]]
+                best[a : a + SLICE] = r.argmax(axis=1)
+                top[a : a + SLICE] = r.max(axis=1)
+            top += p["s"]
             act = np.maximum(top, 0)
             z = np.bincount(own, weights=act @ p["w"], minlength=len(docs)) / n + p["b"][0]
-            g = ((1 / (1 + np.exp(-z)) - label[docs]) / len(docs)).astype(np.float32)
+            g = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[docs]) / usual).astype(np.float32)
             each = (g / n)[own].astype(np.float32)
             back = each[:, None] * p["w"] * (top > 0)
             grad = {"w": act.T @ each, "b": np.asarray([g.sum()], np.float32), "s": back.sum(axis=0), "t": np.zeros_like(p["t"])}
             for j in range(WIDTH):
-                byte = np.take_along_axis(x, best + j, axis=1)
-                flat = byte.astype(np.int64) * FILTERS + np.arange(FILTERS)
+                flat = data[at[:, None] + best + j].astype(np.int64) * FILTERS + np.arange(FILTERS)
                 grad["t"][j] = np.bincount(flat.ravel(), weights=back.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
             grad["t"] += 1e-5 * p["t"]
             step += 1
@@ -118,10 +123,11 @@ def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray) -> Network:
     return Network(p["t"], p["s"], p["w"], float(p["b"][0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: int = FIT_DOCS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> Network:
     """Fits on labelled rows with crc32(doc_id as text) mod 3 other than 1; null ids and labels are left out.
 
-    The driver receives at most fit_docs * FIT_CHUNKS chunks of CHUNK + 3 bytes (about 9 MB).
+    Of ``fit_docs`` ids, smallest hash first, those are taken whose rows together keep within ``fit_bytes``; a null text is
+    empty, repeated rows of an id all count. The driver receives these whole texts. An id with two labels has the larger.
     """
     ship(docs.sparkSession)
     own = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -129,29 +135,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs:
         labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (own % 3 != 1))
         .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     )
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                data = _halves((text or "").encode())
-                count = (len(data) - WIDTH + 1) // HALF - 1
-                at = np.unique(np.linspace(0, count - 1, min(count, FIT_CHUNKS)).astype(int))
-                out.append(b"".join(data[k * HALF : k * HALF + CHUNK + WIDTH - 1].tobytes() for k in at))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "data": out})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(cut, "doc_id long, y int, data binary")
-    got = sorted(rows.limit(2 * fit_docs).collect(), key=lambda r: (r.doc_id, r.data))  # repeated rows may add to the chosen ones
-    size = CHUNK + WIDTH - 1
-    chunks = np.frombuffer(b"".join(r.data for r in got), dtype=np.uint8).reshape(-1, size)
-    owner = np.repeat(np.arange(len(got)), [len(r.data) // size for r in got])
-    return fit(chunks, owner, np.asarray([r.y for r in got], dtype=np.float64))
+    text = F.coalesce("text", F.lit(""))
+    sizes = docs.select("doc_id", F.octet_length(text).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    taken, total = {}, 0
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most fit_docs
+        cost = r["n"] + CHUNK * r["rows"]
+        if total + cost <= fit_bytes:
+            taken[r["doc_id"]], total = r["y"], total + cost
+    if not taken:
+        return fit([], np.empty(0))
+    ids = docs.sparkSession.createDataFrame([(d,) for d in sorted(taken)], "doc_id long")
+    rows = docs.select("doc_id", text.cast("binary").alias("raw")).join(F.broadcast(ids), "doc_id").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["raw"]))
+    return fit([bytes(r["raw"]) for r in rows], np.asarray([taken[r["doc_id"]] for r in rows], dtype=np.float64))
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """All rows and columns of ``docs`` and ``score``, the probability of label 1 (replacing a column of that name).
 
-    A null text is scored as an empty one. Equal texts have equal scores. Every byte is read.
+    A null text is scored as an empty one. Equal texts have equal scores, so repeated rows do. Every byte is read, in pieces, so a very
+    long text costs no more memory than itself. An empty table gives no row.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -168,7 +171,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document, as ``score``; at a score of exactly 0.5 predicted is 1. A null id is not held out."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -57,15 +57,16 @@ FROM d
 
 
 def op7_url_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's URL holds the number of the document that it shows; that document's label is the URL's."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filter.train(pages, table(spark, sf_dir, "labels"))
+    model = url_filter.train(pages, table(spark, sf_dir, "labels"), key=url_filter.document_number(F.col("url")))
     return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op5_wav_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = media.fingerprint(stored, keep=("doc_id", "n_bytes"), arrays=False)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    found = media.fingerprint(stored, keep=("doc_id", "n_bytes"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "codes")
 
 
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,30 +80,30 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("loss_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
-    return chat.rotate(table(spark, sf_dir, "conversations")).select("conv_id", "speaker", "segment", F.col("n_turns").cast("long").alias("n_turns"), "rendered", spans.alias("loss_spans"))
+    return chat.rotate(table(spark, sf_dir, "conversations")).select("conv_id", "speaker", "n_turns", "rendered", spans.alias("loss_spans"))
 
 
-OP9_SQL = """
+OP9_SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, role IS NULL AS nameless, coalesce(text, '') AS text,
-         coalesce(floor(turn / 64)::BIGINT, -1) AS segment
-  FROM conversations
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, role IS NULL AS nameless, coalesce(text, '') AS text FROM conversations
 ), who AS (
   SELECT DISTINCT conv_id, role AS speaker FROM t WHERE NOT nameless
-), u AS (
-  SELECT DISTINCT conv_id, segment, turn, role, text FROM t
+), e AS (
+  SELECT *, replace(replace(text, '<\', '<\\'), '<|', '<\|') || '<|end|>' || chr(10) AS body,
+         replace(replace(replace(replace(role, '<\', '<\\'), '<|', '<\|'), '|\', '|\\'), '|>', '|\>') AS name
+  FROM t
 ), p AS (
-  SELECT u.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head
-  FROM u JOIN who ON u.conv_id IS NOT DISTINCT FROM who.conv_id
+  SELECT e.*, speaker, NOT nameless AND role = speaker AS own,
+         CASE WHEN NOT nameless AND role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || name || '|>' || chr(10) END AS head
+  FROM e JOIN who ON e.conv_id IS NOT DISTINCT FROM who.conv_id
 ), q AS (
-  SELECT *, head || text || '<|end|>' || chr(10) AS piece,
-         sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, role, text) - length(text) - 8 AS start
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text, nameless) - length(body) AS start
   FROM p
 )
-SELECT conv_id, speaker, segment, count(*) AS n_turns,
-       string_agg(piece, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-       coalesce(string_agg(start::BIGINT || ':' || (length(text) + 8), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (role = speaker), '') AS loss_spans
-FROM q GROUP BY conv_id, speaker, segment
+SELECT conv_id, speaker, count(*) AS n_turns,
+       string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text, nameless) AS rendered,
+       coalesce(string_agg(start::BIGINT || ':' || length(body), ',' ORDER BY turn NULLS FIRST, role, text, nameless) FILTER (own), '') AS loss_spans
+FROM q GROUP BY conv_id, speaker
 """
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gridloom.session import ship
 
 K, W = 8, 16
-#: Text bytes that one range of doc_id holds, about.
-RANGE_BYTES = 32 << 20
+#: Text bytes that one range of doc_id holds, about, and those whose fingerprints one batch of results holds.
+RANGE_BYTES, EMIT_BYTES = 32 << 20, 8 << 20
 _BASE = np.uint32(0x9E3779B1)
 
 
@@ -28,13 +28,16 @@ def winnow(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
     if n == 0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint32)
-    # K = 8 is three doublings: the hash of 2m points is hash(first m) * base**m + hash(next m)
-    h, base, m = points * np.uint32(0x85EBCA6B) ^ (points >> np.uint32(7)), _BASE, 1
-    while m < K and len(h) > m:
-        h = h[:-m] * base + h[m:]
-        base = np.uint32((int(base) * int(base)) & 0xFFFFFFFF)
-        m *= 2
-    h = h if n >= K else h[:1]
+    h = points * np.uint32(0x85EBCA6B) ^ (points >> np.uint32(7))
+    if n < K:
+        h = np.asarray([sum(int(x) * pow(int(_BASE), n - 1 - k, 1 << 32) for k, x in enumerate(h)) & 0xFFFFFFFF], dtype=np.uint32)
+    else:
+        # K = 8 is three doublings: the hash of 2m points is hash(first m) * base**m + hash(next m)
+        base, m = _BASE, 1
+        while m < K:
+            h = h[:-m] * base + h[m:]
+            base = np.uint32((int(base) * int(base)) & 0xFFFFFFFF)
+            m *= 2
     h = (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x846CA68B)
     h ^= h >> np.uint32(16)
@@ -81,12 +84,27 @@ def _points(text: str) -> np.ndarray:
 class _Printed:
     def __init__(self, text: str):
         self.text = text
-        position, hashes = winnow(_points(text))
-        self.digest = hashlib.sha1(position.astype("<i8").tobytes() + hashes.astype("<u4").tobytes()).hexdigest()
-        self.distinct = np.unique(hashes)
+        self.positions, self.hashes = winnow(_points(text))
+        self.digest = hashlib.sha1(self.positions.astype("<i8").tobytes() + self.hashes.astype("<u4").tobytes()).hexdigest()
+        self.distinct = np.unique(self.hashes)
+
+
+COLUMNS = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long, next_doc_id long, "
+    "positions array<int>, hashes array<long>"
+)
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
 
 
-COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long, next_doc_id long"
+def _ranges(down: np.ndarray, tie: np.ndarray, cut_down: np.ndarray, cut_tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range (the last cut not above it) of each key (down, tie), and whether the key is a cut itself."""
+    low, high = np.searchsorted(cut_down, down, side="left"), np.searchsorted(cut_down, down, side="right")
+    at, is_cut = low - 1, np.zeros(len(down), dtype=bool)
+    for k in np.flatnonzero(high > low).tolist():  # ids that a cut has
+        a, b = low[k], high[k]
+        at[k] = a - 1 + np.searchsorted(cut_tie[a:b], tie[k], side="right")
+        is_cut[k] = at[k] >= a and cut_tie[at[k]] == tie[k]
+    return at, is_cut
 
 
 def neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -94,44 +112,39 @@ def neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
     Next is the next smaller doc_id, after the last the first (null ids come last; rows of one doc_id
     by the hash of their text). The edited text has the last third of the code points replaced by as many of
-    the next document's first (or all). A fingerprint's digest is the SHA-1 of its positions and hashes.
-    A single row is its own next. An empty table gives no row.
+    the next document's first (or all). A fingerprint is its positions and hashes; its string is their SHA-1.
+    A null text is empty; two empty fingerprints have likeness 1. A single row is its own next, repeated rows follow each
+    other. An empty table gives no row. Other columns are ignored. A text is one row of a task, however long.
 
-    doc_id is cut into ranges at quantiles; each range also gets the first row of the range after it, so
-    neighbours meet although no task holds more than a range, row by row.
+    Rows are cut into ranges of (doc_id, hash of the text); each range also gets the first row of the range after it, so
+    neighbours meet although no task holds more than a range, row by row. Only rows alike in both are never parted.
+    The cuts are two numbers for each ``range_bytes`` of text, broadcast.
     """
     spark = docs.sparkSession
     ship(spark)
     last = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("id"), F.col("doc_id").isNull().alias("nameless"), F.coalesce("text", F.lit("")).alias("text"))
-    n_bytes, low, high, n = rows.agg(F.sum(F.octet_length("text")), F.min("id"), F.max("id"), F.count("*")).first()
+    rows = docs.select(F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(last))).alias("down"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.col("doc_id").isNull().alias("nameless"), F.coalesce("text", F.lit("")).alias("text"))
+    n_bytes, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     if not n:
         return spark.createDataFrame([], COLUMNS)
     parts = int(max(1, -(-n_bytes // range_bytes)))
-    cuts: list[int] = []
-    if parts > 1:
-        shares = [k / parts for k in range(1, parts)]
-        cuts = sorted(set(rows.select(F.percentile_approx("id", shares, 100 * parts)).first()[0]))
-
-    @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        at = np.searchsorted(np.asarray(cuts, dtype=np.int64), ids.to_numpy(zero_copy_only=False), side="left")
-        return pa.array((len(cuts) - at).astype(np.int32))  # ranges by descending id
-
-    placed = rows.withColumn("range", range_of("id"))
-    # one number per range, so a few bytes for each RANGE_BYTES of text
-    heads = sorted((r["range"], r["head"]) for r in placed.select("range", "id").groupBy("range").agg(F.max("id").alias("head")).collect())
-    to = {heads[k][1]: heads[k - 1][0] for k in range(len(heads))}  # the first id of a range goes to the one before, the very first to the last
-
-    @F.arrow_udf("int")
-    def also(ids: pa.Array) -> pa.Array:
-        return pa.array([to.get(i) for i in ids.to_pylist()], pa.int32())
-
-    # Only the first row of the head id is needed before it, but rows that share the id may be many; the smallest stands for them.
-    first_rows = placed.where(F.col("id").isin(list(to)) if len(to) <= 500 else also("id").isNotNull()).groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text", "nameless")).alias("r"))
-    tails = first_rows.select(also("id").alias("range"), F.lit(1).alias("tail"), "id", F.col("r.nameless").alias("nameless"), F.col("r.tie").alias("tie"), F.col("r.text").alias("text"))
-    both = placed.select("range", F.lit(0).alias("tail"), "id", "nameless", F.xxhash64("text").alias("tie"), "text").unionByName(tails)
-    laid = both.repartition(max(len(heads), 1), "range").sortWithinPartitions("range", "tail", F.desc("id"), "tie", "text")
+    keys = rows.select("down", "tie").repartitionByRange(parts, "down", "tie").groupBy(F.spark_partition_id()).agg(F.min(F.struct("down", "tie")).alias("head"))
+    heads = sorted((r["head"]["down"], r["head"]["tie"]) for r in keys.collect())
+    cuts = spark.sparkContext.broadcast((np.asarray([d for d, _ in heads], dtype=np.int64), np.asarray([t for _, t in heads], dtype=np.int64)))
+    count = len(heads)
+
+    @F.arrow_udf("struct<range:int,tail:int>")
+    def place(down: pa.Array, tie: pa.Array) -> pa.Array:
+        at, is_cut = _ranges(down.to_numpy(zero_copy_only=False), tie.to_numpy(zero_copy_only=False), *cuts.value)
+        tail = pa.array((at - 1) % count, pa.int32(), mask=~is_cut)  # a range's first row also goes to the one before, the very first to the last
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), tail], names=["range", "tail"])
+
+    placed = rows.withColumn("at", place("down", "tie"))
+    # rows that share a range's first key may be many; the smallest stands for them
+    tails = placed.where("at.tail IS NOT NULL").groupBy("at.tail").agg(F.min(F.struct("text", "nameless", "down", "tie")).alias("r"))
+    tails = tails.select(F.col("tail").alias("range"), F.lit(1).alias("tail"), "r.down", "r.tie", "r.nameless", "r.text")
+    both = placed.select("at.range", F.lit(0).alias("tail"), "down", "tie", "nameless", "text").unionByName(tails)
+    laid = both.repartitionById(count, F.col("range")).sortWithinPartitions("range", "tail", "down", "tie", "text")
 
     def rowed(prints: _Printed, name: int, nameless: bool, then: _Printed, then_name: int, then_nameless: bool) -> tuple:
         n_chars = len(prints.text)
@@ -140,20 +153,27 @@ def neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         return (
             None if nameless else name, n_chars, hashlib.sha256(edited.text.encode()).hexdigest(), prints.digest, edited.digest,
             likeness(prints.distinct, edited.distinct), likeness(prints.distinct, then.distinct), len(prints.distinct), None if then_nameless else then_name,
+            prints.positions.astype(np.int32), prints.hashes.astype(np.int64),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         names = [c.split()[0] for c in COLUMNS.split(", ")]
-        held = None
+        held, out, size = None, [], 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), _KINDS)], names=names)
+
         for batch in batches:
-            out = []
-            for k, text, name, nameless, tail in zip(*(batch.column(c).to_pylist() for c in ("range", "text", "id", "nameless", "tail"))):
-                now = held[1] if held and held[1].text == text else _Printed(text)
+            for k, text, down, nameless, tail in zip(*(batch.column(c).to_pylist() for c in ("range", "text", "down", "nameless", "tail"))):
+                now, name = held[1] if held and held[1].text == text else _Printed(text), ~down
                 if held and held[0] == k:
                     out.append(rowed(held[1], held[2], held[3], now, name, nameless))
+                    size += len(held[1].text)
+                    if size >= EMIT_BYTES:
+                        yield packed()
+                        out, size = [], 0
                 held = None if tail else (k, now, name, nameless)
-            columns = list(zip(*out)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+        if out:
+            yield packed()
 
-    return laid.select("range", "text", "id", "nameless", "tail").mapInArrow(run, COLUMNS)
+    return laid.select("range", "text", "down", "nameless", "tail").mapInArrow(run, COLUMNS)

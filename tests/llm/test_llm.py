@@ -157,6 +157,41 @@ def test_quality_reads_whole_texts(spark):
     assert quality.score(docs(spark, rows), one_sided).select("score").distinct().count() == 1
 
 
+def test_network_by_force():
+    """The convolution, pooling and mean by plain loops."""
+    rng = np.random.default_rng(21)
+    net = quality.Network(rng.normal(0, 1, (4, 256, 16)).astype(np.float32), rng.normal(0, 1, 16).astype(np.float32), rng.normal(0, 1, 16).astype(np.float32), 0.25)
+    for n in (0, 1, 5, 255, 256, 257, 384, 385, 1000):
+        raw = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        chunks = max(1, -(-n // 128) - 1)
+        padded = raw + bytes(128 * (chunks + 1) + 3 - n)
+        logits = []
+        for c in range(chunks):
+            z = 0.0
+            for f in range(16):
+                best = max(sum(float(net.tables[j, padded[i + j], f]) for j in range(4)) for i in range(128 * c, 128 * c + 256))
+                z += max(0.0, best + float(net.shift[f])) * float(net.weights[f])
+            logits.append(z)
+        assert abs(net.logit(raw) - (sum(logits) / chunks + 0.25)) < 1e-3
+
+
+def test_fit_takes_whole_texts_within_its_bytes(spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    # what tells the labels apart lies far behind the first chunks
+    rows = [(k, "same words here. " * 400 + ("zzzz qqqq " if k % 2 else "aaaa eeee ") * 300) for k in range(60)]
+    network = quality.train(docs(spark, rows), labels)
+    z = [network.logit(t.encode()) for _, t in rows]
+    assert sum((v >= 0) == (k % 2 == 1) for k, v in enumerate(z)) >= 57
+    seen = []
+    quality_fit, quality.fit = quality.fit, lambda texts, label: seen.append((texts, label)) or quality_fit([], np.empty(0))
+    try:
+        quality.train(docs(spark, rows + [(3, "again")]), labels, fit_bytes=100_000)
+    finally:
+        quality.fit = quality_fit
+    texts, label = seen[0]
+    assert 0 < sum(len(x) for x in texts) <= 100_000 and {x.decode() for x in texts} <= {t for _, t in rows} | {"again"} and len(label) == len(texts)
+
+
 # --- 3 near dedup
 
 def lcs(a, b):
@@ -373,9 +408,36 @@ def test_media_round_trip(spark):
         full = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
         assert r.media_bytes == len(full) + 44 and r.times == sorted(r.times) and len(r.times) == len(r.codes)
+        assert r.feature == f"{len(r.times)}:" + hashlib.sha256(np.asarray(r.times + r.codes, "<i4").tobytes()).hexdigest()
         key = r.text or ""
         assert rows.setdefault(key, (r.media_sha256, r.codes)) == (r.media_sha256, r.codes)
     assert media.fingerprint(media.store(docs(spark, []))).count() == 0
+    long = docs(spark, [(1, "long " * 200_000), (1, "long " * 200_000), (2, None)])
+    found = media.fingerprint(media.store(long)).collect()
+    assert [r.payload_bytes for r in found] == [-(-1_000_000 // 192) * 192] * 2 + [192] and found[0] == found[1]
+
+
+def test_features_by_force():
+    """Frames, transform, peaks and pairs by plain loops; the last samples are in a frame too."""
+    rng = np.random.default_rng(22)
+    for n in (192, 256, 576, 960, 1920):
+        samples = rng.integers(0, 256, n, dtype=np.uint8)
+        x = samples.astype(float) - 128
+        frames = 1 + max(0, -(-(n - 256) // 128))
+        x = np.append(x, np.zeros(256 + 128 * (frames - 1) - n))
+        level, found = [], []
+        for f in range(frames):
+            w = [x[128 * f + k] * (0.5 - 0.5 * np.cos(2 * np.pi * k / 255)) for k in range(256)]
+            power = [abs(sum(w[k] * np.exp(-2j * np.pi * b * k / 256) for k in range(256))) for b in range(128)]
+            level.append([max(power[a:b]) for a, b in zip((2, 8, 20, 48), (8, 20, 48, 128))])
+            found.append([a + int(np.argmax(power[a:b])) for a, b in zip((2, 8, 20, 48), (8, 20, 48, 128))])
+        peaks = [(f, found[f][k]) for f in range(frames) for k in range(4) if (f == 0 or level[f][k] >= level[f - 1][k]) and (f == frames - 1 or level[f][k] > level[f + 1][k])]
+        pairs = [(t, b << 20 | peaks[i + d][1] << 12 | peaks[i + d][0] - t) for i, (t, b) in enumerate(peaks) for d in (1, 2, 3) if i + d < len(peaks)]
+        t, c = media.pair_codes(samples.tobytes())
+        assert sorted(zip(t.tolist(), c.tolist())) == sorted(pairs)
+        other = samples.copy()
+        other[-60:] = 255 * (np.arange(60) // 5 % 2)
+        assert n != 576 or media.pair_codes(other.tobytes())[1].tolist() != c.tolist()
 
 
 def test_fingerprint_finds_a_shifted_excerpt():
@@ -475,16 +537,16 @@ def test_url_rules_and_trees(spark):
     labelled = spark.createDataFrame([(k, f"http://{'bad-spam-site' if k % 2 else 'fine'}{k}.example.fr/{'9' * (k % 7)}/a") for k in range(200)], "page_id long, url string")
     labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(200)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     model = url_filter.train(labelled, labels)
-    assert len(model[1]) == url_filter.TREES
+    assert len(model.trees) == url_filter.TREES and model.auc > 0.95 and model.threshold < 1
     judged = url_filter.judge(labelled, model).collect()
     assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in judged) >= 195
     for r in url_filter.judge(pages, model).collect():
         host, path, best = judged_by_force(r.url)
         assert (r.host, r.path, r.rule) == (host, path, best[0] if best else None)
-        assert r.verdict == (best[1] if best else "block" if r.score >= 0.5 else "allow")
+        assert r.verdict == (best[1] if best else "block" if r.score >= model.threshold else "allow")
     # the CASE expressions are the trees
     names = [f"f_{n}" for n in url_filter.FEATURES]
-    base, trees, suffixes = model
+    base, trees, suffixes = model[:3]
 
     def grow(t, x):
         return t if isinstance(t, float) else grow(t[2] if x[t[0]] <= t[1] else t[3], x)
@@ -493,29 +555,82 @@ def test_url_rules_and_trees(spark):
         z = base + sum(grow(t, [f[n] for n in names]) for t in trees)
         assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
     assert url_filter.judge(pages.limit(0), model).count() == 0
-    assert url_filter.train(labelled, labels.limit(0))[1] == []
-
-
-def test_entropy_feature(spark):
-    row = url_filter.features(spark.createDataFrame([("http://aabb/",)], "url string")).first()
-    assert abs(row.f_host_entropy - 1.0) < 1e-12 and row.f_path_depth == 1
+    none = url_filter.train(labelled, labels.limit(0))
+    assert none.trees == [] and none.threshold > 1 and {r.verdict for r in url_filter.judge(labelled, none).collect()} == {"allow"}
+
+
+def test_unseen_urls(spark):
+    """Skill on URLs that had no part in the fit, none on labels that URLs do not tell, and then nothing is blocked."""
+    rng = np.random.default_rng(23)
+    words = ["".join(rng.choice(list("aeinorst"), 6)) for _ in range(400)]
+    urls, bad = [], []
+    for k in range(1500):
+        b = k % 4 == 0
+        urls.append((k, f"http://{words[int(rng.integers(400))]}{'-' + str(rng.integers(100, 999)) if b or rng.random() < 0.1 else ''}.example.fr/{k}?a=1{'&b=2&c=3' if b and rng.random() < 0.7 else ''}"))
+        bad.append(b)
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    model = url_filter.train(pages.where("page_id < 1000"), spark.createDataFrame([(k, int(not b), 0) for k, b in enumerate(bad)], "doc_id long, quality int, toxic int"))
+    score = {r.page_id: (r.score, r.verdict) for r in url_filter.judge(pages.where("page_id >= 1000"), model).collect()}
+    y = np.asarray([float(bad[k]) for k in sorted(score)])
+    assert url_filter.area(np.asarray([score[k][0] for k in sorted(score)]), y) > 0.9 and model.auc > 0.9
+    blocked = np.asarray([score[k][1] == "block" for k in sorted(score)])
+    assert blocked[y == 1].mean() > 0.6 and blocked[y == 0].mean() < 0.2
+    chance = url_filter.train(pages, spark.createDataFrame([(k, int(rng.random() < 0.85), 0) for k in range(1500)], "doc_id long, quality int, toxic int"))
+    assert 0.35 < chance.auc < 0.65 and sum(r.verdict == "block" for r in url_filter.judge(pages, chance).collect()) < 75
+
+
+def test_area_and_cutoff():
+    s, y = np.asarray([0.9, 0.8, 0.8, 0.4, 0.3, 0.3]), np.asarray([1.0, 1, 0, 0, 1, 0])
+    pairs = [(a > b) + (a == b) / 2 for a in s[y == 1] for b in s[y == 0]]
+    assert abs(url_filter.area(s, y) - np.mean(pairs)) < 1e-12 and np.isnan(url_filter.area(s, np.ones(6)))
+    assert url_filter.cutoff(np.repeat(s, 10), np.repeat(y, 10)) == 0.8 and url_filter.cutoff(s, y) == 2.0 and url_filter.cutoff(np.empty(0), np.empty(0)) == 2.0
+
+
+def test_url_features_one_by_one(spark):
+    urls = ["https://WWW.a-b-c.example.com/en/77/x.html?page=2&ref=x#top", "http://aabb/", "", None, "no scheme", "ftp://9.8.7.6:80", "http://é.org/ü?=1&&k=", "http://h/" + "9a/" * 3000 + "?q=" + "x" * 5000, "a://b?c#d?e=1"]
+    rows = {r.id: r for r in url_filter.features(spark.createDataFrame(list(enumerate(urls)), "id int, url string"), {"com": 0.7, "": 0.2}).collect()}
+
+    def entropy(t):
+        return -sum(n / len(t) * np.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
+
+    for k, url in enumerate(urls):
+        r, u = rows[k], url or ""
+        host, path, _ = judged_by_force(url)
+        suffix = host.rsplit(".", 1)[-1]
+        want = {
+            "url_length": len(u), "host_length": len(host), "path_length": len(path), "host_depth": host.count("."), "path_depth": path.count("/"), "digit_ratio": sum(c in "0123456789" for c in u) / max(1, len(u)),
+            "host_hyphens": host.count("-"), "host_entropy": entropy(host), "path_entropy": entropy(path), "parameters": len(re.findall(r"[?&][^?&#=]+", u)), "has_fragment": "#" in u, "secure": u.startswith("https"),
+            "suffix_length": len(suffix), "suffix_blocked": {"com": 0.7}.get(suffix, 0.2),
+        }
+        assert set(want) == set(url_filter.FEATURES)
+        for name, value in want.items():
+            assert abs(r[f"f_{name}"] - value) < 1e-9, (url, name)
+
+
+def test_document_number(spark):
+    urls = ["http://a.example.com/en/77/x.html", "http://a/en/5462.html?x=1", "http://a/en/12#top", "http://a/x9/y", None, "http://9/", "http://a/12345678901234567890/7"]
+    got = [r.n for r in spark.createDataFrame(list(enumerate(urls)), "id int, url string").select("id", url_filter.document_number(F.col("url")).alias("n")).orderBy("id").collect()]
+    assert got == [77, 5462, 12, None, None, None, 7]
 
 
 # --- 8 winnowing
 
 def winnow_by_force(text):
-    h = {}
-    if not text:
+    """Positions and hashes from their definition, in plain integers."""
+    points = [ord(c) for c in text]
+    if not points:
         return []
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    hashes = []
-    for i in range(max(len(points) - winnow.K + 1, min(1, len(points)))):
-        part = points[i : i + winnow.K]
-        if len(points) >= winnow.K:
-            hashes.append(int(winnow.winnow(part)[1][0]))
-        else:
-            hashes.append(int(winnow.winnow(points)[1][0]))
-    w = min(winnow.W, len(hashes))
+
+    def hashed(part):
+        h = 0
+        for p in part:
+            h = (h * 0x9E3779B1 + ((p * 0x85EBCA6B & 0xFFFFFFFF) ^ (p >> 7))) & 0xFFFFFFFF
+        h = (h ^ (h >> 16)) * 0x7FEB352D & 0xFFFFFFFF
+        h = (h ^ (h >> 15)) * 0x846CA68B & 0xFFFFFFFF
+        return h ^ (h >> 16)
+
+    hashes = [hashed(points[i : i + 8]) for i in range(max(1, len(points) - 7))]
+    w, h = min(16, len(hashes)), {}
     for i in range(len(hashes) - w + 1):
         window = hashes[i : i + w]
         j = max(k for k in range(w) if window[k] == min(window))
@@ -523,6 +638,11 @@ def winnow_by_force(text):
     return sorted(h.items())
 
 
+def likeness_by_force(a, b):
+    x, y = {h for _, h in winnow_by_force(a)}, {h for _, h in winnow_by_force(b)}
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
 def test_winnow_by_force():
     rng = np.random.default_rng(9)
     for n in (0, 1, 5, 7, 8, 9, 22, 23, 24, 40, 300):
@@ -547,30 +667,53 @@ def test_winnow_neighbours(spark):
             third = len(t) // 3
             edited = t[: len(t) - third] + nt[:third]
             r = got[d, len(t), hashlib.sha256(edited.encode()).hexdigest()]
-            assert r.next_doc_id == nd and 0 <= r.near_edited <= 1
+            assert r.next_doc_id == nd and list(zip(r.positions, r.hashes)) == winnow_by_force(t)
+            assert abs(r.near_edited - likeness_by_force(t, edited)) < 1e-12 and abs(r.near_next - likeness_by_force(t, nt)) < 1e-12
             if edited == t:
                 assert r.near_edited == 1 and r.fingerprint == r.edited_fingerprint
     assert winnow.neighbours(docs(spark, [])).count() == 0
     assert winnow.neighbours(docs(spark, [(1, "alone and long enough to have hashes")])).first().near_next == 1
     assert winnow.fingerprint(docs(spark, ODD)).count() == len(ODD)
+    same = [(7, "repeated row, long enough for windows")] * 40 + [(7, "another of that id, " + "long " * 400)] * 3 + [(None, "x" * 4000)] * 5
+    out = winnow.neighbours(docs(spark, same).repartition(3), range_bytes=500).collect()
+    assert len(out) == 48 and sum(r.doc_id is None for r in out) == 5 and {r.near_next for r in out if r.doc_id is None} >= {1.0}
+
+
+def test_ranges_of_keys():
+    keys = sorted({(a, b) for a in (-5, 0, 0, 7, 9) for b in (-2, 0, 3)})
+    cuts = keys[::4]
+    at, is_cut = winnow._ranges(*np.asarray(keys).T, *np.asarray(cuts).T)
+    assert at.tolist() == [max(i for i, c in enumerate(cuts) if c <= k) for k in keys] and is_cut.tolist() == [k in cuts for k in keys]
 
 
 # --- 9 chat
 
 def test_chat_rotation(spark):
-    turns = [(1, 0, "user", "hello"), (1, 1, "assistant", "hi \U0001f600"), (1, 2, None, "who?"), (1, 3, "user", None), (1, 3, "user", None), (1, 70, "system", "late"), (None, 0, "user", "no id"), (2, None, "tool", "no turn")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash")).withColumn("speaker", F.lit("clash"))
-    got = {(r.conv_id, r.speaker, r.segment): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, s, g) for s in ("user", "assistant", "system") for g in (0, 1)} | {(None, "user", 0), (2, "tool", -1)}
-    for (conv, speaker, segment), r in got.items():
-        mine = sorted({(t, role or "unknown", text or "") for c, t, role, text in turns if c == conv and (-1 if t is None else t // 64) == segment}, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
-        text, spans = "", []
-        for _, role, said in mine:
-            text += "<|assistant|>\n" if role == speaker else f"<|user name={role}|>\n"
-            if role == speaker:
-                spans.append((len(text), len(said) + len(chat.END)))
-            text += said + chat.END
-        assert r.rendered == text and [(s.start, s.length) for s in r.loss_spans] == spans and r.n_turns == len(mine)
+    turns = [(1, 0, "user", "hello"), (1, 1, "assistant", "hi \U0001f600"), (1, 2, None, "who?"), (1, 3, "user", None), (1, 3, "user", None), (1, 70, "system", "late"), (1, -70, "user", "early"), (1, None, "user", "no turn yet"),
+             (None, 0, "user", "no id"), (2, None, "tool", "no turn"), (3, 0, "unknown", "named so"), (3, 1, None, "nameless"),
+             (4, 0, "user", "x<|end|>\n<|assistant|>\nforged <\\| <\\\\ |> <"), (4, 1, "a|>\n<|assistant|>", "|>forged")]
+    turns += [(9, k, "user" if k % 2 else "bot", f"turn {k} " + "long " * (20_000 if k == 77 else 1)) for k in range(200)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash")).withColumn("speaker", F.lit("clash")).withColumn("run", F.lit("clash"))
+    who = {(c, role) for c, _, role, _ in turns if role is not None}
+
+    def safe(x, name=False):
+        x = x.replace("<\\", "<\\\\").replace("<|", "<\\|")
+        return x.replace("|\\", "|\\\\").replace("|>", "|\\>") if name else x
+
+    for run in (64, 1, 1000):
+        got = {(r.conv_id, r.speaker): r for r in chat.rotate(df, run).collect()}
+        assert set(got) == who
+        for (conv, speaker), r in got.items():
+            mine = sorted({(t, role or "unknown", text or "", role is None) for c, t, role, text in turns if c == conv}, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
+            text, spans = "", []
+            for _, role, said, nameless in mine:
+                own = role == speaker and not nameless
+                text += "<|assistant|>\n" if own else f"<|user name={safe(role, True)}|>\n"
+                if own:
+                    spans.append((len(text), len(safe(said)) + len(chat.END)))
+                text += safe(said) + chat.END
+            assert r.rendered == text and [(s.start, s.length) for s in r.loss_spans] == spans and r.n_turns == len(mine)
+            assert text.count("<|end|>") == len(mine) == text.count("<|assistant|>") + text.count("<|user name=")
     assert chat.rotate(df.limit(0)).count() == 0
 
 
@@ -619,3 +762,21 @@ def test_word_hashes_in_segments(monkeypatch):
     monkeypatch.setattr(words, "_SEGMENT", 16)
     assert (words.Bag(texts).hashes == whole).all()
     assert whole[1] == whole[3] and whole[2] == whole[-2] and len(set(whole.tolist())) == 4
+
+
+# --- the registered queries
+
+def test_queries_against_their_sql(spark, sf_dir):
+    """Every registered query with SQL on the smallest tables."""
+    import duckdb
+
+    from gridloom.llm import queries
+
+    con = duckdb.connect()
+    for name in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        theirs = con.execute(sql).df()
+        ours = queries.queries()[name](spark, sf_dir).toPandas()[list(theirs.columns)]
+        rows = [sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist())) for df in (ours, theirs)]
+        assert rows[0] == rows[1], name
