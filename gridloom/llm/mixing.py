@@ -6,11 +6,12 @@ unit cube along vectors that leave both the token total and the document total u
 space of the two constraints over three documents at a time), until every probability is 0 or 1
 but for two at most. Large documents walk first, so what is left over is small.
 
-Shards of bounded size walk on their own; what each leaves over (two documents) is gathered and walks
-again, level after level, until a source has one shard. The last walk leaves out a dozen small documents,
-which with its own two are the landing problem: of all their roundings, the one nearest to the token
-total, then to the document total. A source of any size is so many shards, and every level shrinks
-a thousandfold.
+Shards of bounded size walk on their own; what each leaves over (two documents, and ten small ones that are
+kept out) is gathered and walks again, level after level, until a source has one shard. What the last walk leaves
+is the landing problem: of all roundings, the one nearest to the token total, then to the document total. A document
+so much larger than the rest that a walk cannot move it, nor the landing make up for it, is drawn by its own
+probability first, and the others' probabilities take up the difference. A source of any size is so many shards, and
+every level shrinks by some hundreds.
 """
 
 from __future__ import annotations
@@ -107,20 +108,65 @@ def land(p: list[float], x: list[float]) -> list[float]:
     return [float(round(v)) for v in p]
 
 
-def settle(p: list[float], x: list[float], rng: random.Random) -> list[float]:
-    """The last walk of a source and its landing.
-
-    LANDING documents of the smaller half, spread over its sizes, stay out of the walk: with the walk's
-    two they are the landing problem, whose 2**(LANDING + 2) roundings hold one close to any total.
-    """
+def _small(p: list[float], x: list[float]) -> set[int]:
+    """LANDING open documents of the smaller half, spread over its sizes (fewer where there are not so many)."""
     live = sorted((k for k in range(len(p)) if _EPS < p[k] < 1 - _EPS), key=lambda k: x[k])
     half = [k for k in live[: max(LANDING, len(live) // 2)] if x[k] > 0]
-    out = {half[j * len(half) // LANDING] for j in range(LANDING)} if len(half) >= LANDING else set(half)
-    kept = {k: p[k] for k in out}
-    p = walk([0.0 if k in out else v for k, v in enumerate(p)], x, rng)
-    for k, v in kept.items():
-        p[k] = v
-    return land(p, x)
+    return {half[j * len(half) // LANDING] for j in range(LANDING)} if len(half) >= LANDING else set(half)
+
+
+def thin(p: list[float], x: list[float], rng: random.Random) -> list[float]:
+    """A walk that leaves its two documents and the small ones open."""
+    out = _small(p, x)
+    walked = walk([0.0 if k in out else v for k, v in enumerate(p)], x, rng)
+    return [p[k] if k in out else v for k, v in enumerate(walked)]
+
+
+def draw(p: list[float], x: list[float], k: int, rng: random.Random) -> list[float] | None:
+    """Document ``k`` in or out by its probability; the other open ones take up the difference in tokens, each in proportion
+    to p (1 - p), so that every probability stays what it was in expectation. Where only one of the two can be made up
+    for, it is that one; None where neither can.
+    """
+    others = [j for j in range(len(p)) if j != k and _EPS < p[j] < 1 - _EPS]
+    fits = {1.0: sum(p[j] * x[j] for j in others) >= 2 * (1 - p[k]) * x[k], 0.0: sum((1 - p[j]) * x[j] for j in others) >= 2 * p[k] * x[k]}
+    drawn = 1.0 if rng.random() < p[k] else 0.0
+    if not fits[drawn]:
+        drawn = 1.0 - drawn
+        if not fits[drawn]:
+            return None
+    q = list(p)
+    q[k] = drawn
+    missing = (p[k] - drawn) * x[k]
+    for _ in range(20):  # more than once where probabilities reach 0 or 1
+        room = [(j, q[j] * (1 - q[j])) for j in others if _EPS < q[j] < 1 - _EPS]
+        total = sum(w * x[j] for j, w in room)
+        if abs(missing) < 0.01 or total <= 0:
+            break
+        step = missing / total
+        for j, w in room:
+            new = min(1.0, max(0.0, q[j] + step * w))
+            missing -= (new - q[j]) * x[j]
+            q[j] = new
+    return q
+
+
+def flight(p: list[float], x: list[float], rng: random.Random) -> list[float]:
+    """``thin``, once more after each document that it left open and that the small ones could not make up for was drawn."""
+    while True:
+        left, out = thin(p, x, rng), _small(p, x)
+        stuck = [k for k in range(len(p)) if _EPS < left[k] < 1 - _EPS and k not in out]
+        large = max(stuck, key=lambda k: x[k], default=None)
+        if large is None or min(left[large], 1 - left[large]) * x[large] <= sum(x[k] for k in out) / 4:
+            return left
+        drawn = draw(p, x, large, rng)
+        if drawn is None:
+            return left
+        p = drawn
+
+
+def settle(p: list[float], x: list[float], rng: random.Random) -> list[float]:
+    """The last walk of a source and its landing, whose 2**(LANDING + 2) roundings hold one close to any total."""
+    return land(flight(p, x, rng), x)
 
 
 def _level(rows: DataFrame, seed: int, last: bool) -> DataFrame:
@@ -130,7 +176,7 @@ def _level(rows: DataFrame, seed: int, last: bool) -> DataFrame:
         pdf = pdf.sort_values(["size", "key", "row"], ascending=[False, True, True], kind="stable")
         rng = random.Random(f"{seed}:{int(pdf['source_key'].iloc[0])}:{int(pdf['shard'].iloc[0])}")
         x = pdf["size"].astype(float).tolist()
-        p = (settle if last else walk)(pdf["p"].tolist(), x, rng)
+        p = (settle if last else flight)(pdf["p"].tolist(), x, rng)
         return pdf.assign(p=p)
 
     return rows.groupBy("source_key", "shard").applyInPandas(run, rows.schema)
@@ -147,7 +193,7 @@ def sample(docs: DataFrame, scratch: Scratch | None = None, weights: tuple[float
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "mixing")
-    sized = scratch.save(sizes(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", F.xxhash64("text").alias("tie")), "sizes", wide=True)
+    sized = scratch.save(sizes(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", F.xxhash64("text").alias("tie")), "sizes")
     goal = scratch.save(targets(sized, scratch, weights, share, ceiling), "targets")
     n_sources = goal.count()
     source_key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())
@@ -162,6 +208,7 @@ def sample(docs: DataFrame, scratch: Scratch | None = None, weights: tuple[float
     rows = joined.withColumn("key", F.xxhash64("doc_id", "tie", F.lit(seed)))
     # repeated rows are alike, so which of them is which does not matter
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), "shards")).withColumn("row", F.lit(0).cast("long"))
+    left = min(LANDING + 2, shard // 2)
     plain = ["doc_id", "__source", "source_key", "size", "source_size", "target", "base", "key", "row", "shard", "shards", "p"]
     rows = rows.select(*plain)
     settled, number, most = [], 0, int(goal.agg(F.max("shards")).first()[0] or 1)
@@ -173,10 +220,10 @@ def sample(docs: DataFrame, scratch: Scratch | None = None, weights: tuple[float
             settled.append(walked)
             break
         settled.append(walked.where(~open_))
-        # two documents of each shard are left: the next level has a shard for every `shard` of them
-        most = -(-2 * most // shard)
+        # a dozen documents of each shard are left: the next level has a shard for every `shard` of them
+        most = -(-left * most // shard)
         number += 1
-        rows = walked.where(open_).withColumn("shards", F.ceil(F.col("shards") * 2 / shard)).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1 + number)), "shards")).select(*plain)
+        rows = walked.where(open_).withColumn("shards", F.ceil(F.col("shards") * left / shard)).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1 + number)), "shards")).select(*plain)
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)

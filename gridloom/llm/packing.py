@@ -214,7 +214,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     scratch = scratch or Scratch(spark, "packing")
     size = vocabulary_size(vocabulary)
     dtype = "<u2" if size <= 65535 else "<u4"
-    tokens = scratch.save(tokenize(docs, vocabulary, end_id), "tokens", codec="lz4_raw", wide=True)
+    tokens = scratch.save(tokenize(docs, vocabulary, end_id), "tokens", codec="lz4_raw")
     df, n, mean = corpus_counts(tokens, size, dtype)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))  # one number per vocabulary entry
     parts = max(1, int(-(-n * mean // (2 * shard_tokens))))

@@ -6,7 +6,7 @@ every repeat. A hit is then extended: all 13-word windows around it are keyed by
 smallest doc_id of each key is found, and runs of windows that an earlier document also has are the
 maximal exact repeats, which are cut out.
 
-Scale: documents travel as chunks of about a MB. A chunk sends each *distinct* hash once to the hash's
+Scale: documents travel as chunks of a few MB. A chunk sends each *distinct* hash once to the hash's
 bucket and gets back the places that matter, so a passage that a third of all rows share costs one
 entry per chunk, and no pair of occurrences is ever made. Buckets grow in number with the corpus.
 """
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridloom.llm.words import Bag, chunked, grams, texts_of, unpack
-from gridloom.session import Scratch, release, ship
+from gridloom.session import Scratch, ship
 
 BLOCK, WINDOW = 7, 13
 KEY_BITS = 32
-#: Text bytes per bucket of the anchor index.
-BUCKET_BYTES = 8 << 20
+#: Text bytes per bucket of the anchor index, and per chunk. A chunk sends each bucket one message, so there are
+#: input**2 / (BUCKET_BYTES * CHUNK_BYTES) of them as long as that is less than one for each distinct hash.
+BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -218,20 +219,18 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
     A word goes if a window of 13 words over it also starts in a document with a smaller doc_id,
     judged on the input. Null text stays null and has no words. A null doc_id counts as the largest.
     Rows with one doc_id never remove each other. n_words and n_removed replace columns of that name.
-    An empty table gives an empty one.
+    An empty table gives an empty one. A very long text is a chunk of its own, which must fit a task.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "substring")
     docs = docs.drop("n_words", "n_removed")
-    chunks = scratch.save(chunked(docs), "chunks", codec="uncompressed", wide=True)  # the payload is compressed
+    chunks = scratch.save(chunked(docs, CHUNK_BYTES), "chunks", codec="uncompressed")  # the payload is compressed
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     hits = _send_anchors(chunks, buckets).groupBy("bucket").applyInPandas(_meet_anchors, "chunk long, n int, places binary")
     per_chunk = hits.groupBy("chunk").agg(F.collect_list(F.struct("n", "places")).alias("places"))  # at most a chunk's own distinct hashes
-    found = scratch.save(_extend(chunks.select("chunk", "payload").join(per_chunk, "chunk"), buckets), "windows", wide=True)
-    del hits, per_chunk
-    release(spark)
+    found = scratch.save(_extend(chunks.select("chunk", "payload").join(per_chunk, "chunk"), buckets), "windows")
     smaller = found.where("kind = 1").groupBy("bucket").applyInPandas(_meet_windows, "chunk long, n int, data binary")
     notes = (
         found.where("kind = 0").select("chunk", "kind", "n", "data").unionByName(smaller.select("chunk", F.lit(1).alias("kind"), "n", "data"))

@@ -505,6 +505,33 @@ def test_mixing_repeats_and_levels(spark):
     assert mixed.count() == sum(r.copies for r in mixing.sample(df).collect())
 
 
+def test_mixing_with_very_long_documents(spark):
+    """Documents a hundred times longer than the rest do not keep a source from its target."""
+    rng = np.random.default_rng(24)
+    rows = [(k, prose(rng, int(rng.integers(20, 300))), "abc"[k % 3]) for k in range(3000)] + [(9000 + k, "w " * 20_000, "abc"[k % 3]) for k in range(4)]
+    for size in (mixing.SHARD, 600):
+        taken, want = defaultdict(int), {}
+        for r in mixing.sample(docs(spark, rows), shard=size).collect():
+            taken[r.source] += r.size * r.copies
+            want[r.source] = r.target
+            assert 0 <= r.copies <= 2
+        assert all(abs(taken[s] - want[s]) <= 10 for s in want)
+
+
+def test_draw_keeps_tokens_and_expectations():
+    import random
+
+    rng = np.random.default_rng(25)
+    x = np.append(rng.integers(50, 200, 300), 9000).astype(float).tolist()
+    p = rng.uniform(0.3, 0.7, 301).tolist()
+    total, mean = np.dot(p, x), np.zeros(301)
+    for seed in range(400):
+        q = mixing.draw(p, x, 300, random.Random(seed))
+        assert q[300] in (0.0, 1.0) and abs(np.dot(q, x) - total) < 1 and all(0 <= v <= 1 for v in q)
+        mean += np.asarray(q) / 400
+    assert np.abs(mean - np.asarray(p)).max() < 0.1
+
+
 def test_walk_keeps_totals():
     import random
 
