@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -75,7 +76,7 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:02d}-{tag}"
 
-    def save(self, df: DataFrame, tag: str, codec: str = "zstd", small: bool = False, wide: bool = True) -> DataFrame:
+    def save(self, df: DataFrame, tag: str, codec: str = "zstd", small: bool = False) -> DataFrame:
         """Writes ``df`` as Parquet (committed per task, so it outlives lost executors) and reads it back.
 
         A ``small`` result of many tasks is exchanged into an eighth as many files (two per core at least); the
@@ -99,5 +100,24 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Nothing is left to do: ``Scratch.save`` lets shuffle files go."""
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers live on after their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library's
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInPandas or mapInArrow that trims its worker when a task ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
