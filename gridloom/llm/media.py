@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.session import ship
+from gridloom.session import lean, ship
 
 RATE, FRAME, HOP = 8000, 256, 128
 #: Edges (in bins) of the bands that give one peak a frame each, and how many later peaks one is paired with.
@@ -146,4 +146,4 @@ def fingerprint(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(c, kind) for c, kind in zip(zip(*held), _KINDS))], names=names)
                     held, size, start = [], 0, k + 1
 
-    return media.select(*keep, "media").mapInArrow(run, schema)
+    return media.select(*keep, "media").mapInArrow(lean(run), schema)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.llm.words import Bag, grams, mix
-from gridloom.session import Scratch, ship, shuffle_width
+from gridloom.session import Scratch, lean, ship, shuffle_width
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys per document, and labelled shingles per key.
@@ -105,7 +105,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     yield _sketch_part(pdf.iloc[part], node)
                     node += len(part)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "node long, doc_id long, e1 long, e2 long, n_words long, keys array<long>, shingles binary")
+    return docs.select("doc_id", "text").mapInPandas(lean(run), "node long, doc_id long, e1 long, e2 long, n_words long, keys array<long>, shingles binary")
 
 
 @np.errstate(over="ignore")
@@ -255,7 +255,7 @@ def _measured(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     left = shingles.select("node", F.col("shingles").alias("sa"))
     right = shingles.select(F.col("node").alias("leader"), F.col("shingles").alias("sb"))
     dealt = pairs.join(right.hint("merge"), "leader").repartition(shuffle_width(pairs.sparkSession), "node")
-    return dealt.join(left.hint("merge"), "node").select("node", "leader", "sa", "sb").mapInPandas(run, "node long, leader long, alike boolean, gap double")
+    return dealt.join(left.hint("merge"), "node").select("node", "leader", "sa", "sb").mapInPandas(lean(run), "node long, leader long, alike boolean, gap double")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm.tokens import encoder, vocabulary_size
-from gridloom.session import Scratch, ship
+from gridloom.session import Scratch, lean, ship
 
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
@@ -74,7 +74,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
             top, k1, k2 = _signatures(np.frombuffer(b"".join(raw), dtype=e.dtype), edge)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": raw, "n_tokens": np.diff(edge), "top": top, "k1": k1, "k2": k2})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, n_tokens long, top long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInPandas(lean(run), "doc_id long, ids binary, n_tokens long, top long, k1 long, k2 long")
 
 
 def corpus_counts(tokens: DataFrame, size: int, dtype: str) -> tuple[np.ndarray, int, float]:
@@ -93,7 +93,7 @@ def corpus_counts(tokens: DataFrame, size: int, dtype: str) -> tuple[np.ndarray,
 
     n, total = tokens.agg(F.count("*"), F.sum("n_tokens")).first()
     out = np.zeros(size, dtype=np.int64)
-    for r in tokens.select("ids").mapInPandas(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():  # at most the vocabulary
+    for r in tokens.select("ids").mapInPandas(lean(run), "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():  # at most the vocabulary
         out[r.id] = r.df
     return out, n, total / n if n else 1.0
 
@@ -253,4 +253,4 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     # doc_id splits equal signatures, and n_tokens and the ids' hash make the order of repeated ids stable
     keys = ["top", "k1", "k2", "doc_id", "n_tokens"]
     laid = tokens.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, F.xxhash64("ids"))
-    return laid.select("doc_id", "ids").mapInPandas(run, PIECES)
+    return laid.select("doc_id", "ids").mapInPandas(lean(run), PIECES)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridloom.llm.words import Bag, chunked, grams, texts_of, unpack
-from gridloom.session import Scratch, ship
+from gridloom.session import Scratch, lean, ship
 
 BLOCK, WINDOW = 7, 13
 KEY_BITS = 32
@@ -108,7 +108,7 @@ def _send_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
                 keys = [_squeeze(_steps(((values[cut[k] : cut[k + 1]] - bounds[k]) >> shift).astype(np.uint32)), flags[cut[k] : cut[k + 1]]) for k in full]
                 yield pd.DataFrame({"bucket": full, "chunk": chunk, "base": cut[full], "n": cut[full + 1] - cut[full], "keys": keys})
 
-    return chunks.select("chunk", "payload").mapInPandas(run, "bucket int, chunk long, base int, n int, keys binary")
+    return chunks.select("chunk", "payload").mapInPandas(lean(run), "bucket int, chunk long, base int, n int, keys binary")
 
 
 def _meet_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +175,7 @@ def _extend(joined: DataFrame, buckets: int) -> DataFrame:
                     "data": [_squeeze(_steps(windows.astype(np.uint32))), *(_squeeze(_steps(a[x]), b[x], least[x]) for x in parts)],
                 })
 
-    return joined.mapInPandas(run, "kind int, bucket int, chunk long, base int, n int, data binary")
+    return joined.mapInPandas(lean(run), "kind int, bucket int, chunk long, base int, n int, data binary")
 
 
 def _meet_windows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -265,7 +265,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
                 table = table.append_column("n_words", pa.array(bag.n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
                 yield from table.combine_chunks().to_batches()
 
-    return chunks.select("chunk", "payload").join(notes, "chunk", "left").select("payload", "notes").mapInArrow(run, schema)
+    return chunks.select("chunk", "payload").join(notes, "chunk", "left").select("payload", "notes").mapInArrow(lean(run), schema)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridloom.session import ship
+from gridloom.session import lean, ship
 
 K, W = 8, 16
 #: Text bytes that one range of doc_id holds, about, and those whose fingerprints one batch of results holds.
@@ -176,4 +176,4 @@ def neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         if out:
             yield packed()
 
-    return laid.select("range", "text", "down", "nameless", "tail").mapInArrow(run, COLUMNS)
+    return laid.select("range", "text", "down", "nameless", "tail").mapInArrow(lean(run), COLUMNS)

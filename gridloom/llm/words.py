@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.session import ship
+from gridloom.session import lean, ship
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -143,7 +143,7 @@ def chunked(docs: DataFrame, target: int = 1 << 20) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.mapInArrow(run, CHUNK_SCHEMA)
+    return docs.mapInArrow(lean(run), CHUNK_SCHEMA)
 
 
 def unpack(payload: bytes) -> pa.Table:

@@ -51,3 +51,27 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0 and out.count() > 0
+
+
+def test_stages_on_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns and an empty table go through all stages."""
+    good = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("quality = 1 AND length(text) > 200").orderBy("doc_id").limit(8).collect()]
+    rows = [(100_000 + k, t, "s") for k, t in enumerate(good)]
+    rows += [(100_000, good[0], "s")] * 3 + [(200_000, good[1], None), (None, good[2], "s"), (None, None, None), (300_000, "", "s"), (300_001, None, "t"), (300_002, " ".join(good) * 40, "t")]
+    names = ["score", "size", "copies", "node", "n_words", "n_removed", "chunk", "payload", "c0", "source_key"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"), *(F.lit("clash").alias(n) for n in names))
+    for start in (docs, docs.limit(0)):
+        now = start
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, sf_dir)
+            path = str(tmp_path / f"{start is docs}{k}")
+            out.write.parquet(path)
+            now = spark.read.parquet(path)
+            if k < 4:
+                assert now.columns == docs.columns and (now.count() > 0) == (start is docs)
+                assert now.where("score <> 'clash' OR n_words <> 'clash' OR c0 <> 'clash'").count() == 0
+            if k == 1 and start is docs:
+                ids = [r.doc_id for r in now.collect()]
+                assert ids.count(100_000) == 1 and 200_000 not in ids and len([d for d in ids if d in (300_000, 300_001)]) <= 1
+        assert (now.count() > 0) == (start is docs)
