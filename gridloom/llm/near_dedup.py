@@ -27,6 +27,7 @@ Exact copies meet first, by 128 bits over their words, and only one of each goes
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROW = 24, 5
 #: Documents of up to TINY shingles have end-trimmed keys, those of FULL or more have the bands' keys.
 TINY, FULL = 10, 9
+#: Equal cells for each shingle up to which an alignment visits only those.
+CELLS = 32
 #: Leaders that a bucket elects before the rest of it is compared in blocks, and members that a block holds, about.
 ROUNDS, BLOCK = 3, 256
 #: Similarity to a leader under which a text has no near copy among the leader's followers: twice the distance of a near copy.
@@ -168,6 +171,30 @@ def _banded(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, width:
     return done
 
 
+def _matched(x: np.ndarray, y: np.ndarray, band: int) -> int | None:
+    """Most shingles of ``x`` and ``y`` that an alignment within ``band`` diagonals of the main one matches; None if too many cells of the band are equal.
+
+    Only equal cells of the band are visited: each row's from right to left, so that the longest rising sequence of columns
+    is the alignment.
+    """
+    order = np.argsort(y, kind="stable")
+    ranked = y[order]
+    low, high = np.searchsorted(ranked, x, side="left"), np.searchsorted(ranked, x, side="right")
+    n = high - low
+    total = int(n.sum())
+    if total > CELLS * (len(x) + len(y)):
+        return None
+    row = np.repeat(np.arange(len(x)), n)
+    column = order[np.repeat(high, n) - 1 - (np.arange(total) - np.repeat(np.cumsum(n) - n, n))]
+    ends: list[int] = []
+    for j in column[np.abs(column - row) <= band].tolist():
+        if not ends or j > ends[-1]:
+            ends.append(j)
+        else:
+            ends[bisect_left(ends, j)] = j
+    return len(ends)
+
+
 def resemblances(left: list[np.ndarray], right: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
     """In-order shingle resemblance of each pair, or -1 where it is certainly under ``least``."""
     return aligned(left, right, least)[0]
@@ -177,8 +204,8 @@ def aligned(left: list[np.ndarray], right: list[np.ndarray], least: float = SIMI
     """In-order shingle resemblance of each pair, or -1 where it is certainly under ``least``; and what it is at most.
 
     Common heads and tails are matched outright, and the shingles that the rest has in common bound what an alignment can
-    match. The band doubles until the distance fits in it or exceeds what ``least`` allows, so the work follows the
-    number of edits and the answer is exact.
+    match. The band is as wide as ``least`` allows, and only its equal cells are visited; where these are too many (texts that
+    repeat themselves), all cells are, in a band that doubles until the distance fits in it. The answer is exact either way.
     """
     n = len(left)
     out, apart = np.full(n, -1.0), np.zeros(n)
@@ -204,7 +231,12 @@ def aligned(left: list[np.ndarray], right: list[np.ndarray], least: float = SIMI
             apart[k] = max(apart[k], distance - 2 * shared)
             if shared:
                 if apart[k] <= most:
-                    jobs.append((k, x, y, total, most))
+                    matched = _matched(x, y, most)
+                    if matched is None:
+                        jobs.append((k, x, y, total, most))
+                    elif distance - 2 * matched <= most:
+                        distance -= 2 * matched
+                        out[k] = (total - distance) / (total + distance)
                 continue
         else:
             apart[k] = distance

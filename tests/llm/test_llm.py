@@ -203,7 +203,9 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_alignment_against_plain_lcs():
+@pytest.mark.parametrize("cells", [32, 0])  # equal cells of the band, or all of them
+def test_alignment_against_plain_lcs(monkeypatch, cells):
+    monkeypatch.setattr(near_dedup, "CELLS", cells)
     rng = np.random.default_rng(3)
     left, right = [], []
     for _ in range(200):
