@@ -35,7 +35,7 @@ def assign(rows: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def sites(assigned: DataFrame, members: bool = False) -> DataFrame:
-    """g, c, z, point, n, mass, first_id, site_no... of every site.
+    """g, c, z, point, n, mass and first_id (with ``members`` also their ids) of every site.
 
     Aggregated by partial sums, so a site with any share of the rows is no hot spot; member lists are
     only collected on request, since a site's list can be as long as the table.

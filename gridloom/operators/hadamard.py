@@ -34,21 +34,25 @@ def rht(a: np.ndarray, seed: int, inverse: bool = False) -> np.ndarray:
 
 
 def transform(df: DataFrame, column: str = "v", seed: int = 42, inverse: bool = False, rotation: np.ndarray | None = None) -> DataFrame:
-    """``df`` with ``column`` transformed (then rotated; the inverse rotates back first), one Arrow pass."""
+    """``df`` with ``column`` transformed (then rotated; the inverse rotates back first), one Arrow pass. Null vectors stay null."""
     ship(df.sparkSession)
     place = df.columns.index(column)
     schema = ", ".join(f"`{f.name}` {'array<double>' if k == place else f.dataType.simpleString()}" for k, f in enumerate(df.schema.fields))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                a = np.stack(pdf[column].to_numpy()).astype(np.float64)
+            known = np.flatnonzero(pdf[column].notna().to_numpy())
+            if len(known):
+                a = np.stack(pdf[column].to_numpy()[known]).astype(np.float64)
                 if inverse:
                     a = rht(a if rotation is None else a @ rotation, seed, True)
                 else:
                     a = rht(a, seed)
                     a = a if rotation is None else a @ rotation.T
-                pdf = pdf.assign(**{column: list(a)})
+                out = np.empty(len(pdf), dtype=object)
+                for k, row in zip(known.tolist(), a):
+                    out[k] = row
+                pdf = pdf.assign(**{column: out})
             yield pdf
 
     return df.mapInPandas(run, schema)

@@ -502,7 +502,7 @@ def absorb_mass_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def horizon_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = horizon.horizon_state(horizon.derived(horizon.absorb(vectors(spark, sf_dir, 8, 4.0), ["label"], 8), 8))
-    return out.select("label", "absorbed", r6(vec.norm(F.col("encoded")) - F.col("radius")).alias("off_horizon"), F.length("checksum").alias("digits"))
+    return out.select("label", "absorbed", r6(vec.norm(F.col("encoded")) - F.col("radius")).alias("off_horizon"), "checksum")
 
 
 _B = horizon.boundary().tolist()

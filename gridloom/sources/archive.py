@@ -1,7 +1,7 @@
 """Multi-file archives and chunk streams, as Python data sources.
 
 A multi-file archive is magic, the length of a zlib JSON index, the index and the members' bytes.
-Format ``gridloom_archive`` reads its members (or, without the data column, only the index).
+Format ``gridloom_archive`` reads its members, or with option ``index`` only the index, without their bytes.
 A chunk stream is magic and then chunks, each with original size, stored size and CRC-32;
 ``gridloom_chunks`` reads one in batch or as a stream.
 """
@@ -112,16 +112,23 @@ def _paths(path: str) -> list[str]:
     return [inside]
 
 
-def _read(root: str, path: str) -> bytes:
+def _read(root: str, path: str, index_only: bool = False) -> bytes:
+    """A file's bytes, or those up to the end of its archive index."""
     from pyarrow import fs
 
     store, _ = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
     with store.open_input_file(path) as f:
-        return f.read()
+        if not index_only:
+            return f.read()
+        head = f.read(16)
+        return head + f.read(struct.unpack_from("<Q", head, 8)[0]) if head[:8] == MAGIC else head
 
 
 class ArchiveSource(DataSource):
-    """spark.read.format("gridloom_archive").load(path): one partition per archive file."""
+    """spark.read.format("gridloom_archive").load(path): one partition per archive file.
+
+    With option index=true only the index of each file is read, and content is null.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -131,20 +138,23 @@ class ArchiveSource(DataSource):
         return "archive string, name string, original_size long, compressed_size long, offset long, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _ArchiveReader(self.options["path"])
+        return _ArchiveReader(self.options["path"], self.options.get("index", "false").lower() == "true")
 
 
 class _ArchiveReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, index_only: bool):
+        self.root, self.index_only = root, index_only
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in _paths(self.root)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        data = _read(self.root, partition.path)
+        data = _read(self.root, partition.path, index_only=self.index_only)
         index, at = read_index(data)
         for m in index:
+            if self.index_only:
+                yield partition.path, m["name"], m["original_size"], m["compressed_size"], m["offset"], None
+                continue
             start = at + m["offset"]
             yield partition.path, m["name"], m["original_size"], m["compressed_size"], m["offset"], zlib.decompress(data[start : start + m["compressed_size"]])
 

@@ -153,6 +153,16 @@ def test_archive_source(spark, tmp_path):
     archive.register(spark)
     read = spark.read.format("gridloom_archive").load(str(tmp_path)).collect()
     assert sorted((r.name, bytes(r.content)) for r in read) == [("a.txt", b"a"), ("b.txt", b"bb" * 50), ("c", b"")]
+    names = spark.read.format("gridloom_archive").option("index", "true").load(str(tmp_path)).collect()
+    assert sorted((r.name, r.original_size, r.content) for r in names) == [("a.txt", 1, None), ("b.txt", 100, None), ("c", 0, None)]
+
+
+def test_transform_keeps_nulls(spark):
+    from gridloom.operators import hadamard
+
+    df = spark.createDataFrame([(1, [1.0] * 8), (2, None)], "id int, v array<double>")
+    back = {r.id: r.v for r in hadamard.transform(hadamard.transform(df), inverse=True).collect()}
+    assert back[2] is None and max(abs(x - 1) for x in back[1]) < 1e-12
 
 
 def test_chunk_stream_source(spark, tmp_path):
