@@ -96,13 +96,13 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.exact(rows, rows.where(ASKED), 10, "cosine").select("qid", "rank", "rid", r6(F.col("d2")).alias("distance"))
 
 
-def _projection_sql() -> str:
+def _projection_sql(radius: float = 1.0, votes: int = 2) -> str:
     low = ", ".join(f"({p}, {', '.join(DOT.format('v', lit(m[:, j].tolist())) for j in range(3))})" for p, m in enumerate(recall.projections()))
     return f"""WITH v AS ({sql_vectors()}),
 low AS (SELECT id, u[1] AS p, u[2] AS x, u[3] AS y, u[4] AS z FROM (SELECT id, unnest([{", ".join("[" + s[1:-1] + "]" for s in low.replace("), (", ")|(").split("|"))}]) AS u FROM v)),
 c AS (SELECT a.id AS qid, b.id AS rid FROM low a JOIN low b ON a.p = b.p
-  WHERE a.id % 100 = 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 1.0
-  GROUP BY 1, 2 HAVING count(*) >= 2),
+  WHERE a.id % 100 = 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {radius * radius!r}
+  GROUP BY 1, 2 HAVING count(*) >= {votes}),
 d AS (SELECT qid, rid, {D2.format('q.v', 'r.v')} AS d2 FROM c JOIN v q ON q.id = qid JOIN v r ON r.id = rid),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, rid) AS rank FROM d)
 """
@@ -130,7 +130,8 @@ def recall_lattice_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.by_cell(rows, rows.where(ASKED), 10).withColumn("d2", r6(F.col("d2")))
 
 
-@query()
+@query(_projection_sql(0.5, 4) + f""", w AS (SELECT id AS qid, unnest(range(1, 11)) AS rank FROM v WHERE id % 100 = 0)
+SELECT w.qid, w.rank, coalesce(r.rid, -1)::BIGINT AS rid, coalesce({R6.format('r.d2')}, 'infinity'::DOUBLE) AS d2 FROM w LEFT JOIN r ON r.qid = w.qid AND r.rank = w.rank""")
 def recall_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     asked = rows.where(ASKED)
