@@ -60,13 +60,16 @@ def decode_mass(radius: Column, n: int) -> Column:
     return F.pow(radius, num(max(n - 3.0, 1.0)))
 
 
+def noise(n: int, seed: int = 0) -> list[float]:
+    return np.random.default_rng(seed).normal(size=n).tolist()
+
+
 def evaporate(derived_: DataFrame, n: int, fraction: float = 0.1, seed: int = 0) -> DataFrame:
     """Adds mass_left (at least 0.1), entanglement and radiation: a fraction of the state plus seeded normal noise at the temperature of the mass left."""
     left = F.greatest(F.col("mass") * (1 - fraction), num(0.1))
     radius = F.pow(left, num(1 / max(n - 3.0, 1.0)))
-    noise = np.random.default_rng(seed).normal(size=n).tolist()
     cold = 1 / (4 * math.pi * radius)
-    radiation = F.zip_with("state", F.array(*map(num, noise)), lambda x, e: x * fraction + e * cold)
+    radiation = F.zip_with("state", F.array(*map(num, noise(n, seed))), lambda x, e: x * fraction + e * cold)
     entropy = F.least(F.pow(radius, num(n - 2)), num(1e300)) / 4
     return derived_.withColumn("mass_left", left).withColumn("entanglement", entropy * fraction).withColumn("radiation", radiation)
 

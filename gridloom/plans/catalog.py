@@ -124,12 +124,6 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.recall_at(recall.by_projection(rows, asked, 10), recall.exact(rows, asked, 10)).withColumn("recall", r6(F.col("recall")))
 
 
-@query()
-def recall_lattice_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    return recall.by_cell(rows, rows.where(ASKED), 10).withColumn("d2", r6(F.col("d2")))
-
-
 @query(_projection_sql(0.5, 4) + f""", w AS (SELECT id AS qid, unnest(range(1, 11)) AS rank FROM v WHERE id % 100 = 0)
 SELECT w.qid, w.rank, coalesce(r.rid, -1)::BIGINT AS rid, coalesce({R6.format('r.d2')}, 'infinity'::DOUBLE) AS d2 FROM w LEFT JOIN r ON r.qid = w.qid AND r.rank = w.rank""")
 def recall_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +265,11 @@ def log_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(neighbours(spark, sf_dir, 8, 1.0).select("id", hyp.log_map(F.col("a"), F.col("b")).alias("v")), "id")
 
 
-@query()
+@query(_HP + f""", n AS (SELECT *, {DOT.format('a', 'a')} AS aa, list_transform(a, lambda x: -x) AS m, {DOT.format('b', 'b')} AS bb, -{DOT.format('a', 'b')} AS ab FROM p),
+d AS (SELECT *, list_transform(list_zip(m, b), lambda z: 0.5::DOUBLE * ((1 + 2 * ab + bb) * z[1] + (1 - aa) * z[2]) / (1 + 2 * ab + aa * bb)) AS d FROM n),
+s AS (SELECT *, sqrt({DOT.format('d', 'd')}) AS n FROM d), w AS (SELECT id, a, aa, list_transform(d, lambda x: x * tanh(n / (1 - aa + 1e-10::DOUBLE)) / (n + 1e-10::DOUBLE)) AS w FROM s),
+o AS (SELECT *, {DOT.format('w', 'w')} AS ww, {DOT.format('a', 'w')} AS aw FROM w)
+SELECT id, (k - 1)::BIGINT AS pos, {R6.format('((1 + 2 * aw + ww) * a[k] + (1 - aa) * w[k]) / (1 + 2 * aw + aa * ww)')} AS value FROM o, range(1, 9) t(k)""")
 def geodesic_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(hyp.along(neighbours(spark, sf_dir, 8, 1.0), "a", "b", F.lit(0.5), "v").select("id", "v"), "id")
 
@@ -389,22 +387,39 @@ def golay_syndrome_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _leech_sql(source: str) -> str:
     """Distances by the plain definition: every codeword, both cases, the cheapest flip where the parity asks for one."""
-    return _BOOK + f""", g AS (SELECT list_transform(range(0, 24), lambda i: ((codeword >> i) & 1)::INTEGER) AS g FROM book), v AS ({source}),
+    return _BOOK + f""", g AS (SELECT message, list_transform(range(0, 24), lambda i: ((codeword >> i) & 1)::INTEGER) AS g FROM book), v AS ({source}),
 y AS (SELECT id, c, list_transform(v, lambda x: x * sqrt(8.0::DOUBLE)) AS y FROM v, (VALUES (0), (1)) t(c)),
 b AS (SELECT id, c, y, list_transform(y, lambda x: 4 * round_even((x - c) / 4, 0) + c) AS a0, list_transform(y, lambda x: 4 * round_even((x - (2 + c) % 4) / 4, 0) + (2 + c) % 4) AS a1 FROM y),
 e AS (SELECT id, c, y, a0, a1, list_sum(a0) AS s0, list_transform(list_zip(y, a0), lambda z: abs(z[1] - z[2])) AS r0, list_transform(list_zip(y, a1), lambda z: abs(z[1] - z[2])) AS r1 FROM b),
 f AS (SELECT *, list_inner_product(r0, r0) AS q0, list_transform(list_zip(r0, r1), lambda z: z[2] * z[2] - z[1] * z[1]) AS dq, list_transform(list_zip(a0, a1), lambda z: z[2] - z[1]) AS da FROM e),
-k AS (SELECT id, q0 + list_inner_product(dq, g::DOUBLE[]) AS q, ((s0 + list_inner_product(da, g::DOUBLE[]))::BIGINT % 8 + 8) % 8 = 4 * c AS fits,
+k AS (SELECT id, c, message, q0 + list_inner_product(dq, g::DOUBLE[]) AS q, ((s0 + list_inner_product(da, g::DOUBLE[]))::BIGINT % 8 + 8) % 8 = 4 * c AS fits,
   list_min(list_transform(list_zip(g, r0, r1), lambda z: 16 - 8 * CASE WHEN z[1] = 0 THEN z[2] ELSE z[3] END)) AS mend FROM f, g)
 """
 
 
+def _points_sql(source: str) -> str:
+    """Table ``site``: id, g, c, y (integers), z and the squared distance, of the cheapest codeword with its mended coordinate."""
+    return _leech_sql(source) + """, best AS (SELECT id, arg_min({'c': c, 'm': message, 'fits': fits}, CASE WHEN fits THEN q ELSE q + mend END) AS b, min(CASE WHEN fits THEN q ELSE q + mend END) / 8 AS d2 FROM k GROUP BY id),
+p0 AS (SELECT f.id, b.m AS m, b.c AS c, b.fits AS fits, f.y AS v, g.g AS bits, d2, list_transform(list_zip(g.g, a0, a1), lambda z: CASE WHEN z[1] = 0 THEN z[2] ELSE z[3] END) AS p FROM best JOIN f ON f.id = best.id AND f.c = b.c JOIN g ON g.message = b.m),
+p1 AS (SELECT *, list_transform(list_zip(v, p), lambda z: abs(z[1] - z[2])) AS off FROM p0),
+p2 AS (SELECT *, CASE WHEN fits THEN p ELSE list_transform(p, lambda x, i: CASE WHEN i = list_position(off, list_max(off)) THEN x + 4 * sign(v[i] - x) ELSE x END) END AS y FROM p1),
+site AS (SELECT id, m::INTEGER AS g, c::INTEGER AS c, list_transform(y, lambda x: x::INTEGER) AS y, list_transform(list_zip(y, bits), lambda z: ((z[1] - 2 * z[2] - c) / 4)::INTEGER) AS z, d2 FROM p2)
+"""
+
+
+def _site_sql(scale: float) -> str:
+    """``site`` of the scaled rows, and the tables ``own`` (rows with their site) and ``sites`` with mass, alpha and |point|^2."""
+    return _points_sql(sql_vectors(24, 8.0 * scale)) + f""", own AS (SELECT s.id, s.g, s.c, s.z, s.y, list_transform(e.embedding[1:24], lambda x: x::DOUBLE * 8) AS v FROM site s JOIN embeddings e ON e.vec_id = s.id),
+sites AS (SELECT g, c, z, any_value(y) AS y, count(*) AS n, sum({DOT.format('v', 'v')}) AS mass, min(id) AS first_id, {DOT.format('any_value(y)::DOUBLE[]', 'any_value(y)::DOUBLE[]')} / {8 * scale * scale!r} AS base FROM own GROUP BY g, c, z)
+"""
+
+
 @query(_leech_sql(sql_vectors()) + f"SELECT id, {R6.format('sqrt(min(CASE WHEN fits THEN q ELSE q + mend END) / 8)')} AS dist FROM k GROUP BY id")
 def leech_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leech.quantize(vectors(spark, sf_dir).select("id", "v")).select("id", r6(F.col("dist")).alias("dist"))
 
 
-@query()
+@query(_points_sql(sql_vectors()) + "SELECT id, g::BIGINT AS g, c::BIGINT AS c, array_to_string(z, ',') AS z, true AS consistent FROM site")
 def leech_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kernel's index, the SQL index and the SQL point again must agree; rows that do not would show."""
     q = leech.quantize(vectors(spark, sf_dir).select("id", "v")).withColumn("i", leech.index_of(F.col("y")))
@@ -412,11 +427,26 @@ def leech_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("id", F.col("g").cast("long").alias("g"), F.col("c").cast("long").alias("c"), F.array_join(F.transform("z", lambda x: x.cast("string")), ",").alias("z"), same.alias("consistent"))
 
 
-@query()
+@query(_points_sql(sql_vectors()) + f"SELECT ({DOT.format('y::DOUBLE[]', 'y::DOUBLE[]')} / 16)::INTEGER AS shell, count(*) AS n, {R6.format('avg(sqrt(d2))')} AS mean_dist FROM site GROUP BY 1")
 def leech_shell_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leech.quantize(vectors(spark, sf_dir).select("id", "v")).groupBy("shell").agg(F.count("*").alias("n"), r6(F.avg("dist")).alias("mean_dist"))
 
 
+def _cells_sql() -> str:
+    parts = [f"SELECT {n} AS scale, id, g, c, z FROM ({_points_sql(sql_vectors(24, 8.0 * s))} SELECT * FROM site)" for n, s in enumerate((0.5, 0.25, 0.125))]
+    return f"""WITH v AS ({sql_vectors()}), cells AS ({' UNION ALL '.join(parts)}),
+met AS (SELECT q.id AS qid, r.id AS rid, min(q.scale) AS scale FROM cells q JOIN cells r USING (scale, g, c, z) WHERE q.id % 100 = 0 GROUP BY 1, 2),
+so AS (SELECT qid, s, count(*) AS n FROM met, range(0, 3) t(s) WHERE scale <= s GROUP BY 1, 2), stop AS (SELECT qid, coalesce(min(s) FILTER (n >= 10), 2) AS stop FROM so GROUP BY qid),
+d AS (SELECT met.qid, rid, {D2.format('q.v', 'r.v')} AS d2 FROM met JOIN stop USING (qid) JOIN v q ON q.id = qid JOIN v r ON r.id = rid WHERE scale <= stop),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, rid) AS rank FROM d) SELECT qid, rank, rid, {R6.format('d2')} AS d2 FROM r WHERE rank <= 10"""
+
+
+@query(_cells_sql())
+def recall_lattice_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return recall.by_cell(rows, rows.where(ASKED), 10).withColumn("d2", r6(F.col("d2")))
+
+
 @query(f"SELECT shell, points::VARCHAR AS points FROM (VALUES {', '.join(f'({k}, {c})' for k, c in enumerate((1, 0, 196560, 16773120, 398034000, 4629381120)))}) t(shell, points)")
 def leech_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leech.theta_table(spark, 6).select("shell", F.col("points").cast("string").alias("points"))
@@ -445,11 +475,12 @@ def _sites(spark: SparkSession, sf_dir: str, scale: float = COARSE) -> tuple[Dat
     return assigned, consolidate.alpha(consolidate.sites(assigned), scale)
 
 
-@query()
+@query(_site_sql(COARSE) + f"SELECT g, c, array_to_string(z, ',') AS z, n, {R6.format('mass')} AS mass, CASE WHEN base > 0 THEN {R6.format('sqrt(mass / (n * base))')} END AS alpha, first_id FROM sites")
 def consolidate_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites with their mass; alpha is shown off the origin, which has no direction to rescale."""
     _, s = _sites(spark, sf_dir)
     z = F.array_join(F.transform("z", lambda x: x.cast("string")), ",")
-    return s.select("g", "c", z.alias("z"), "n", r6(F.col("mass")).alias("mass"), r6(F.col("alpha")).alias("alpha"), "first_id")
+    return s.select("g", "c", z.alias("z"), "n", r6(F.col("mass")).alias("mass"), F.when(F.col("origin_mass") == 0, r6(F.col("alpha"))).alias("alpha"), "first_id")
 
 
 @query(f"""WITH v AS ({sql_vectors()}) SELECT count(*) AS n, round(sum({DOT.format('v', 'v')}), 4) AS mass_in, true AS conserved FROM v""")
@@ -458,16 +489,20 @@ def consolidate_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.audit(*_sites(spark, sf_dir)).select("n", r6(F.col("mass_in"), 4).alias("mass_in"), (F.col("drift") < 1e-9).alias("conserved"))
 
 
-@query()
+SCALES = (1.0, 0.5, 0.25, 0.125)
+
+
+@query(" UNION ALL ".join(f"(SELECT * FROM ({_site_sql(x)} SELECT {x!r}::DOUBLE AS scale, sum(n)::BIGINT AS n, count(*) AS sites, {R6.format('sum(n) / count(*)')} AS collapse, {R6.format('coalesce(sum(mass) FILTER (base = 0), 0)')} AS origin_mass FROM sites))" for x in SCALES))
 def collapse_ratio_by_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for scale in (1.0, 0.5, 0.25, 0.125):
+    for scale in SCALES:
         one = consolidate.audit(*_sites(spark, sf_dir, scale)).select(F.lit(scale).alias("scale"), "n", "sites", r6(F.col("collapse")).alias("collapse"), r6(F.col("origin_mass")).alias("origin_mass"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query()
+@query(_site_sql(COARSE) + f""", r AS (SELECT v, list_transform(s.y, lambda x: CASE WHEN base > 0 THEN x / sqrt(8.0::DOUBLE) / {COARSE!r} * sqrt(mass / (n * base)) ELSE 0 END) AS r FROM own JOIN sites s USING (g, c, z))
+SELECT count(*) AS n, round(avg(sqrt({D2.format('v', 'r')})), 5) AS mean_error FROM r""")
 def mass_scaled_recon_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = consolidate.reconstruct(*_sites(spark, sf_dir))
     return back.agg(F.count("*").alias("n"), r6(F.avg(F.sqrt(vec.distance2(F.col("v"), F.col("recon")))), 5).alias("mean_error"))
@@ -481,7 +516,10 @@ def consolidate_exact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")), "id")
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id AS id, k, (embedding[k] * 8)::FLOAT::DOUBLE AS x FROM embeddings, range(1, 25) t(k)),
+e AS (SELECT *, CASE WHEN pow(2::DOUBLE, round(log2(abs(x)))) <= abs(x) THEN round(log2(abs(x))) ELSE round(log2(abs(x))) - 1 END AS e FROM x),
+b AS (SELECT id, k, CASE WHEN x = 0 THEN 0 ELSE CASE WHEN x < 0 THEN 2147483648 ELSE 0 END + (e + 127)::BIGINT * 8388608 + (abs(x) / pow(2::DOUBLE, e) * 8388608)::BIGINT - 8388608 END AS b FROM e)
+SELECT id, sha256(unhex(string_agg(printf('%02x%02x%02x%02x', b & 255, (b >> 8) & 255, (b >> 16) & 255, b >> 24), '' ORDER BY k)))[1:16] AS member FROM b GROUP BY id""")
 def consolidate_member_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("id", consolidate.member_id("v").alias("member"))
 
@@ -542,13 +580,22 @@ def trajectory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "length", "perturbations", r6(F.col("ratio")).alias("ratio"), r6(F.col("fidelity")).alias("fidelity"))
 
 
-@query()
+@query(_PATHS + f"SELECT key, {R6.format(f'avg(CASE WHEN dev_norm > 0.1 THEN 0 ELSE sqrt({DOT.format('d', 'd')}) END)')} AS error FROM dev GROUP BY key")
 def trajectory_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     dev = trajectory.deviations(_paths(spark, sf_dir))
     return trajectory.reconstruction_error(dev.select("key", "idx", "v"), trajectory.decompress(*trajectory.compress(dev, 0.1))).select("key", r6(F.col("error")).alias("error"))
 
 
-@query()
+_TRIED = "(low + high) / 2"
+_RATIO = f"64 * length / (128 + 68 * len(list_filter(norms, lambda x: x > {_TRIED})) + 1e-10::DOUBLE)"
+
+
+@query(_PATHS.replace("WITH v AS", "WITH RECURSIVE v AS") + f""", s AS (SELECT key, max(length) AS length, list(dev_norm) FILTER (idx > 0 AND idx < length - 1) AS norms FROM dev GROUP BY key),
+step AS (SELECT key, length, norms, 0 AS n, 0.01::DOUBLE AS low, 1::DOUBLE AS high, NULL::DOUBLE AS tolerance, NULL::DOUBLE AS ratio FROM s
+  UNION ALL SELECT key, length, norms, n + 1, CASE WHEN now < 2 THEN tried ELSE low END, CASE WHEN now < 2 THEN high ELSE tried END,
+    CASE WHEN better THEN tried ELSE tolerance END, CASE WHEN better THEN now ELSE ratio END
+  FROM (SELECT *, ratio IS NULL OR (now >= 2 AND abs(now - 2) < abs(ratio - 2)) AS better FROM (SELECT *, {_TRIED} AS tried, {_RATIO} AS now FROM step WHERE n < 10)))
+SELECT key, {R6.format('tolerance')} AS tolerance, {R6.format('ratio')} AS ratio, {R6.format('1 / (1 + len(list_filter(norms, lambda x: x > tolerance)) * tolerance)')} AS fidelity FROM step WHERE n = 10""")
 def trajectory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = trajectory.search_tolerance(trajectory.deviations(_paths(spark, sf_dir)), 2.0)
     return out.select("key", *(r6(F.col(c)).alias(c) for c in ("tolerance", "ratio", "fidelity")))
@@ -627,7 +674,14 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytestats.chunk_plan(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), 1000)
 
 
-@query()
+_CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+
+
+@query(f"""WITH RECURSIVE bit AS (SELECT 0 AS n, b::BIGINT AS byte, b::BIGINT AS c FROM range(0, 256) t(b) UNION ALL SELECT n + 1, byte, {_CRC_STEP.format('c')} FROM bit WHERE n < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM bit WHERE n = 8),
+p AS (SELECT doc_id, chunk, substr(hex(encode(text)), (chunk * 8192 + 1)::BIGINT, 8192) AS h FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil(strlen(text) / 4096.0)::BIGINT))) AS chunk FROM documents)),
+b AS (SELECT doc_id, chunk, len(h) // 2 AS size, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)) AS b, t FROM p, tab)
+SELECT doc_id, chunk, size::INTEGER AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS crc32 FROM b""")
 def crc32_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.split(table(spark, sf_dir, "documents"), "doc_id", "text", 4096).select("doc_id", "chunk", F.octet_length("data").alias("size"), "crc32")
 
@@ -755,7 +809,9 @@ def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", back.alias("m")).select("event_id", "m.*")
 
 
-@query()
+@query(f"""WITH v AS ({sql_vectors(8, 4.0)}), s AS (SELECT label, sum(sqrt({DOT.format('v', 'v')})) AS e, [{', '.join(f'sum(v[{i}])' for i in range(1, 9))}] AS s FROM v GROUP BY label),
+r AS (SELECT label, [{', '.join(DOT.format('s', lit(q)) for q in _Q8)}] AS state, 1 / (4 * pi() * pow(greatest(0.9::DOUBLE * (1 + e * 0.01::DOUBLE), 0.1), 0.2::DOUBLE)) AS cold FROM s)
+SELECT label, (k - 1)::BIGINT AS pos, {R6.format(f'state[k] * 0.1::DOUBLE + list_extract({lit(horizon.noise(8))}, k) * cold')} AS value FROM r, range(1, 9) t(k)""")
 def hawking_radiation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = horizon.evaporate(horizon.derived(horizon.absorb(vectors(spark, sf_dir, 8, 4.0), ["label"], 8), 8), 8)
     return long(out.select("label", F.col("radiation").alias("v")), "label")
