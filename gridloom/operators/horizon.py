@@ -119,18 +119,22 @@ def packing_energy(rows: DataFrame, power: float = 2.0, weighted: bool = True) -
     return out.withColumn("normalized_energy", F.when(F.col("pairs") > 0, F.col("total_energy") / F.col("pairs")).otherwise(num(0)))
 
 
-def spread(vectors: np.ndarray, steps: int = 20, rate: float = 0.01, power: float = 2.0) -> np.ndarray:
-    """Gradient steps that lower the packing energy of a few vectors (an in-memory helper for one group)."""
+def spread(vectors: np.ndarray, steps: int = 20, rate: float = 0.01, power: float = 2.0, block: int = 256) -> np.ndarray:
+    """Gradient steps that lower the packing energy of the vectors (in memory, ``block`` of them against all at a time)."""
     from gridloom.functions.golden import PHI
 
     x = np.array(vectors, dtype=np.float64)
     for _ in range(steps):
-        diff = x[:, None, :] - x[None, :, :]
-        d = np.sqrt((diff**2).sum(axis=2)) + np.eye(len(x))
-        d = np.maximum(d, 1e-10)
-        slope = PHI**-d / d**power * (math.log(PHI) + power / d)
-        np.fill_diagonal(slope, 0.0)
-        x = x + rate * (slope[:, :, None] * diff / d[:, :, None]).sum(axis=1)
+        push = np.empty_like(x)
+        for at in range(0, len(x), block):
+            some = x[at : at + block]
+            d = np.sqrt(((some[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+            d[np.arange(len(some)), at + np.arange(len(some))] = 1.0
+            d = np.maximum(d, 1e-10)
+            force = PHI**-d / d**power * (math.log(PHI) + power / d) / d
+            force[np.arange(len(some)), at + np.arange(len(some))] = 0.0
+            push[at : at + block] = force.sum(axis=1)[:, None] * some - force @ x
+        x = x + rate * push
     return x
 
 

@@ -96,7 +96,10 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.exact(rows, rows.where(ASKED), 10, "cosine").select("qid", "rank", "rid", r6(F.col("d2")).alias("distance"))
 
 
-def _projection_sql(radius: float = 1.0, votes: int = 2) -> str:
+RADIUS = 6.0  # just over the mean distance of these rows' tenth neighbour, 4.7 to 5.3
+
+
+def _projection_sql(radius: float = RADIUS, votes: int = 2) -> str:
     low = ", ".join(f"({p}, {', '.join(DOT.format('v', lit(m[:, j].tolist())) for j in range(3))})" for p, m in enumerate(recall.projections()))
     return f"""WITH v AS ({sql_vectors()}),
 low AS (SELECT id, u[1] AS p, u[2] AS x, u[3] AS y, u[4] AS z FROM (SELECT id, unnest([{", ".join("[" + s[1:-1] + "]" for s in low.replace("), (", ")|(").split("|"))}]) AS u FROM v)),
@@ -111,7 +114,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, rid) AS rank FR
 @query(_projection_sql() + f"SELECT qid, rank, rid, {R6.format('d2')} AS d2 FROM r WHERE rank <= 10")
 def recall_projection_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return recall.by_projection(rows, rows.where(ASKED), 10).withColumn("d2", r6(F.col("d2")))
+    return recall.by_projection(rows, rows.where(ASKED), 10, radius=RADIUS).withColumn("d2", r6(F.col("d2")))
 
 
 @query(_projection_sql() + f""", got AS (SELECT qid, rid FROM r WHERE rank <= 10),
@@ -121,7 +124,7 @@ SELECT count(got.rid) AS hits, count(*) AS truth, round(count(got.rid)::DOUBLE /
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     asked = rows.where(ASKED)
-    return recall.recall_at(recall.by_projection(rows, asked, 10), recall.exact(rows, asked, 10)).withColumn("recall", r6(F.col("recall")))
+    return recall.recall_at(recall.by_projection(rows, asked, 10, radius=RADIUS), recall.exact(rows, asked, 10)).withColumn("recall", r6(F.col("recall")))
 
 
 @query(_projection_sql(0.5, 4) + f""", w AS (SELECT id AS qid, unnest(range(1, 11)) AS rank FROM v WHERE id % 100 = 0)
@@ -225,7 +228,13 @@ def packing_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(r6(F.col("total_energy"), 4).alias("total_energy"), "pairs", r6(F.col("min_distance")).alias("min_distance"), r6(F.col("max_distance")).alias("max_distance"))
 
 
-@query()
+_FORCE = f"pow({golden.PHI!r}::DOUBLE, -d) / (d * d) * (ln({golden.PHI!r}::DOUBLE) + 2 / d) / d"
+
+
+@query(f"""WITH RECURSIVE v AS ({sql_vectors(8, 4.0)}), s AS (SELECT label, 0 AS n, list(id ORDER BY id) AS ids, list(v ORDER BY id) AS x FROM v GROUP BY label
+UNION ALL SELECT label, n + 1, ids, list_transform(x, lambda p, i: list_transform(p, lambda y, k: y + 0.01::DOUBLE * (y * list_sum(w[i]) - list_inner_product(w[i], list_transform(x, lambda q: q[k])))))
+  FROM (SELECT *, list_transform(x, lambda p, i: list_transform(list_transform(x, lambda q: greatest(1e-10::DOUBLE, list_distance(p, q))), lambda d, j: CASE WHEN i = j THEN 0 ELSE {_FORCE} END)) AS w FROM s WHERE n < 20)),
+e AS (SELECT label, unnest(ids) AS id, unnest(x) AS v FROM s WHERE n = 20) SELECT label, id, (k - 1)::BIGINT AS pos, {R6.format('v[k]')} AS value FROM e, range(1, 9) t(k)""")
 def packing_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(horizon.spread_groups(vectors(spark, sf_dir, 8, 4.0), "label"), "label", "id")
 
@@ -281,7 +290,16 @@ def lorentz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", r6(F.col("x")[0]).alias("time"), r6(hyp.to_poincare(F.col("x"))[0]).alias("back_first"), r6(hyp.lorentz_distance(F.col("x"), F.col("y"))).alias("distance"))
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS ({sql_vectors(8, 1.0)}), s AS (SELECT label, 0 AS n, list(v) AS x, [{', '.join(f'avg(v[{i}])' for i in range(1, 9))}] AS m FROM v GROUP BY label
+UNION ALL SELECT label, n + 1, x, CASE WHEN size < 1e-7 THEN m ELSE list_transform(list_zip(m, w), lambda z: ((1 + 2 * mw + ww) * z[1] + (1 - mm) * z[2]) / (1 + 2 * mw + mm * ww)) END FROM (
+  SELECT *, {DOT.format('w', 'w')} AS ww, {DOT.format('m', 'w')} AS mw FROM (
+    SELECT *, list_transform(g, lambda y: y * tanh(size / (1 - mm + 1e-10::DOUBLE)) / (size + 1e-10::DOUBLE)) AS w FROM (
+      SELECT *, sqrt({DOT.format('g', 'g')}) AS size FROM (
+        SELECT *, list_transform(m, lambda y, k: 0.1::DOUBLE * list_avg(list_transform(logs, lambda l: l[k]))) AS g FROM (
+          SELECT *, list_transform(list_transform(x, lambda p: list_transform(list_zip(m, p), lambda z: ((2 * list_inner_product(m, p) - 1 - list_inner_product(p, p)) * z[1] + (1 - mm) * z[2]) / (1 - 2 * list_inner_product(m, p) + mm * list_inner_product(p, p)))),
+            lambda d: list_transform(d, lambda y: y * atanh(sqrt(list_inner_product(d, d))) / (sqrt(list_inner_product(d, d)) / (1 - mm + 1e-10::DOUBLE) + 1e-10::DOUBLE))) AS logs FROM (
+            SELECT *, {DOT.format('m', 'm')} AS mm FROM s WHERE n < 100))))))
+) SELECT label, (k - 1)::BIGINT AS pos, round(m[k], 5) + 0.0 AS value FROM s, range(1, 9) t(k) WHERE n = 100""")
 def hyperbolic_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = horizon.hyperbolic_centroids(vectors(spark, sf_dir, 8, 1.0), "label", 8)
     return long(out, "label", column="centroid", digits=5)
@@ -742,7 +760,15 @@ def tensor_rate_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.bits_to_snr(tensors).select("tensor_id", "scale", r6(F.col("bits_per_weight"), 4).alias("bits_per_weight"), r6(F.col("snr_db"), 4).alias("snr_db"))
 
 
-@query()
+_TURN = "CASE {i} WHEN p THEN co * {a} - si * {b} WHEN q THEN si * {a} + co * {b} ELSE {c} END"
+
+
+@query(f"""WITH RECURSIVE v AS ({sql_vectors(8, 4.0)}), s AS (SELECT 0 AS n, [{', '.join(f'covar_pop(v[{i}], v[{j}])' for i in range(1, 9) for j in range(1, 9))}] AS m FROM v
+UNION ALL SELECT n + 1, list_transform(h, lambda x, k: {_TURN.format(i='(k - 1) % 8', a='h[(k - 1) // 8 * 8 + p + 1]', b='h[(k - 1) // 8 * 8 + q + 1]', c='x')}) FROM (
+  SELECT *, list_transform(m, lambda x, k: {_TURN.format(i='(k - 1) // 8', a='m[p * 8 + (k - 1) % 8 + 1]', b='m[q * 8 + (k - 1) % 8 + 1]', c='x')}) AS h FROM (
+    SELECT *, cos(angle) AS co, sin(angle) AS si FROM (
+      SELECT *, atan2(2 * m[p * 8 + q + 1], m[q * 9 + 1] - m[p * 9 + 1]) / 2 AS angle FROM s JOIN (VALUES {', '.join(f'({n}, {p}, {q})' for n, (p, q) in enumerate((p, q) for p in range(8) for q in range(p + 1, 8)))}) pair(k, p, q) ON k = n % 28 WHERE n < 280)))
+) SELECT (row_number() OVER (ORDER BY m[i * 9 + 1] DESC) - 1)::INTEGER AS axis, {R6.format('m[i * 9 + 1]')} AS variance FROM s, range(0, 8) t(i) WHERE n = 280""")
 def learn_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variances of the vectors along the learned axes, which fall."""
     rows = vectors(spark, sf_dir, 8, 4.0).select("id", "v")

@@ -41,3 +41,7 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registered_recall_is_high(spark, sf_dir):
+    assert catalog.QUERIES["recall_at_k"](spark, sf_dir).first().recall >= 0.9
