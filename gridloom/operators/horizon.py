@@ -43,16 +43,17 @@ def derived(absorbed: DataFrame, n: int) -> DataFrame:
     return out.withColumn("temperature", cold).withColumn("capacity", F.col("entropy") * math.log(2))
 
 
-@F.udf(T.StringType())
-def _checksum(v):
-    return None if v is None else hashlib.sha256(np.asarray(v, dtype="<f8").tobytes()).hexdigest()[:16]
+def horizon_state(derived_: DataFrame) -> DataFrame:
+    """Adds encoded (state on the sphere of the radius) and its checksum, of the float64 bytes that SQL cannot give."""
+    import pandas as pd
 
+    @F.pandas_udf(T.StringType())
+    def checksum(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, dtype="<f8").tobytes()).hexdigest()[:16])
 
-def horizon_state(derived_: DataFrame) -> DataFrame:
-    """Adds encoded (state on the sphere of the radius) and its checksum. One row per key, so the checksum's Python call is rare."""
     n = norm(F.col("state"))
     encoded = F.when(n > 1e-9, F.transform("state", lambda x: x / n * F.col("radius"))).otherwise(F.transform("state", lambda x: num(0)))
-    return derived_.withColumn("encoded", encoded).withColumn("checksum", _checksum("encoded"))
+    return derived_.withColumn("encoded", encoded).withColumn("checksum", checksum("encoded"))
 
 
 def decode_mass(radius: Column, n: int) -> Column:
@@ -60,16 +61,23 @@ def decode_mass(radius: Column, n: int) -> Column:
     return F.pow(radius, num(max(n - 3.0, 1.0)))
 
 
-def noise(n: int, seed: int = 0) -> list[float]:
-    return np.random.default_rng(seed).normal(size=n).tolist()
+def noise(keys: list[str], n: int, seed: int = 0) -> Column:
+    """``n`` normal numbers per key, by Box and Muller from the MD5 of seed, keys and position: alike on every run, other for every key."""
+
+    def of(i: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys), i))
+        u, w = ((F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 1) / num(2.0**32 + 1) for at in (1, 9))
+        return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * w)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), of)
 
 
-def evaporate(derived_: DataFrame, n: int, fraction: float = 0.1, seed: int = 0) -> DataFrame:
-    """Adds mass_left (at least 0.1), entanglement and radiation: a fraction of the state plus seeded normal noise at the temperature of the mass left."""
+def evaporate(derived_: DataFrame, keys: list[str], n: int, fraction: float = 0.1, seed: int = 0) -> DataFrame:
+    """Adds mass_left (at least 0.1), entanglement and radiation: a fraction of the state plus the key's normal noise at the temperature of the mass left."""
     left = F.greatest(F.col("mass") * (1 - fraction), num(0.1))
     radius = F.pow(left, num(1 / max(n - 3.0, 1.0)))
     cold = 1 / (4 * math.pi * radius)
-    radiation = F.zip_with("state", F.array(*map(num, noise(n, seed))), lambda x, e: x * fraction + e * cold)
+    radiation = F.zip_with("state", noise(keys, n, seed), lambda x, e: x * fraction + e * cold)
     entropy = F.least(F.pow(radius, num(n - 2)), num(1e300)) / 4
     return derived_.withColumn("mass_left", left).withColumn("entanglement", entropy * fraction).withColumn("radiation", radiation)
 

@@ -836,10 +836,11 @@ def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH v AS ({sql_vectors(8, 4.0)}), s AS (SELECT label, sum(sqrt({DOT.format('v', 'v')})) AS e, [{', '.join(f'sum(v[{i}])' for i in range(1, 9))}] AS s FROM v GROUP BY label),
-r AS (SELECT label, [{', '.join(DOT.format('s', lit(q)) for q in _Q8)}] AS state, 1 / (4 * pi() * pow(greatest(0.9::DOUBLE * (1 + e * 0.01::DOUBLE), 0.1), 0.2::DOUBLE)) AS cold FROM s)
-SELECT label, (k - 1)::BIGINT AS pos, {R6.format(f'state[k] * 0.1::DOUBLE + list_extract({lit(horizon.noise(8))}, k) * cold')} AS value FROM r, range(1, 9) t(k)""")
+r AS (SELECT label, [{', '.join(DOT.format('s', lit(q)) for q in _Q8)}] AS state, 1 / (4 * pi() * pow(greatest(0.9::DOUBLE * (1 + e * 0.01::DOUBLE), 0.1), 0.2::DOUBLE)) AS cold FROM s),
+h AS (SELECT *, md5('0:' || label || ':' || (k - 1)) AS h FROM r, range(1, 9) t(k)), u AS (SELECT *, (('0x' || h[1:8])::BIGINT + 1) / 4294967297::DOUBLE AS u, (('0x' || h[9:16])::BIGINT + 1) / 4294967297::DOUBLE AS w FROM h)
+SELECT label, (k - 1)::BIGINT AS pos, {R6.format('state[k] * 0.1::DOUBLE + sqrt(-2 * ln(u)) * cos(2 * pi() * w) * cold')} AS value FROM u""")
 def hawking_radiation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = horizon.evaporate(horizon.derived(horizon.absorb(vectors(spark, sf_dir, 8, 4.0), ["label"], 8), 8), 8)
+    out = horizon.evaporate(horizon.derived(horizon.absorb(vectors(spark, sf_dir, 8, 4.0), ["label"], 8), 8), ["label"], 8)
     return long(out.select("label", F.col("radiation").alias("v")), "label")
 
 
@@ -856,13 +857,14 @@ def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in chunks through the streaming compressor into a table, and whole again."""
-    from gridloom.session import Scratch
+    from gridloom.session import Scratch, shuffle_width
 
     scratch = Scratch(spark, "stream")
-    pieces = scratch.save(chunks.split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 1 << 16), "chunks")
+    pieces = chunks.split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 1 << 16)
+    pieces = scratch.save(pieces.repartition(shuffle_width(spark), "doc_id", "chunk"), "chunks")  # coding is the work, not reading
     source = spark.readStream.schema(pieces.schema).parquet(f"{scratch.root}/01-chunks")
     target = scratch.path("compressed")
-    chunks.compress_stream(source, target, scratch.path("progress"), "raw").awaitTermination()
+    chunks.compress_stream(source, target, scratch.path("progress"), "fast").awaitTermination()
     back = chunks.decompress_table(spark, target)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", F.hex("data").alias("h")))), lambda s: s["h"]), "")
     return back.groupBy("doc_id").agg(F.sha2(F.unhex(whole), 256).alias("sha256"))
