@@ -69,23 +69,33 @@ def audit(assigned: DataFrame, site_table: DataFrame) -> DataFrame:
     )
 
 
+def _bits(column: pd.Series) -> np.ndarray:
+    """A column of equally long vectors as one matrix of float32 bits."""
+    return np.stack(column.to_numpy()).astype("<f4").view("<u4")
+
+
 def residuals(reconstructed: DataFrame) -> DataFrame:
-    """id and the XOR of the row's and its representative's float32 bits, as bytes: an exact residual."""
+    """id, recon and the XOR of the row's and its representative's float32 bits, as bytes: an exact residual."""
     ship(reconstructed.sparkSession)
 
     @F.pandas_udf(T.BinaryType())
     def xor(a: pd.Series, b: pd.Series) -> pd.Series:
-        bits = lambda x: np.asarray(x, dtype="<f4").view("<u4")
-        return pd.Series([(bits(x) ^ bits(y)).tobytes() for x, y in zip(a, b)])
+        return pd.Series([x.tobytes() for x in _bits(a) ^ _bits(b)]) if len(a) else pd.Series([], dtype=object)
 
-    return reconstructed.select("id", xor("v", "recon").alias("residual"))
+    return reconstructed.select("id", "recon", xor("v", "recon").alias("residual"))
 
 
-def restore(reconstructed: DataFrame, residual: DataFrame) -> DataFrame:
-    """id, v as float32: the representative XOR the residual gives every bit back."""
+def restore(reconstructed: DataFrame, residual: DataFrame | None = None) -> DataFrame:
+    """id, v as float32: the representative XOR the residual gives every bit back.
+
+    The residuals come by id from a table of their own, or lie beside ``recon`` already.
+    """
+    coded = reconstructed if residual is None else reconstructed.select("id", "recon").join(residual.select("id", "residual"), "id")
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def back(a: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(x, dtype="<f4").view("<u4") ^ np.frombuffer(y, "<u4")).view("<f4") for x, y in zip(a, r)])
+        if not len(a):
+            return pd.Series([], dtype=object)
+        return pd.Series(list((_bits(a) ^ np.frombuffer(b"".join(r), "<u4").reshape(len(a), -1)).view("<f4")))
 
-    return reconstructed.select("id", "recon").join(residual, "id").select("id", back("recon", "residual").alias("v"))
+    return coded.select("id", back("recon", "residual").alias("v"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions import bits, golden, hyperbolic as hyp, vec
 from gridloom.operators import bytestats, codec, consolidate, e8, golay, hadamard, horizon, leech, recall, sniff, trajectory
+from gridloom.session import Scratch, shuffle_width
 from gridloom.streaming import chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,7 +490,8 @@ COARSE = 0.25  # of the scaled rows: sites collapse
 
 
 def _sites(spark: SparkSession, sf_dir: str, scale: float = COARSE) -> tuple[DataFrame, DataFrame]:
-    assigned = consolidate.assign(vectors(spark, sf_dir).select("id", "v"), scale)
+    """Rows with their sites, written once since nearest points are the work, and the sites."""
+    assigned = Scratch(spark, "sites").save(consolidate.assign(vectors(spark, sf_dir).select("id", "v"), scale), "assigned")
     return assigned, consolidate.alpha(consolidate.sites(assigned), scale)
 
 
@@ -530,7 +532,7 @@ def mass_scaled_recon_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consolidate_exact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Representatives XOR residuals are the rows, to the last float32 bit."""
     back = consolidate.reconstruct(*_sites(spark, sf_dir))
-    rows = consolidate.restore(back, consolidate.residuals(back))
+    rows = consolidate.restore(consolidate.residuals(back))
     return long(rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")), "id")
 
 
@@ -857,8 +859,6 @@ def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in chunks through the streaming compressor into a table, and whole again."""
-    from gridloom.session import Scratch, shuffle_width
-
     scratch = Scratch(spark, "stream")
     pieces = chunks.split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 1 << 16)
     pieces = scratch.save(pieces.repartition(shuffle_width(spark), "doc_id", "chunk"), "chunks")  # coding is the work, not reading
