@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridloom.functions.vec import apply_matrix, clean, norm, num
@@ -45,8 +46,6 @@ def derived(absorbed: DataFrame, n: int) -> DataFrame:
 
 def horizon_state(derived_: DataFrame) -> DataFrame:
     """Adds encoded (state on the sphere of the radius) and its checksum, of the float64 bytes that SQL cannot give."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def checksum(v: pd.Series) -> pd.Series:
         return v.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, dtype="<f8").tobytes()).hexdigest()[:16])
@@ -98,8 +97,6 @@ def packing_energy(rows: DataFrame, power: float = 2.0, weighted: bool = True) -
     """
     from collections.abc import Iterator
 
-    import pandas as pd
-
     from gridloom.functions.golden import PHI
     from gridloom.operators.recall import ROW_BLOCK, _blocks
     from gridloom.session import ship
@@ -148,8 +145,6 @@ def spread(vectors: np.ndarray, steps: int = 20, rate: float = 0.01, power: floa
 
 def spread_groups(rows: DataFrame, key: str, steps: int = 20, rate: float = 0.01) -> DataFrame:
     """key, id, v after ``spread`` within each key's vectors."""
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         return pd.DataFrame({key: pdf[key], "id": pdf["id"], "v": list(spread(np.stack(pdf["v"].to_numpy()), steps, rate))})
@@ -159,8 +154,6 @@ def spread_groups(rows: DataFrame, key: str, steps: int = 20, rate: float = 0.01
 
 def hyperbolic_centroids(rows: DataFrame, key: str, dim: int) -> DataFrame:
     """key, centroid, n: Fréchet mean in the Poincaré ball by up to 100 steps of 0.1 times the mean log map."""
-    import pandas as pd
-
     eps, edge = 1e-10, 1 - 1e-10
 
     def inside(x: np.ndarray) -> np.ndarray:
