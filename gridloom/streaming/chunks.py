@@ -38,7 +38,7 @@ def decompress_table(spark: SparkSession, target: str) -> DataFrame:
     """The chunks back, each checked against its SHA-256 and, where it has one, its CRC-32; damage raises."""
     rows = codec.decompress_column(spark.read.parquet(target), "archive", "data")
     if "crc32" in rows.columns:
-        rows = rows.withColumn("data", F.when(F.crc32("data") == F.col("crc32"), F.col("data")).otherwise(F.raise_error(F.lit("CRC-32 does not match")).cast("binary")))
+        rows = rows.withColumn("data", F.when(F.crc32("data").eqNullSafe(F.col("crc32")), F.col("data")).otherwise(F.raise_error(F.lit("CRC-32 does not match")).cast("binary")))
     return rows.drop("archive")
 
 
