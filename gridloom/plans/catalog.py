@@ -862,7 +862,7 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "stream")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, n_bytes >> 21), n_bytes // entropy.GROUP)  # many chunks each, which are coded in step
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, n_bytes >> 19), n_bytes // entropy.GROUP)  # many chunks each, which are coded in step
     pieces = chunks.split(documents, "doc_id", "text", 1 << 16)
     pieces = scratch.save(pieces.repartition(tasks, "doc_id", "chunk"), "chunks")  # coding is the work, not reading
     source = spark.readStream.schema(pieces.schema).parquet(f"{scratch.root}/01-chunks")
