@@ -69,7 +69,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
         e = encoder(vocabulary)
         end = np.asarray([end_id], dtype=e.dtype).tobytes()
         for pdf in batches:
-            raw = [e.encode(text) + end for text in pdf["text"]]
+            raw = [x + end for x in e.encode_all(pdf["text"])]
             edge = np.concatenate(([0], np.cumsum([len(x) // e.dtype.itemsize for x in raw], dtype=np.int64)))
             top, k1, k2 = _signatures(np.frombuffer(b"".join(raw), dtype=e.dtype), edge)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": raw, "n_tokens": np.diff(edge), "top": top, "k1": k1, "k2": k2})
@@ -146,20 +146,32 @@ class Shard:
             out += self.dense[k]
         return out
 
+    def keep(self, docs: np.ndarray) -> None:
+        """Leaves only these documents (ascending) to be scored; they are numbered anew, terms keep their documents' first numbers."""
+        new = np.full(self.n, -1)
+        new[docs] = np.arange(len(docs))
+        number = new[self.docs]
+        at = np.flatnonzero(number >= 0)
+        self.docs, self.weights, self.start = number[at], self.weights[at], np.searchsorted(at, self.start)
+        self.dense, self.n = np.take(self.dense, docs, axis=1), len(docs)
+
 
 def fill(shard: Shard, lengths: list[int], window: int) -> Iterator[list[tuple[int, int, int, int, float]]]:
     """Sequences as lists of (document, start, length, seed, score), each of ``window`` tokens but the last ones."""
-    unused = np.ones(shard.n, dtype=bool)
+    n, free = shard.n, shard.n
+    unused = np.ones(n, dtype=bool)
+    names = np.arange(n)  # of the documents that the shard scores
     ahead, carry, row, room = 0, None, [], window
     while True:
         # a seed: what is left of a cut document, else the next unused one in the layout's order
         if carry is None:
-            while ahead < shard.n and not unused[ahead]:
+            while ahead < n and not unused[ahead]:
                 ahead += 1
-            if ahead == shard.n:
+            if ahead == n:
                 break
             seed, at = ahead, 0
             unused[seed] = False
+            free -= 1
         else:
             seed, at = carry
             carry = None
@@ -169,15 +181,20 @@ def fill(shard: Shard, lengths: list[int], window: int) -> Iterator[list[tuple[i
         if lengths[seed] == at:
             continue
         row, room = [(seed, at, lengths[seed] - at, seed, 0.0)], window - (lengths[seed] - at)
+        if 5 * free < 4 * len(names):  # the rest of the shard is no longer searched
+            some = np.flatnonzero(unused[names])
+            shard.keep(some)
+            names = names[some]
         score = shard.scores(seed)
-        score[~unused] = -1.0
+        score[~unused[names]] = -1.0
         ranked, k = np.argsort(-score, kind="stable"), 0
-        while room and k < shard.n and score[ranked[k]] >= 0:
-            d = int(ranked[k])
-            k += 1
+        while room and k < len(names) and score[ranked[k]] >= 0:
+            d = int(names[ranked[k]])
             unused[d] = False
+            free -= 1
             take = min(room, lengths[d])
-            row.append((d, 0, take, seed, float(score[d])))
+            row.append((d, 0, take, seed, float(score[ranked[k]])))
+            k += 1
             room -= take
             if take < lengths[d]:
                 carry = (d, take)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, media, mixing, near_dedup, packing, quality, substring, url_filter, warc, winnow, words
+from gridloom.llm import chat, media, mixing, near_dedup, packing, quality, substring, tokens, url_filter, warc, winnow, words
 from gridloom.llm.queries import tokenizer_path
 from gridloom.llm.tokens import encoder
 from gridloom.session import Scratch
@@ -42,6 +42,35 @@ def test_encoder_is_the_tokenizer():
         assert e.encode(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, np.uint16).tobytes()
 
 
+def test_many_texts_at_once_are_the_tokenizer(monkeypatch):
+    """Runs of all lengths, every Latin-1 character in every kind of neighbourhood, texts beyond Latin-1, and caches that start anew."""
+    rng = np.random.default_rng(41)
+    letters = [c for c in map(chr, range(256)) if c.isalpha() and c not in "ªµº"]
+    texts = [None, "", " ", "\n\n", " a  b\n\nc ", "x" * 5000, "BY-NC 4.0 a.b@c-d.example.com (555)-3687", "don't <|endoftext|>y a<|endoftext|>b <|ENDOFTEXT|>", "漢字 İstanbul ΣΑΣ", "end\n", "\nstart"]
+    texts += ["".join(rng.choice(letters, n)) + "." for n in (*range(1, 40), 100)] * 2
+    texts += [a + c + b for c in map(chr, range(256)) for a, b in (("", ""), ("ab", "cd"), ("1", "2"), (", ", ";x"), (" ", " "))]
+    texts += ["".join(map(chr, rng.integers(0, 256, 400))) for _ in range(40)] + ["".join(rng.choice(list("aeinrst .,-1'"), 2000)) for _ in range(20)]
+    texts += ["".join(rng.choice(list("aéÉ \u0301\u2003’—漢İ\U0001f600.1\n"), 300)) for _ in range(40)]
+    e = tokens.WordEncoder(tokenizer_path())
+    want = [np.asarray(e.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint16).tobytes() for t in texts]
+    assert e.table is not None and e.encode_all(texts) == want and e.encode_all(texts[::-1]) == want[::-1]
+    small = tokens.WordEncoder(tokenizer_path(), cache_words=50)
+    monkeypatch.setattr(tokens, "TOGETHER", 3000)
+    assert small.encode_all(texts) == want and small.encode_all(texts) == want
+    monkeypatch.setattr(tokens._RunTable, "BITS", 12)  # full, with many runs to a slot
+    assert tokens.WordEncoder(tokenizer_path()).encode_all(texts) == want
+
+
+def test_new_words_need_no_call_each():
+    """Thousands of words never seen before, with no call of the tokenizer or its model for any of them."""
+    rng = np.random.default_rng(42)
+    texts = [" ".join("".join(rng.choice(list("abcdeghilmnoprstuéñü"), int(rng.integers(1, 25)))) + ("." if k % 9 == 0 else "") for k in range(200)) for _ in range(40)]
+    e = tokens.WordEncoder(tokenizer_path())
+    want = [np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() for t in texts]
+    e.words.tokenizer = e.words.runs.tokenize = None
+    assert e.encode_all(texts) == want
+
+
 def check_packing(pieces, rows, window=4096):
     e = encoder(tokenizer_path())
     ids = [np.frombuffer(e.encode(t) + b"\x02\x00", np.uint16) for _, t in rows]
@@ -100,6 +129,25 @@ def test_bm25_and_neighbours():
     assert [x[0] for x in first[1:]] == ranked[: len(first) - 1]
 
 
+def test_a_shrinking_shard_fills_the_same_windows():
+    """Every window is filled by a search of all unused documents, also after most of the shard is used."""
+    rng = np.random.default_rng(3)
+    ids = [np.append(rng.integers(3, 90, int(rng.integers(1, 60))), 2) for _ in range(300)]
+    idf, mean, lengths = rng.random(96), 30.0, [len(x) for x in ids]
+    whole, shard = packing.Shard(ids, idf, mean), packing.Shard(ids, idf, mean)
+    unused = set(range(300))
+    for sequence in packing.fill(shard, lengths, 128):
+        if sum(x[2] for x in sequence) < 128:
+            break
+        seed = sequence[0][3]
+        unused.discard(seed)
+        score = whole.scores(seed)
+        ranked = sorted(unused, key=lambda d: (-score[d], d))[: len(sequence) - 1]
+        assert [(x[0], x[4]) for x in sequence[1:]] == [(d, score[d]) for d in ranked]
+        unused -= set(ranked)
+    assert len(unused) < 10 and shard.n < 100 and whole.n == 300
+
+
 def test_neighbours_far_apart_in_the_layout_share_a_window(spark):
     """1.2M tokens: the first document of the layout and the last, the second and the last but one ... share rare words."""
     e = encoder(tokenizer_path())
