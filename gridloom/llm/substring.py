@@ -13,7 +13,7 @@ entry per chunk, and no pair of occurrences is ever made. Buckets grow in number
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridloom.llm.words import Bag, chunked, grams, texts_of, unpack
-from gridloom.session import Scratch, lean, ship
+from gridloom.session import Scratch, lean, ship, trim
 
 BLOCK, WINDOW = 7, 13
 KEY_BITS = 32
@@ -83,6 +83,18 @@ def _steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
+def _one_by_one(work: Callable[..., list[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: ``work`` on the columns of one row (one chunk) at a time, whose memory is given back before the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from work(*(column[k] for column in batch.columns))
+                trim()
+
+    return lean(run)
+
+
 def _send_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
     """Per chunk and bucket: 32 bits of each distinct hash, whether it is a block, whether several texts have it.
 
@@ -90,25 +102,24 @@ def _send_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
     """
     bounds, shift = _bounds(buckets), _key_shift(buckets)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for chunk, payload in zip(pdf["chunk"], pdf["payload"]):
-                bag = Bag(texts_of(unpack(payload)))
-                at, values, order, first = _anchors(bag)
-                if not len(values):
-                    continue
-                last = np.append(first[1:], len(order)) - 1
-                text = bag.text_of[at][order]
-                several = text[first] != text[last]
-                aligned = ((at - bag.first[bag.text_of[at]]) % BLOCK == 0)[order]
-                block = np.logical_or.reduceat(aligned, first)
-                flags = (block.astype(np.uint8) << 1) | several
-                cut = _split(values, bounds)
-                full = np.flatnonzero(cut[1:] > cut[:-1])
-                keys = [_squeeze(_steps(((values[cut[k] : cut[k + 1]] - bounds[k]) >> shift).astype(np.uint32)), flags[cut[k] : cut[k + 1]]) for k in full]
-                yield pd.DataFrame({"bucket": full, "chunk": chunk, "base": cut[full], "n": cut[full + 1] - cut[full], "keys": keys})
-
-    return chunks.select("chunk", "payload").mapInPandas(lean(run), "bucket int, chunk long, base int, n int, keys binary")
+    def send(chunk: pa.Scalar, payload: pa.Scalar) -> list[pa.RecordBatch]:
+        bag = Bag(texts_of(unpack(payload.as_buffer())))
+        at, values, order, first = _anchors(bag)
+        if not len(values):
+            return []
+        aligned = ((at - bag.first[bag.text_of[at]]) % BLOCK == 0)[order]
+        flags = np.logical_or.reduceat(aligned, first).astype(np.uint8) << 1
+        last = np.append(first[1:], len(order)) - 1
+        flags |= bag.text_of[at[order[first]]] != bag.text_of[at[order[last]]]
+        del bag, at, order, first, last, aligned
+        cut = _split(values, bounds)
+        full = np.flatnonzero(cut[1:] > cut[:-1])
+        keys = [_squeeze(_steps(((values[cut[k] : cut[k + 1]] - bounds[k]) >> shift).astype(np.uint32)), flags[cut[k] : cut[k + 1]]) for k in full]
+        return [pa.record_batch({
+            "bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk.as_py()] * len(full), pa.int64()), "base": pa.array(cut[full], pa.int32()), "n": pa.array(cut[full + 1] - cut[full], pa.int32()), "keys": pa.array(keys, pa.binary()),
+        })]
+
+    return chunks.select("chunk", "payload").mapInArrow(_one_by_one(send), "bucket int, chunk long, base int, n int, keys binary")
 
 
 def _meet_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,33 +160,36 @@ def _extend(joined: DataFrame, buckets: int) -> DataFrame:
     """Per chunk: places of its candidate windows (kind 0), and their distinct keys with the smallest doc_id (kind 1)."""
     bounds = _bounds(buckets)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for chunk, payload, places in zip(pdf["chunk"], pdf["payload"], pdf["places"]):
-                table = unpack(payload)
-                bag, ids = Bag(texts_of(table)), _doc_ids(table)
-                at, values, order, first = _anchors(bag)
-                shared = np.zeros(len(values), dtype=bool)
-                for x in places:
-                    shared[np.cumsum(_unsqueeze(x["places"], x["n"], "<u4")[0], dtype=np.int64)] = True
-                hit = np.zeros(len(bag.starts) + 1, dtype=np.int64)
-                hit[at[order[np.repeat(shared, np.diff(np.append(first, len(order))))]]] = 1
-                # a repeat has the window's own aligned block too, so that block was hit
-                windows = bag.windows(WINDOW)
-                own = windows + (bag.first[bag.text_of[windows]] - windows) % BLOCK
-                windows = windows[hit[own] > 0]
-                if not len(windows):
-                    continue
-                a, b, _, least = _groups(bag, ids, windows)
-                cut = _split(a, bounds)
-                full = np.flatnonzero(cut[1:] > cut[:-1])
-                parts = [slice(cut[k], cut[k + 1]) for k in full]
-                yield pd.DataFrame({
-                    "kind": [0] + [1] * len(full), "bucket": [-1, *full], "chunk": chunk, "base": [0, *cut[full]], "n": [len(windows), *(cut[full + 1] - cut[full])],
-                    "data": [_squeeze(_steps(windows.astype(np.uint32))), *(_squeeze(_steps(a[x]), b[x], least[x]) for x in parts)],
-                })
-
-    return joined.mapInPandas(lean(run), "kind int, bucket int, chunk long, base int, n int, data binary")
+    def candidates(bag: Bag, places: list[dict]) -> np.ndarray:
+        at, values, order, first = _anchors(bag)
+        shared = np.zeros(len(values), dtype=bool)
+        for x in places:
+            shared[np.cumsum(_unsqueeze(x["places"], x["n"], "<u4")[0], dtype=np.int64)] = True
+        hit = np.zeros(len(bag.starts) + 1, dtype=bool)
+        hit[at[order[np.repeat(shared, np.diff(np.append(first, len(order))))]]] = True
+        del at, values, order, first
+        # a repeat has the window's own aligned block too, so that block was hit
+        windows = bag.windows(WINDOW)
+        return windows[hit[windows + (bag.first[bag.text_of[windows]] - windows) % BLOCK]]
+
+    def extend(chunk: pa.Scalar, payload: pa.Scalar, places: pa.Scalar) -> list[pa.RecordBatch]:
+        table = unpack(payload.as_buffer())
+        bag, ids = Bag(texts_of(table)), _doc_ids(table)
+        windows = candidates(bag, places.as_py())
+        if not len(windows):
+            return []
+        a, b, _, least = _groups(bag, ids, windows)
+        del table, bag
+        cut = _split(a, bounds)
+        full = np.flatnonzero(cut[1:] > cut[:-1])
+        parts = [slice(cut[k], cut[k + 1]) for k in full]
+        data = [_squeeze(_steps(windows.astype(np.uint32))), *(_squeeze(_steps(a[x]), b[x], least[x]) for x in parts)]
+        return [pa.record_batch({
+            "kind": pa.array([0] + [1] * len(full), pa.int32()), "bucket": pa.array([-1, *full], pa.int32()), "chunk": pa.array([chunk.as_py()] * len(data), pa.int64()),
+            "base": pa.array([0, *cut[full]], pa.int32()), "n": pa.array([len(windows), *(cut[full + 1] - cut[full])], pa.int32()), "data": pa.array(data, pa.binary()),
+        })]
+
+    return joined.select("chunk", "payload", "places").mapInArrow(_one_by_one(extend), "kind int, bucket int, chunk long, base int, n int, data binary")
 
 
 def _meet_windows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,17 +214,16 @@ def _meet_windows(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _cut(bag: Bag, removed: np.ndarray) -> list[bytes]:
     """Each text without its removed words and the blanks after them; other blanks stay."""
-    keep = np.ones(len(bag.buf), dtype=bool)
     gone = np.flatnonzero(removed)
-    if len(gone):
-        until = np.minimum(np.append(bag.starts[1:], len(bag.buf))[gone], bag.text_end[bag.text_of[gone]] - 1)
-        edge = np.zeros(len(bag.buf) + 1, dtype=np.int32)
-        np.add.at(edge, bag.starts[gone], 1)
-        np.add.at(edge, until, -1)
-        keep = np.cumsum(edge[:-1]) == 0
-    total = np.concatenate(([0], np.cumsum(keep)))
-    left = bag.buf[keep].tobytes()
-    return [left[total[a] : total[b]] for a, b in zip(bag.text_start.tolist(), (bag.text_end - 1).tolist())]
+    until = np.minimum(np.append(bag.starts[1:], len(bag.buf))[gone], bag.text_end[bag.text_of[gone]] - 1)
+    edge = np.zeros(len(bag.buf) + 1, dtype=np.int8)  # spans do not overlap, so sums are 0 or 1
+    edge[bag.starts[gone]] += 1
+    edge[until] -= 1
+    left = bag.buf[np.cumsum(edge[:-1], dtype=np.int8) == 0].tobytes()
+    lost = np.zeros(len(bag.text_start) + 1, dtype=np.int64)
+    np.add.at(lost, bag.text_of[gone] + 1, until - bag.starts[gone])
+    lost = np.cumsum(lost)
+    return [left[a:b] for a, b in zip((bag.text_start - lost[:-1]).tolist(), (bag.text_end - 1 - lost[1:]).tolist())]
 
 
 def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -238,34 +251,35 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
     )
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload, given in zip(batch.column("payload"), batch.column("notes")):
-                table = unpack(payload.as_py())
-                bag, ids = Bag(texts_of(table)), _doc_ids(table)
-                removed = np.zeros(len(bag.starts) + 1, dtype=np.int64)
-                rows = sorted(given.as_py() or [], key=lambda x: x["kind"])
-                if rows:
-                    windows = np.cumsum(_unsqueeze(rows[0]["data"], rows[0]["n"], "<u4")[0], dtype=np.int64)
-                    _, _, group, least = _groups(bag, ids, windows)
-                    for x in rows[1:]:
-                        steps, smallest = _unsqueeze(x["data"], x["n"], "<u4", "<i8")
-                        least[np.cumsum(steps, dtype=np.int64)] = smallest
-                    gone = windows[least[group] < ids[bag.text_of[windows]]]
-                    edge = np.zeros(len(bag.starts) + WINDOW + 1, dtype=np.int64)
-                    edge[gone] += 1
-                    edge[gone + WINDOW] -= 1
-                    removed = np.cumsum(edge)
-                removed = removed[: len(bag.starts)] > 0
-                n_removed = np.bincount(bag.text_of[removed], minlength=len(ids))
-                k = table.schema.get_field_index("text")
-                texts = [None if null else t for t, null in zip(_cut(bag, removed), table.column(k).is_null().to_pylist())]
-                field = table.schema.field(k)
-                table = table.set_column(k, field, pa.array(texts, pa.binary()).cast(field.type))
-                table = table.append_column("n_words", pa.array(bag.n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
-                yield from table.combine_chunks().to_batches()
-
-    return chunks.select("chunk", "payload").join(notes, "chunk", "left").select("payload", "notes").mapInArrow(lean(run), schema)
+    def covered(bag: Bag, ids: np.ndarray, rows: list[dict]) -> np.ndarray:
+        """Whether each word is removed."""
+        windows = np.cumsum(_unsqueeze(rows[0]["data"], rows[0]["n"], "<u4")[0], dtype=np.int64)
+        _, _, group, least = _groups(bag, ids, windows)
+        for x in rows[1:]:
+            steps, smallest = _unsqueeze(x["data"], x["n"], "<u4", "<i8")
+            least[np.cumsum(steps, dtype=np.int64)] = smallest
+        gone = windows[least[group] < ids[bag.text_of[windows]]]
+        edge = np.zeros(len(bag.starts) + WINDOW + 1, dtype=np.int8)
+        edge[gone] += 1
+        edge[gone + WINDOW] -= 1
+        return np.cumsum(edge[: len(bag.starts)], dtype=np.int8) > 0  # at most WINDOW windows lie over a word
+
+    def cut(payload: pa.Scalar, given: pa.Scalar) -> list[pa.RecordBatch]:
+        table = unpack(payload.as_buffer())
+        bag, ids = Bag(texts_of(table)), _doc_ids(table)
+        rows = sorted(given.as_py() or [], key=lambda x: x["kind"])
+        removed = covered(bag, ids, rows) if rows else np.zeros(len(bag.starts), dtype=bool)
+        n_words, n_removed = bag.n_words, np.bincount(bag.text_of[removed], minlength=len(ids))
+        texts = _cut(bag, removed)
+        del bag, rows, removed
+        k = table.schema.get_field_index("text")
+        texts = [None if null else t for t, null in zip(texts, table.column(k).is_null().to_pylist())]
+        field = table.schema.field(k)
+        table = table.set_column(k, field, pa.array(texts, pa.binary()).cast(field.type))
+        table = table.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
+        return table.combine_chunks().to_batches()
+
+    return chunks.select("chunk", "payload").join(notes, "chunk", "left").select("payload", "notes").mapInArrow(_one_by_one(cut), schema)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

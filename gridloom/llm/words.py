@@ -75,14 +75,16 @@ def grams(h: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     for j in range(n):
         g *= b
         g += h[j : len(h) - n + 1 + j]
-    return mix(g)
+    for k in range(0, len(g), _SEGMENT):
+        g[k : k + _SEGMENT] = mix(g[k : k + _SEGMENT])
+    return g
 
 
 class Bag:
     """The words of several texts laid end to end, a line feed after each text."""
 
     def __init__(self, texts: list[bytes]):
-        self.buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        self.buf = np.frombuffer(b"\n".join([*texts, b""]) or b"\n", dtype=np.uint8)
         sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         self.text_end = np.cumsum(sizes + 1)  # past the line feed
         self.text_start = self.text_end - sizes - 1
@@ -146,7 +148,7 @@ def chunked(docs: DataFrame, target: int = 1 << 20) -> DataFrame:
     return docs.mapInArrow(lean(run), CHUNK_SCHEMA)
 
 
-def unpack(payload: bytes) -> pa.Table:
+def unpack(payload: bytes | pa.Buffer) -> pa.Table:
     with pa.ipc.open_stream(payload) as r:
         return r.read_all()
 
