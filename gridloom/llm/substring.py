@@ -127,8 +127,13 @@ def _meet_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     n = pdf["n"].tolist()
     parts = [_unsqueeze(x, m, "<u4", "u1") for x, m in zip(pdf["keys"], n)]
     keys, every = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in parts]), np.concatenate([x[1] for x in parts])
-    packed = np.sort((keys.astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64))
-    order, key = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), packed >> np.uint64(32)
+    del parts
+    packed = keys.astype(np.uint64)
+    packed <<= np.uint64(32)
+    packed |= np.arange(len(keys), dtype=np.uint32)
+    packed.sort()
+    order, key = packed.astype(np.uint32), (packed >> np.uint64(32)).astype(np.uint32)
+    del packed
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
     any_flag = np.bitwise_or.reduceat(every[order], first)
