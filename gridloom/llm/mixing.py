@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.session import Scratch, ship
+from gridloom.session import Scratch, lean_group, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CEILING = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -179,7 +179,7 @@ def _level(rows: DataFrame, seed: int, last: bool) -> DataFrame:
         p = (settle if last else flight)(pdf["p"].tolist(), x, rng)
         return pdf.assign(p=p)
 
-    return rows.groupBy("source_key", "shard").applyInPandas(run, rows.schema)
+    return rows.groupBy("source_key", "shard").applyInPandas(lean_group(run), rows.schema)
 
 
 def sample(docs: DataFrame, scratch: Scratch | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = 6, shard: int = SHARD) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.llm.words import Bag, grams, mix
-from gridloom.session import Scratch, lean, ship, shuffle_width
+from gridloom.session import Scratch, lean, lean_group, ship, shuffle_width
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys per document, and labelled shingles per key.
@@ -385,7 +385,7 @@ def _blocked(one: DataFrame, other: DataFrame, shingles: DataFrame, twice: bool,
     left = dealt(one, 0, "i", "j", F.col("i") if twice else zero, n1)
     right = dealt(other, 1, "j", "i", zero, F.col("j") if twice else n0)
     rows = left.select("key", "i", "j", "side", "node", "gap").unionByName(right).join(shingles.hint("merge"), "node")
-    return rows.select("key", "i", "j", "side", "node", "gap", "shingles").groupBy("key", "i", "j").applyInPandas(_meet, "a long, b long")
+    return rows.select("key", "i", "j", "side", "node", "gap", "shingles").groupBy("key", "i", "j").applyInPandas(lean_group(_meet), "a long, b long")
 
 
 def _links(members: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame:

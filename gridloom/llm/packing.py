@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm.tokens import encoder, vocabulary_size
-from gridloom.session import Scratch, lean, ship
+from gridloom.session import Scratch, lean, ship, tidy
 
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
@@ -74,7 +74,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
             top, k1, k2 = _signatures(np.frombuffer(b"".join(raw), dtype=e.dtype), edge)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": raw, "n_tokens": np.diff(edge), "top": top, "k1": k1, "k2": k2})
 
-    return docs.select("doc_id", "text").mapInPandas(lean(run), "doc_id long, ids binary, n_tokens long, top long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInPandas(lean(run, "tokens"), "doc_id long, ids binary, n_tokens long, top long, k1 long, k2 long")
 
 
 def corpus_counts(tokens: DataFrame, size: int, dtype: str) -> tuple[np.ndarray, int, float]:
@@ -93,8 +93,9 @@ def corpus_counts(tokens: DataFrame, size: int, dtype: str) -> tuple[np.ndarray,
 
     n, total = tokens.agg(F.count("*"), F.sum("n_tokens")).first()
     out = np.zeros(size, dtype=np.int64)
-    for r in tokens.select("ids").mapInPandas(lean(run), "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():  # at most the vocabulary
-        out[r.id] = r.df
+    with tidy(tokens.sparkSession):
+        for r in tokens.select("ids").mapInPandas(lean(run), "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():  # at most the vocabulary
+            out[r.id] = r.df
     return out, n, total / n if n else 1.0
 
 
@@ -105,10 +106,12 @@ def _counts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind, bits = (np.uint32, 16) if small else (np.uint64, 32)
     key = np.repeat(np.arange(len(ids), dtype=kind) << kind(bits), [len(x) for x in ids])
     key |= flat.astype(kind)
+    del flat
     key.sort()
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1])))
     found = key[first]
-    return (found >> kind(bits)).astype(np.int64), (found & kind((1 << bits) - 1)).astype(np.int64), np.diff(np.append(first, len(key)))
+    times = np.diff(np.append(first, len(key))).astype(np.int32)
+    return (found >> kind(bits)).astype(np.int32), (found & kind((1 << bits) - 1)).astype(np.int32), times
 
 
 class Shard:
@@ -117,12 +120,23 @@ class Shard:
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         length = np.asarray([len(x) for x in ids])
         d, t, tf = _counts([x[:-1] for x in ids])
-        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean))
-        edge = np.searchsorted(d, np.arange(len(ids) + 1))
+        # idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean)), in place
+        below = B * length[d]
+        below /= mean
+        below += 1 - B
+        below *= K1
+        below += tf
+        w = idf[t]
+        w *= tf
+        w *= K1 + 1
+        w /= below
+        del below, tf
+        edge = np.searchsorted(d, np.arange(len(ids) + 1, dtype=d.dtype))
         self.terms = [t[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
         order = np.argsort(t, kind="stable")
-        self.docs, self.weights = d[order], w[order]
-        self.start = np.searchsorted(t[order], np.arange(len(idf) + 1))
+        self.docs, self.weights = d[order].astype(np.int64), w[order]
+        self.start = np.searchsorted(t[order], np.arange(len(idf) + 1, dtype=t.dtype))
+        del order
         self.n = len(ids)
         # ids in a quarter of the documents or more have a dense row each, at most four times their postings
         common = np.flatnonzero(np.diff(self.start) * 4 >= max(1, self.n))

@@ -11,11 +11,13 @@ the ones that fit FIT_BYTES of text together. All their chunks are used.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridloom.session import ship
+from gridloom.session import lean, ship
 
 WIDTH, FILTERS, HALF = 4, 16, 128
 CHUNK = 2 * HALF
@@ -162,10 +164,14 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     held = spark.sparkContext.broadcast((network.tables, network.shift, network.weights, network.bias))  # 64 KB
 
     @F.pandas_udf(T.DoubleType())
-    def probability(texts: pd.Series) -> pd.Series:
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(judged)(batches)
+
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = Network(*held.value)
-        z = np.asarray([net.logit((t or "").encode()) for t in texts], dtype=np.float64)
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        for texts in batches:
+            z = np.asarray([net.logit((t or "").encode()) for t in texts], dtype=np.float64)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     return docs.withColumn("score", probability("text"))
 

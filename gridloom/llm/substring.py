@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridloom.llm.words import Bag, chunked, grams, texts_of, unpack
-from gridloom.session import Scratch, lean, ship, trim
+from gridloom.session import Scratch, lean, lean_group, ship, trim
 
 BLOCK, WINDOW = 7, 13
 KEY_BITS = 32
@@ -246,10 +246,10 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = B
     chunks = scratch.save(chunked(docs, CHUNK_BYTES), "chunks", codec="uncompressed")  # the payload is compressed
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    hits = _send_anchors(chunks, buckets).groupBy("bucket").applyInPandas(_meet_anchors, "chunk long, n int, places binary")
+    hits = _send_anchors(chunks, buckets).groupBy("bucket").applyInPandas(lean_group(_meet_anchors), "chunk long, n int, places binary")
     per_chunk = hits.groupBy("chunk").agg(F.collect_list(F.struct("n", "places")).alias("places"))  # at most a chunk's own distinct hashes
     found = scratch.save(_extend(chunks.select("chunk", "payload").join(per_chunk, "chunk"), buckets), "windows")
-    smaller = found.where("kind = 1").groupBy("bucket").applyInPandas(_meet_windows, "chunk long, n int, data binary")
+    smaller = found.where("kind = 1").groupBy("bucket").applyInPandas(lean_group(_meet_windows), "chunk long, n int, data binary")
     notes = (
         found.where("kind = 0").select("chunk", "kind", "n", "data").unionByName(smaller.select("chunk", F.lit(1).alias("kind"), "n", "data"))
         .groupBy("chunk").agg(F.collect_list(F.struct("kind", "n", "data")).alias("notes"))

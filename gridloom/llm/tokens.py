@@ -19,6 +19,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from gridloom.session import kept
+
 #: Entries after which a worker's word cache starts anew.
 CACHE_WORDS = 400_000
 #: Characters of texts that are cut into runs together; a text of half as many goes word by word.
@@ -29,6 +31,7 @@ TOGETHER = 1 << 20
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?")
 
 _loaded: dict[str, "WordEncoder"] = {}
+kept["tokens"] = _loaded  # some 75 MB in each worker
 
 
 class _Runs(dict):

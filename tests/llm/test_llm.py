@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import chat, media, mixing, near_dedup, packing, quality, substring, tokens, url_filter, warc, winnow, words
 from gridloom.llm.queries import tokenizer_path
 from gridloom.llm.tokens import encoder
-from gridloom.session import Scratch
+from gridloom.session import Scratch, lean, lean_group
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,6 +106,54 @@ def check_packing(pieces, rows, window=4096):
             assert p.ids_crc32 == zlib.crc32(one[p.doc_id, p.doc_tokens][p.start : p.start + p.length].astype("<u4").tobytes())
 
 
+def test_workers_keep_the_encoder_for_tokenizing_only(spark):
+    encoder(tokenizer_path())
+    assert list(lean(iter, "tokens")(iter([1]))) == [1] and tokens._loaded
+    assert list(lean(iter)(iter([1]))) == [1] and not tokens._loaded
+    encoder(tokenizer_path())
+    assert lean_group(len)([1]) == 1 and not tokens._loaded
+
+    def held(kind):
+        def run(batches):
+            for _ in batches:
+                yield pa.record_batch({"n": pa.array([len(tokens._loaded)], pa.int32())})
+
+        return {r.n for r in spark.range(0, 8, 1, 2).mapInArrow(lean(run, kind), "n int").collect()}
+
+    packing.tokenize(docs(spark, ODD), tokenizer_path()).collect()  # its workers go on to the next steps
+    assert 1 in held("tokens")
+    assert held("") == {0}
+
+
+def test_steps_get_small_batches(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64()), "size": pa.array([batch.nbytes], pa.int64())})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(0, 6000, 1, 1).withColumn("x", F.repeat(F.lit("abcdefghij"), 200))
+    scratch = Scratch(spark, "batches")
+    got = scratch.save(rows.mapInArrow(run, "n long, size long"), "sizes").collect()
+    scratch.drop()
+    assert sum(r.n for r in got) == 6000 and max(r["size"] for r in got) < 6e6
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_shard_memory():
+    rng = np.random.default_rng(1)
+    ids = [(rng.zipf(1.2, n) % 49000).astype("<u2") for n in rng.integers(5, 1500, 600)]
+    idf = np.log1p(rng.random(49152))
+    tracemalloc.start()
+    shard = packing.Shard(ids, idf, 700.0)
+    peak = tracemalloc.get_traced_memory()[1] - 8 * 2 * len(idf)
+    tracemalloc.stop()
+    assert peak < 25 * sum(map(len, ids))
+    k, term = 7, int(ids[7][0])
+    bag = {int(t) for t in ids[k][:-1]}
+    by_hand = [sum(idf[t] * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * len(x) / 700.0)) for t, f in Counter(x[:-1].tolist()).items() if t in bag) for x in ids]
+    assert term in bag and np.allclose(shard.scores(k), by_hand)
+
+
 def test_packing_tiles_every_document(spark):
     rng = np.random.default_rng(1)
     rows = ODD + [(100 + k, prose(rng, int(rng.integers(1, 900)))) for k in range(60)]
